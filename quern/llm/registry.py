@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import quality, sharding
+from quern.llm import bpe, chat, decontam, grammar, lm, neardup, quality, sharding, toxicity, urls
 
-MODULES = [quality, sharding]
+MODULES = [decontam, urls, chat, bpe, grammar, neardup, lm, quality, sharding, toxicity]
 
 
 def queries() -> dict:
