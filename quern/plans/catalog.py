@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from quern.plans import cleaning, mixture, relational, telemetry, tokens
+
+MODULES: list = [cleaning, telemetry, mixture, tokens, relational]
 
 
 def queries() -> dict:
