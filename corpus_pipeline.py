@@ -1,24 +1,53 @@
-"""The corpus pipeline: documents through the operators of quern.llm, each stage written and read again."""
+"""The corpus pipeline: documents through five operators of quern.llm, each stage's rows written and read again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.quality import judge
+from quern.llm import bpe, decontam, neardup, quality, toxicity
 from quern.session import materialise, prepare, table
 
-#: One stage's decisions hang on fitted models, so no SQL gives the rows; tests compare with a brute-force version.
+#: Fitted models and edit distances have no SQL form; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the host-level rules keep."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under one half against the labelled examples."""
     prepare(spark)
-    kept = judge(docs, ["doc_id"]).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-STAGES = [("quality_rules", quality_rules)]
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and whose host does."""
+    prepare(spark)
+    return quality.keep_sound(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of every group of near copies."""
+    prepare(spark)
+    return neardup.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark item."""
+    prepare(spark)
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of decoded bytes, with the ids."""
+    prepare(spark)
+    return bpe.encode_documents(docs, tokens=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", keep_quality),
+    ("minhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe_codec", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

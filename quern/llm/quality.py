@@ -94,6 +94,26 @@ def judge(docs: DataFrame, keys: list[str]) -> DataFrame:
     return joined.withColumn("kept", ~F.col("failed") & (F.col("host_rate") <= MAX_HOST_RATE)).drop("host_key")
 
 
+def _sound(batches):
+    for b in batches:
+        rows = [measure(t) for t in b.column("text").to_pylist()]
+        yield b.filter(pa.array([not failed(*r) for r in rows], pa.bool_()))
+
+
+def failed(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_repeat_words: int) -> bool:
+    """The rules of flag() on one row."""
+    return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words or 100 * n_symbols > MAX_SYMBOL_PERCENT * word_chars
+
+
+def keep_sound(docs: DataFrame) -> DataFrame:
+    """The rows that judge() keeps, with all their columns. Rejected hosts are written first, so that Spark knows their
+    size and sends them to all tasks only when they are few; texts then stay where they were read."""
+    rates = host_rates(flag(measures(docs.withColumn("__row", F.lit(0)), ["__row"])))
+    rejected = materialise(rates.where(F.col("host_rate") > MAX_HOST_RATE).select(F.col("host_key").alias("__host")), "rejected-hosts")
+    sound = docs.mapInArrow(_sound, docs.schema).withColumn("__host", F.coalesce("source", F.lit("\u0000")))
+    return sound.join(rejected, "__host", "left_anti").select(*docs.columns)
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measures and the verdict of the rules and its host."""
     out = judge(table(prepare(spark), sf_dir, "documents"), ["doc_id"])

@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     counts = rows.mapInArrow(_term_counts, "term string, n long, up long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("up").alias("up"))
     a, b = F.col("up").cast("double"), (F.col("n") - F.col("up")).cast("double")
     c, d = F.lit(float(up)) - a, F.lit(float(n - up)) - b
-    chi = F.lit(float(n)) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d))
+    chi = F.try_divide(F.lit(float(n)) * (a * d - b * c) * (a * d - b * c), (a + b) * (c + d) * (a + c) * (b + d))
     picked = counts.where(F.col("up") >= 3).where((c + d > 0) & (a + c > 0) & (b + d > 0) & (a * d > b * c)).withColumn("chi", chi)
     tried = 2.0 * math.log(max(n, 1) * 100 / 0.05)
     terms = [r["term"] for r in picked.where(F.col("chi") >= tried).orderBy(F.desc("chi"), "term").limit(MAX_TERMS).collect()]
