@@ -18,9 +18,9 @@ read.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm.pieces import PieceCoder
 from quern.session import new_path, prepare, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,16 +36,13 @@ END_ID = 2
 SHARD_IDS = 1 << 21
 PAIRS_A_ROUND = 2048
 LEAST_COUNT = 8
-LEAST_GAIN = 0.02
-REMEMBERED = 400_000
+LEAST_GAIN = 0.03
 MAGIC = b"QRNG"
-_CUT = re.compile(r" (?=\S)")
 _HEAD = struct.Struct("<4sHHQQQQQ")
 
 
 class Encoder:
-    """tokenizers, with a memory of pieces. A text is cut before spaces that precede other characters than white space;
-    the byte-level pattern never matches across such a cut."""
+    """The tokenizers library, each distinct piece of a batch encoded once."""
 
     def __init__(self, path: str):
         import os
@@ -54,22 +52,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.base = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = []
-        for t in texts:
-            first, *rest = _CUT.split(t)
-            cut.append(([first] if first else []) + [" " + x for x in rest])
-        missing = list(set().union(*cut) - self.known.keys()) if cut else []
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        self.encode_all = PieceCoder(self._learn).encode_all
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
@@ -79,14 +65,16 @@ def encoder(path: str) -> Encoder:
 
 def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and expansion lengths of one shard's ids."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     rules: list[tuple[int, int]] = []
     lengths: list[int] = []
     size = lambda s: lengths[s - base] if s >= base else 1
     while len(seq) > 1:
+        half, kind = (16, np.uint32) if base + len(rules) <= 1 << 16 else (32, np.uint64)
         a, b = seq[:-1], seq[1:]
-        inner = np.flatnonzero((a != end_id) & (b != end_id) & (a != b))
-        codes = np.sort((a[inner] << 32) | b[inner])
+        pairs_at = (a.astype(kind) << kind(half)) | b.astype(kind)
+        ends = seq == end_id
+        codes = np.sort(pairs_at[~(ends[:-1] | ends[1:] | (a == b))])
         if not len(codes):
             break
         edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
@@ -101,7 +89,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         rights: set[int] = set()
         chosen: list[tuple[int, int]] = []
         for code in pairs[best].tolist():
-            x, y = code >> 32, code & 0xFFFFFFFF
+            x, y = code >> half, code & (1 << half) - 1
             if x not in rights and y not in lefts:
                 lefts.add(x)
                 rights.add(y)
@@ -111,13 +99,13 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         if not chosen:
             break
         chosen.sort()
-        code, name = (np.array(c, dtype=np.int64) for c in zip(*chosen))
+        code, name = (np.array(c, dtype=d) for c, d in zip(zip(*chosen), (kind, np.uint32)))
         top = base + len(rules)
         left, right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
         left[list(lefts)] = True
         right[list(rights)] = True
         near = np.flatnonzero(left[a] & right[b])
-        wanted = (a[near] << 32) | b[near]
+        wanted = pairs_at[near]
         at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
         hit = code[at] == wanted
         near, at = near[hit], at[hit]
@@ -131,10 +119,10 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
     return seq, np.array(rules, dtype="<u4").reshape(-1, 2), np.array(lengths, dtype="<u4")
 
 
-def pack(doc_ids: list[int | None], encoded: list[bytes], base: int) -> bytes:
-    """One shard file; encoded: little-endian ids of each document, the end id included."""
-    counts = np.array([len(e) // 4 for e in encoded], dtype="<i8")
-    symbols, rules, lengths = compress(np.frombuffer(b"".join(encoded), dtype="<u4"), base)
+def pack(doc_ids: list[int | None], encoded: list[np.ndarray], base: int) -> bytes:
+    """One shard file; encoded: ids of each document, the end id included."""
+    counts = np.array([len(e) for e in encoded], dtype="<i8")
+    symbols, rules, lengths = compress(np.concatenate(encoded), base)
     sizes = np.ones(base + len(rules), dtype=np.int64)
     sizes[base:] = lengths
     reach = np.concatenate([[0], np.cumsum(sizes[symbols])])
@@ -192,7 +180,7 @@ def _written(path):
         from pyspark import TaskContext
 
         enc = encoder(path or public_tokenizers.path(VOCABULARY))
-        part, end = TaskContext.get().partitionId(), struct.pack("<I", END_ID)
+        part, end = TaskContext.get().partitionId(), np.array([END_ID], dtype="<u4")
         names, done, held, before, number = [], [], 0, 0, 0
 
         def out():
@@ -205,10 +193,10 @@ def _written(path):
             return row
 
         for b in batches:
-            for d, e in zip(b.column("doc_id").to_pylist(), enc.encode_all([t or "" for t in b.column("text").to_pylist()])):
+            for d, e in zip(b.column("doc_id").to_pylist(), enc.encode_all(b.column("text").to_pylist())):
                 names.append(d)
-                done.append(e + end)
-                held += len(e) // 4 + 1
+                done.append(np.concatenate([e, end]))
+                held += len(e) + 1
                 if held >= SHARD_IDS:
                     yield out()
         if names:
