@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import cleaning, mixture, relational, telemetry, tokens
+from quern.plans import cleaning, mixture, relational, sources, telemetry, tokens
 
-MODULES: list = [cleaning, telemetry, mixture, tokens, relational]
+MODULES: list = [cleaning, telemetry, mixture, tokens, relational, sources]
 
 
 def queries() -> dict:
