@@ -27,7 +27,7 @@ def test_normalise_cases(spark):
     got = one(made, T.normalise(F.col("text")))
     assert got[0] == "क‍ष ab xy\nz"
     assert got[2] == "a b\n\n c\n\n\n d"
-    assert got[3] == "क‍a q"
+    assert got[3] == "कa q"  # the joiner touched a zero-width character and a Latin letter
     assert got[4] == "tail"
     assert got[5] == "<b> &amp; é"
 
