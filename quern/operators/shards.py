@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.hashing import ids_sha256, seed63
+from quern.functions.hashing import ids_sha256, md5_uint32, seed63
 from quern.functions.text import words
 
 # Fixed values of selection.
@@ -22,7 +22,7 @@ DOCS_PER_SHARD = 8
 def lane_documents(docs: DataFrame, lanes: list[str]) -> DataFrame:
     """Documents as lane, split and token ids: split by doc_id modulo 8 (0 eval, 4 validation), lane by source."""
     split = F.when(F.pmod("doc_id", F.lit(8)) == 0, "eval").when(F.pmod("doc_id", F.lit(8)) == 4, "validation").otherwise("train")
-    lane = F.get(F.array(*map(F.lit, lanes)), F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(len(lanes))).cast("int"))
+    lane = F.get(F.array(*map(F.lit, lanes)), F.pmod(md5_uint32(F.col("source")), F.lit(len(lanes))).cast("int"))
     ids = F.transform(words(F.col("text")), lambda w: (F.crc32(w.cast("binary")) % 50000 + 2).cast("int"))
     return docs.select("doc_id", lane.alias("lane"), split.alias("split"), "text", ids.alias("ids"))
 

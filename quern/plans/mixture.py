@@ -222,8 +222,26 @@ _FRAMES = (
 )
 QUERIES = {f.__name__: f for f in _FRAMES}
 _LD = """ld as (select doc_id, text, case when doc_id % 8 = 0 then 'eval' when doc_id % 8 = 4 then 'validation' else 'train' end as split, source,
-  len(regexp_extract_all(text, '\\S+')) as n from documents)"""
+  ['general_web', 'code', 'math', 'reasoning', 'agentic', 'indic'][cast(('0x' || substr(md5(source), 1, 8))::bigint % 6 as int) + 1] as lane, len(regexp_extract_all(text, '\\S+')) as n from documents)"""
+_SHARDS = f"""{_LD}, q as (select *, cast((row_number() over (partition by lane, split order by doc_id) - 1) // 8 as int) as chunk, (row_number() over (partition by lane, split order by doc_id) - 1) % 8 as place from ld),
+u as (select *, row_number() over (partition by text order by lane, split, chunk, place) as copy from q),
+s as (select *, lane || '.' || split || '.' || lpad(cast(chunk as varchar), 2, '0') as shard_id, split = 'train' and text in (select text from ld where split <> 'train') as leaks from u where copy = 1),
+m as (select shard_id, lane, split, count(*) as n_docs, cast(sum(n) as bigint) as n_tokens, bool_or(leaks) as contaminated from s group by all)"""
+_SEED = "(('0x' || substr(sha256('6006:' || lane || ':' || doc_id), 1, 16))::ubigint & 9223372036854775807::ubigint)"
 ORACLES = {
+    "corpus_stats": f"with {_LD} select lane, split, count(*) as n from ld group by lane, split",
+    "corpus_grouping_sets": f"with {_LD} select coalesce(lane, '*') as lane, coalesce(split, '*') as split, count(*) as n from ld group by grouping sets ((lane), (split), ())",
+    "shard_manifests": f"with {_SHARDS} select *, split = 'train' and not contaminated as trainable from m",
+    "trainable_tokens": f"with {_SHARDS} select lane, cast(sum(n_tokens) as bigint) as tokens from m where split = 'train' and not contaminated group by lane",
+    "pack_structured": f"""with {_LD}, p as (select lane, least(n, 127) as k from ld)
+select lane, count(*) as sequences, cast(sum(k + 1) as bigint) as real, cast(sum(greatest(k - 1, 0)) as bigint) as loss, round_even(sum(k + 1) / (count(*) * 128), 4) as utilization, round_even(sum(greatest(k - 1, 0)) / (count(*) * 128), 4) as loss_fraction from p group by lane""",
+    "attention_pairs": f"with {_LD}, p as (select lane, least(n, 63) + 1 as k from ld) select lane, cast(sum(k * (k + 1) / 2) as bigint) as allowed, count(*) as sequences from p group by lane",
+    "selection_summary": f"""with {_LD}, x as (select lane, doc_id, case lane when 'general_web' then 0.62e0 when 'code' then 0.78e0 when 'math' then 0.74e0 when 'reasoning' then 0.66e0 when 'agentic' then 0.22e0 else 0.2e0 end
+  + cast({_SEED} % 10000 as double) / 10000e0 * 0.4e0 - 0.2e0 as s from ld), y as (select lane, round_even(least(1e0, greatest(0e0, s)), 4) as s from x),
+z as (select lane, case when s >= 0.5 then 'accept' when s >= 0.36 then 'defer' else 'reject' end as d from y)
+select lane, count(*) filter (d = 'accept') as accept, count(*) filter (d = 'defer') as defer, count(*) filter (d = 'reject') as reject, count(*) filter (d <> 'accept' and lane in ('agentic', 'reasoning', 'indic')) as overrides from z group by lane""",
+    "epoch_draws": f"with {_LD}, n as (select lane, count(*) as n from ld group by lane) select lane, 400::bigint as draws, 399 // n as last_epoch, least(400, n) as first_epoch from n",
+    "shard_verify": f"with {_SHARDS} select true as untouched_ok, count(distinct shard_id) filter (place = 0 and shard_id like 'code.train%' and n > 1) as tampered_found from s",
     "mixture_supply": f"""
 with l as (select * from (values {_SHARES}) v(lane, share, cap)), i as (select lane, sum(t) as u from (values {_INV}) v(lane, t) group by lane),
 x as (select l.lane, cast(share as double) as share, cast(cap as double) as cap, cast(u as double) as u, 3000.0 * share / 100 as target from l join i on l.lane = i.lane), y as (select *, target / u as rep, target - u * cap as gap from x)
