@@ -9,6 +9,8 @@ Buckets are never multiplied out. In each round some members of a bucket are hub
 buckets hold the most), every other member of another component is compared with them, and confirmed links are closed
 into components. A bucket is done when its members are one component or each has been a hub; the number of hubs
 grows by HUB_GROWTH a round. So any two members of a bucket are compared unless they are already known to be connected.
+Before full sets are fetched, a pair must agree in set size (exact) and in all but MOST_DIFFER of the signature's lowest
+bits (a linked pair fails that with a chance under one in a million, as with the bands themselves).
 
 Defined cases: null or empty texts have empty sets, link with nothing and are kept; rows that share a doc_id are one
 document (their first set by fingerprint) and get the same verdict; null doc_ids aren't linked and are kept; an empty table
@@ -25,18 +27,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.words import mix, word_hashes
-from quern.session import materialise, new_path, prepare, salted_left_join, table
+from quern.operators.graph import components
+from quern.session import discard, materialise, new_path, prepare, salted_left_join, table
 
 SHINGLE = 5
-HUB_GROWTH = 64
+HUB_GROWTH = 16
+#: A bucket of this many members gets as many hubs as the round has; a larger one fewer, in proportion.
+HUB_ROWS = 256
 PERCENT = 85
 BANDS, ROWS = 26, 5
+#: Coordinates of the signature; the first BANDS * ROWS make bands, the lowest bit of each makes a short print.
+COORDINATES = 256
+#: Bits in which prints of a pair at the bound may differ: the mean (0.15 / 2 of them) and over five deviations.
+MOST_DIFFER = 42
 POSITIONS = 1 << 20
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 @lru_cache(maxsize=1)
-def circulant(k: int = BANDS * ROWS, positions: int = POSITIONS) -> np.ndarray:
+def circulant(k: int = COORDINATES, positions: int = POSITIONS) -> np.ndarray:
     """Row p holds the second permutation's values at p, p + 1, ..., p + k - 1, circularly; a view, not a copy."""
     order = np.random.Generator(np.random.PCG64(20240607)).permutation(positions).astype(np.uint32)
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: k - 1]]), k)
@@ -58,12 +67,12 @@ def signature(found: np.ndarray) -> np.ndarray:
     """All coordinates of one set."""
     place = ((found * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
     windows = circulant()
-    return np.min([windows[place[i : i + 1024]].min(axis=0) for i in range(0, len(place), 1024)], axis=0)
+    return np.min([windows[place[i : i + 512]].min(axis=0) for i in range(0, len(place), 512)], axis=0)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for c in sig.reshape(BANDS, ROWS).astype(np.uint64).T:
+    for c in sig[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64).T:
         h = mix(h * _STEP + c)
     return h
 
@@ -72,15 +81,21 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
     return tuple(int(h.sum(dtype=np.uint64).view(np.int64)) for h in (found, mix(found ^ _STEP)))
 
 
+def short_print(sig: np.ndarray) -> np.ndarray:
+    """The lowest bit of every coordinate, in 64-bit words."""
+    return np.packbits((sig & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sketched(batches):
     for b in batches:
         rows = []
         for words in word_hashes(b.column("text").to_pylist()):
             found = shingles(words)
-            rows.append((len(found), *fingerprint(found), band_keys(signature(found)).view(np.int64) if len(found) else []))
-        cols = list(zip(*rows)) or [()] * 4
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_shingles", "print_a", "print_b", "bands"])
+            sig = signature(found) if len(found) else None
+            rows.append((len(found), *fingerprint(found), *(([], []) if sig is None else (short_print(sig), band_keys(sig).view(np.int64)))))
+        cols = list(zip(*rows)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_shingles", "print_a", "print_b", "bits", "bands"])
 
 
 def _sets(batches):
@@ -94,32 +109,13 @@ def _sets(batches):
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the set, and its band keys."""
     src = docs.select("doc_id", "text")
-    return src.mapInArrow(_sketched, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_shingles long, print_a long, print_b long, bands array<long>")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest reachable node) of all ends of edges (a, b): large and small stars in turn until
-    nothing changes. Minima are partial sums; the way back to a hub's edges is salted."""
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    digest = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    state = digest(now)
-    while state["n"]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = salted_left_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_left_join(large, least, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        now = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
-        seen = digest(now)
-        if seen == state:
-            break
-        state = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return src.mapInArrow(_sketched, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_shingles long, print_a long, print_b long, bits array<long>, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= PERCENT * union of their full sets. Hubs (b) are met through salts."""
-    hubs = salted_left_join(pairs, pairs.select("b").distinct().join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b"), "b", "a", 16)
+    """The pairs (a, b) with 100 * intersection >= PERCENT * union of their full sets. The first join brings hubs to narrow
+    pairs, so a hot hub's rows are a few bytes each and Spark splits them; the second is by the other member."""
+    hubs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     joined = hubs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return joined.where(100 * shared >= PERCENT * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
@@ -128,61 +124,66 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
+    # Spark's own bounded Bloom filters spare rows that a join will drop from its shuffle, at any input size.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     seen = materialise(sketch(docs), "sketch")
     sized = seen.where("n_shingles > 0 and doc_id is not null")
     key = F.struct("print_a", "print_b", "n_shingles")
     one = sized.select("doc_id", key.alias("k"))
-    classes = one.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    many = classes.where("copies > 1").select("k", "rep")
-    members = materialise(salted_left_join(one, many, "k", "doc_id").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    many = one.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("k", "rep")
+    members = materialise(salted_left_join(one, many, "k", "doc_id", 8).select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     reps = members.where("doc_id = rep").select("doc_id")
-    first = sized.join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("print_a", "print_b", "n_shingles", "bands")).alias("s"))
-    bands = materialise(first.select(F.col("doc_id").alias("doc"), F.col("s.n_shingles").alias("n"), F.explode("s.bands").alias("key")), "bands")
+    first = sized.join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("print_a", "print_b", "n_shingles", "bits", "bands")).alias("s"))
+    first = materialise(first.select(F.col("doc_id").alias("doc"), F.col("s.n_shingles").alias("n"), "s.bits", "s.bands"), "reps")
+    bands = first.select("doc", F.explode("bands").alias("key"))
     crowded = bands.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    buckets = salted_left_join(bands, crowded, "key", "doc", 8).where("held is not null")
+    buckets = materialise(bands.join(crowded, "key"), "crowded")
     central = buckets.groupBy("doc").agg(F.sum("held").alias("central"))
-    buckets = materialise(buckets.join(central, "doc"), "buckets")
+    known = materialise(first.drop("bands").join(central, "doc"), "members")
     edges_path = new_path(spark, "edges")
     kind = docs.schema["doc_id"].dataType.simpleString()
     spark.createDataFrame([], f"a {kind}, b {kind}").write.parquet(edges_path)
-    if not buckets.isEmpty():
-        _rounds(docs, buckets, edges_path, kind)
+    if not known.isEmpty():
+        _rounds(docs, buckets.join(known, "doc"), known, edges_path, kind)
     found = components(spark.read.parquet(edges_path))
-    linked = salted_left_join(members.withColumnRenamed("rep", "node"), found, "node", "doc_id")
+    linked = salted_left_join(members.withColumnRenamed("rep", "node"), found, "node", "doc_id", 8)
     linked = linked.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     return seen.select("doc_id", "n_shingles").join(linked, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _rounds(docs: DataFrame, buckets: DataFrame, edges_path: str, kind: str) -> None:
+def _rounds(docs: DataFrame, buckets: DataFrame, known: DataFrame, edges_path: str, kind: str) -> None:
     """Compares until every bucket is one component or used up; confirmed links go to edges_path."""
     spark = docs.sparkSession
-    needed = buckets.select(F.col("doc").alias("doc_id")).distinct()
+    needed = known.where("n > 0").select(F.col("doc").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
     made = texts.mapInArrow(_sets, f"doc_id {kind}, print_a long, print_b long, shingles array<long>")
     sets = materialise(made.groupBy("doc_id").agg(F.min(F.struct("print_a", "print_b", "shingles")).alias("s")).select("doc_id", "s.shingles"), "sets")
-    open_ = buckets.select("key", "doc", "n", "central", F.col("doc").alias("component"), F.lit(False).alias("used"))
-    hubs = 1
+    open_ = materialise(buckets.select("*", F.col("doc").alias("component"), F.lit(False).alias("used")), "open")
+    growth = 1
     while True:
-        order = F.struct("central", F.xxhash64("doc").alias("h"), "doc", "n", "component")
-        lead = open_.where("not used").withColumn("slot", F.pmod(F.xxhash64("doc", F.lit(hubs)), F.lit(hubs))).groupBy("key", "slot").agg(F.max(order).alias("h"))
-        lead = lead.select("key", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component"))
-        salts = 8
-        pairs = open_.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts))).join(
-            lead.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["key", "salt"]
-        )
-        pairs = pairs.where("component <> hub_component").where(100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n"))
+        slots = F.greatest(F.lit(1), F.least(F.lit(growth), (F.lit(growth * HUB_ROWS) / F.col("held")).cast("long")))
+        order = F.struct("central", F.xxhash64("doc").alias("h"), "doc", "n", "component", "bits")
+        lead = open_.where("not used").withColumn("slot", F.pmod(F.xxhash64("doc", F.lit(growth)), slots)).groupBy("key", "slot").agg(F.max(order).alias("h"))
+        lead = materialise(lead.select("key", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component"), F.col("h.bits").alias("hub_bits")), "hubs")
+        differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("hub_bits", F.lit(i)))) for i in range(COORDINATES // 64)), F.lit(0))
+        near = (F.col("component") != F.col("hub_component")) & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")) & (differ <= MOST_DIFFER)
+        pairs = open_.join(lead.withColumnRenamed("key", "hub_key"), (F.col("key") == F.col("hub_key")) & near)
         pairs = materialise(pairs.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-        confirmed(pairs, sets).write.mode("append").parquet(edges_path)
-        state = components(spark.read.parquet(edges_path))
-        marked = open_.drop("component").join(lead.select("key", F.col("hub").alias("doc"), F.lit(True).alias("now")), ["key", "doc"], "left")
+        links = materialise(confirmed(pairs, sets), "links")
+        links.write.mode("append").parquet(edges_path)
+        marked = open_.join(lead.select("key", F.col("hub").alias("doc"), F.lit(True).alias("now")), ["key", "doc"], "left")
         marked = marked.withColumn("used", F.col("used") | F.coalesce("now", F.lit(False))).drop("now")
-        marked = marked.join(state.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        if not links.isEmpty():
+            joined = components(spark.read.parquet(edges_path)).withColumnRenamed("node", "doc").withColumnRenamed("component", "now")
+            marked = marked.join(joined, "doc", "left").withColumn("component", F.coalesce("now", "doc")).drop("now")
         spans = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("used").alias("all_used"))
-        spans = spans.where("lo <> hi and not all_used").select("key", F.lit(True).alias("go"))
-        open_ = materialise(salted_left_join(marked, spans, "key", "doc", 8).where("go").drop("go"), "open")
+        spans = spans.where("lo <> hi and not all_used").select("key")
+        old, open_ = open_, materialise(marked.join(spans, "key", "left_semi").select(*open_.columns), "open")
+        for df in (old, lead, pairs, links):
+            discard(df)
         if open_.isEmpty():
             return
-        hubs *= HUB_GROWTH
+        growth *= HUB_GROWTH
 
 
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,4 +199,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 QUERIES = {"op6_circulant_minhash": op6_circulant_minhash}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_circulant_minhash": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+links as (select a as x, b as y from e union all select b, a from e),
+reach as (select doc_id as d, doc_id as c from documents union select links.y, reach.c from reach join links on links.x = reach.d),
+least as (select d, min(c) as c from reach group by d)
+select doc_id, coalesce(n.n, 0) as n_shingles, least.c as component_id, doc_id = least.c as kept from documents left join n using (doc_id) join least on least.d = doc_id"""
+}
