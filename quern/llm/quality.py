@@ -117,8 +117,24 @@ def keep_sound(docs: DataFrame) -> DataFrame:
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measures and the verdict of the rules and its host."""
     out = judge(table(prepare(spark), sf_dir, "documents"), ["doc_id"])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
 
 
 QUERIES = {"op8_host_rules": op8_host_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_host_rules": r"""
+with d as (
+  select doc_id, coalesce(source, chr(0)) as host, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents
+), g as (select doc_id, i, count(*) over (partition by doc_id, g) as n from (select doc_id, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) as g from d where len(w) >= 3)),
+r as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from g where n > 1) group by doc_id),
+m as (
+  select d.doc_id, host, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols,
+    len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(r.n_repeat_words, 0) as n_repeat_words from d left join r on r.doc_id = d.doc_id
+), f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 100 * n_symbols > 10 * word_chars as junk from m),
+h as (select host, count(*) as docs, sum(cast(base_failed or junk as int)) as fails from f group by host),
+p as (select avg(fails / docs) as mean, var_pop(fails / docs) as var, count(*) as n from h),
+s as (select mean, case when n < 2 then 2.0 when var <= 0 then 1000.0 else least(1000.0, greatest(2.0, mean * (1 - mean) / var - 1)) end as strength from p),
+k as (select host, (fails + mean * strength) / (docs + strength) as rate from h, s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or junk) and rate <= 0.5 as kept, round(rate, 9) as host_rate from f join k using (host)"""
+}
