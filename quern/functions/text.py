@@ -25,7 +25,8 @@ PII_PATTERNS = [
 ]
 TRACE_MARKERS = ["<|begin_of_thought|>", "<|end_of_thought|>", "<|begin_of_solution|>", "<|end_of_solution|>"]
 
-_SPACE = r"(?U)\s"
+#: What Python's str methods take for white space.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, use) -> Column:
@@ -35,12 +36,17 @@ def let(value: Column, use) -> Column:
 
 def strip(c: Column) -> Column:
     """Python's str.strip()."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def words(c: Column) -> Column:
     """Python's str.split()."""
-    return F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(c, f"[{SPACE}]+"), lambda x: x != "")
+
+
+def word_count(c: Column) -> Column:
+    """size(words(c)) without the words."""
+    return F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
 
 
 def word_runs(c: Column) -> Column:
@@ -54,7 +60,7 @@ def nonspace_runs(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines with something else than white space."""
-    return F.filter(F.split(c, "\n"), lambda x: x.rlike(r"(?U)\S"))
+    return F.filter(F.split(c, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
 
 
 @pandas_udf(StringType())
@@ -97,7 +103,7 @@ def collapse_space(c: Column) -> Column:
     """Blanks to one, three or more newlines to two, then each line's end, then both ends."""
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    c = F.array_join(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"(?U)\s+\z", "")), "\n")
+    c = F.array_join(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, rf"[{SPACE}]+\z", "")), "\n")
     return strip(c)
 
 
@@ -128,8 +134,8 @@ def normalise_counts(c: Column) -> dict[str, Column]:
 
 def language_profile(c: Column) -> Column:
     """nonlingual, en, non-latin or latin-other, by letters, Latin share and English stopwords."""
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    latin = F.regexp_count(c, F.lit(r"[\p{L}&&\p{IsLatin}]"))
+    only = F.regexp_replace(c, r"\P{L}+", "")
+    letters, latin = F.length(only), F.length(F.regexp_replace(only, r"\P{IsLatin}+", ""))
     tokens = F.regexp_extract_all(F.lower(c), F.lit("[a-zA-Z]+"), F.lit(0))
     share = latin / letters
     english = let(tokens, lambda t: (F.size(F.filter(t, lambda w: w.isin(ENGLISH_STOPWORDS))) / F.greatest(F.lit(1), F.size(t)) > 0.03) | (F.size(t) < 30))
@@ -142,13 +148,13 @@ def symbol_count(c: Column) -> Column:
 
 def quality_reasons(c: Column, flags: Column | None = None) -> Column:
     """Names of all rules that a text breaks, in a fixed order."""
-    n, symbols = F.size(words(c)), symbol_count(c)
+    n, symbols = word_count(c), symbol_count(c)
     flagged = F.array_contains(flags, "malformed_markers") if flags is not None else F.lit(False)
 
     def rules(filled):
         total = F.size(filled)
-        bullets = F.size(F.filter(filled, lambda x: x.rlike(rf"(?U)^\s*[{BULLETS}]")))
-        dots = F.size(F.filter(filled, lambda x: x.rlike(r"(?U)\.\.\.\s*\z")))
+        bullets = F.size(F.filter(filled, lambda x: x.rlike(rf"^[{SPACE}]*[{BULLETS}]")))
+        dots = F.size(F.filter(filled, lambda x: x.rlike(rf"\.\.\.[{SPACE}]*\z")))
         return [
             ("bullet_wall", (total > 0) & (bullets / total > 0.6)),
             ("ellipsis_heavy", (total > 0) & (dots / total > 0.3)),
@@ -166,8 +172,10 @@ def redact(c: Column) -> tuple[Column, dict[str, Column]]:
     """The text with each kind of personal data replaced in order, and how many of each kind."""
     counts = {}
     for kind, pattern in PII_PATTERNS:
-        counts[kind] = count_matches(c, "(?U)" + pattern)
-        c = F.regexp_replace(c, "(?U)" + pattern, f"[{kind.upper()}]")
+        # a character that every match holds spares most texts the pattern
+        holds = c.contains("@") if "@" in pattern else c.rlike(r"\p{Nd}")
+        counts[kind] = F.when(holds, count_matches(c, "(?U)" + pattern)).otherwise(F.lit(0).cast("long"))
+        c = F.when(holds, F.regexp_replace(c, "(?U)" + pattern, f"[{kind.upper()}]")).otherwise(c)
     return c, counts
 
 

@@ -147,7 +147,7 @@ def contaminated(docs: DataFrame, grams: DataFrame, probe: str = "text", least:
 def manifest(docs: DataFrame, shard: str = "shard-000", source: str = "documents") -> DataFrame:
     """One row: what the shard holds."""
     langs = with_language(docs).groupBy("language").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "count")))).alias("languages"))
-    size = docs.agg(F.count("*").alias("rows"), F.sum(F.size(T.words(F.col("text")))).cast("long").alias("tokens"))
+    size = docs.agg(F.count("*").alias("rows"), F.sum(T.word_count(F.col("text"))).cast("long").alias("tokens"))
     digest = hashing.corpus_sha256(docs, "text", "doc_id").select("sha256")
     steps = F.array(*(F.lit(x) for x in ["extract", "normalise", "language", "quality", "dedup", "pii", "decontam"]))
     return size.join(langs).join(digest).select(F.lit(shard).alias("shard_id"), F.lit(source).alias("source"), "sha256", "rows", "tokens", F.to_json("languages").alias("languages"), steps.alias("steps"))
@@ -156,7 +156,7 @@ def manifest(docs: DataFrame, shard: str = "shard-000", source: str = "documents
 def timeline(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """stage_ord, stage, rows and tokens after each stage."""
     parts = [
-        df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(T.words(F.col("text")))), F.lit(0)).cast("long").alias("tokens")).select(F.lit(i).alias("stage_ord"), F.lit(name).alias("stage"), "rows", "tokens")
+        df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(T.word_count(F.col("text"))), F.lit(0)).cast("long").alias("tokens")).select(F.lit(i).alias("stage_ord"), F.lit(name).alias("stage"), "rows", "tokens")
         for i, (name, df) in enumerate(stages)
     ]
     out = parts[0]
@@ -168,7 +168,7 @@ def timeline(stages: list[tuple[str, DataFrame]]) -> DataFrame:
 def funnel(docs: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
     """The timeline of row filters from one pass: each stage keeps what all before it kept and its own test keeps."""
     kept, sums = F.lit(True), []
-    flagged = docs.select(F.size(T.words(F.col("text"))).alias("tokens"), *(test.alias(f"keep_{i}") for i, (_, test) in enumerate(stages)))
+    flagged = docs.select(T.word_count(F.col("text")).alias("tokens"), *(test.alias(f"keep_{i}") for i, (_, test) in enumerate(stages)))
     for i, (name, _) in enumerate(stages):
         kept = kept & F.col(f"keep_{i}")
         tokens = F.coalesce(F.sum(F.when(kept, F.col("tokens"))), F.lit(0)).cast("long")

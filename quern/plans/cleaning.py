@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import hashing, text as T
 from quern.operators import cleaning as C
-from quern.session import materialise, prepare, table
+from quern.session import materialise, prepare, spread, table
 
 #: Texts that meet rules which the tables don't.
 LITERALS = [
@@ -18,7 +18,7 @@ LITERALS = [
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return C.as_documents(table(spark, sf, "documents"))
+    return C.as_documents(spread(table(spark, sf, "documents")))
 
 
 def with_literals(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,13 +75,13 @@ def exact_dedup(spark, sf):
 
 
 def dedup_clusters(spark, sf):
-    docs = table(prepare(spark), sf, "documents")
+    docs = spread(table(prepare(spark), sf, "documents"))
     sizes = C.clusters(docs).groupBy("root").agg(F.count("*").alias("n"))
     return sizes.agg(F.count_if(F.col("n") > 1).alias("clusters"), F.sum(F.col("n") - 1).cast("long").alias("removed"), F.max("n").alias("largest"))
 
 
 def dedup_roots(spark, sf):
-    return C.clusters(table(prepare(spark), sf, "documents"))
+    return C.clusters(spread(table(prepare(spark), sf, "documents")))
 
 
 def minhash_small(spark, sf):
@@ -92,12 +92,12 @@ def minhash_small(spark, sf):
 
 
 def shingle_stats(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(T.word_shingles(F.col("text"))).cast("long").alias("shingles"), F.size(T.word_ngrams(F.col("text"))).cast("long").alias("grams"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.size(T.word_shingles(F.col("text"))).cast("long").alias("shingles"), F.size(T.word_ngrams(F.col("text"))).cast("long").alias("grams"))
 
 
 def decontam_hits(spark, sf):
     grams = C.benchmark_grams(table(spark, sf, "benchmark"), F.concat(F.lit("b"), F.pmod("item_id", F.lit(3))))
-    return C.contaminated(table(spark, sf, "documents"), grams).select("doc_id", "shared", "name")
+    return C.contaminated(spread(table(spark, sf, "documents")), grams).select("doc_id", "shared", "name")
 
 
 def decontam_by_benchmark(spark, sf):
@@ -148,11 +148,12 @@ def label_agreement(spark, sf):
 
 def token_units(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select(
-        "doc_id", T.faithful_units(t).alias("units"), F.size(T.words(t)).cast("long").alias("split_words"), F.size(T.nonspace_runs(t)).cast("long").alias("runs"),
-        F.size(T.word_runs(t)).cast("long").alias("word_runs"), F.size(T.metaspace_pieces(t)).cast("long").alias("pieces"), F.size(T.byte_pretokens(t)).cast("long").alias("pretokens"),
+    count = lambda pattern, c=t: T.count_matches(c, pattern)
+    return spread(table(spark, sf, "documents")).select(
+        "doc_id", T.faithful_units(t).alias("units"), T.word_count(t).cast("long").alias("split_words"), count(r"(?U)\S+").alias("runs"),
+        count(r"(?U)\w+", F.lower(t)).alias("word_runs"), count("▁?[^▁]+|▁", F.replace(t, F.lit(" "), F.lit("▁"))).alias("pieces"), count(r"(?U)\s*\S+|\s+").alias("pretokens"),
         F.length(T.visible(t)).cast("long").alias("visible"), T.symbol_count(t).cast("long").alias("symbols"), F.md5(T.snippet(t)).alias("head"),
-        T.unspaced(F.length(t), F.size(T.words(t))).alias("unspaced"),
+        T.unspaced(F.length(t), T.word_count(t)).alias("unspaced"),
     )
 
 

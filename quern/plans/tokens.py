@@ -8,7 +8,7 @@ from quern.functions import hashing, scripts, text as T
 from quern.operators import tokenize as K
 from quern.operators import vectors as V
 from quern.plans.dialect import both
-from quern.session import prepare, table
+from quern.session import prepare, spread, table
 
 #: Fixture bounds of the merge loops, which run on distinct words.
 KEPT_WORDS, MERGES = 2000, 300
@@ -16,7 +16,7 @@ KEPT_WORDS, MERGES = 2000, 300
 
 def _counts(spark, sf):
     prepare(spark)
-    return K.word_counts(table(spark, sf, "documents"), keep=KEPT_WORDS)
+    return K.word_counts(spread(table(spark, sf, "documents")), keep=KEPT_WORDS)
 
 
 def _vocabulary(spark, sf):
