@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import cleaning, mixture, relational, sources, telemetry, tokens
+from quern.plans import cleaning, mixture, relational, sources, telemetry, tokens, training
 
-MODULES: list = [cleaning, telemetry, mixture, tokens, relational, sources]
+MODULES: list = [cleaning, telemetry, training, mixture, tokens, relational, sources]
 
 
 def queries() -> dict:
