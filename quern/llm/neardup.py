@@ -9,8 +9,8 @@ Buckets are never multiplied out. In each round some members of a bucket are hub
 buckets hold the most), every other member of another component is compared with them, and confirmed links are closed
 into components. A bucket is done when its members are one component or each has been a hub; the number of hubs
 grows by HUB_GROWTH a round. So any two members of a bucket are compared unless they are already known to be connected.
-Before full sets are fetched, a pair must agree in set size (exact) and in all but MOST_DIFFER of the signature's lowest
-bits (a linked pair fails that with a chance under one in a million, as with the bands themselves).
+Before full sets are fetched, a pair's shingles that occur elsewhere at all must be enough for the bound (exact; it also
+covers set sizes), and it must agree in all but MOST_DIFFER of the signature's lowest bits (a linked pair fails that with a chance under one in a million, as with the bands themselves).
 
 Defined cases: null or empty texts have empty sets, link with nothing and are kept; rows that share a doc_id are one
 document (their first set by fingerprint) and get the same verdict; null doc_ids aren't linked and are kept; an empty table
@@ -144,7 +144,7 @@ def link(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     spark.createDataFrame([], f"a {kind}, b {kind}").write.parquet(edges_path)
     if not known.isEmpty():
-        _rounds(docs, buckets.join(known, "doc"), known, edges_path, kind)
+        _rounds(docs, buckets, known, edges_path, kind)
     found = components(spark.read.parquet(edges_path))
     linked = salted_left_join(members.withColumnRenamed("rep", "node"), found, "node", "doc_id", 8)
     linked = linked.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
@@ -158,15 +158,21 @@ def _rounds(docs: DataFrame, buckets: DataFrame, known: DataFrame, edges_path: s
     texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
     made = texts.mapInArrow(_sets, f"doc_id {kind}, print_a long, print_b long, shingles array<long>")
     sets = materialise(made.groupBy("doc_id").agg(F.min(F.struct("print_a", "print_b", "shingles")).alias("s")).select("doc_id", "s.shingles"), "sets")
-    open_ = materialise(buckets.select("*", F.col("doc").alias("component"), F.lit(False).alias("used")), "open")
+    # A shingle that no other member has is in no intersection: what is left bounds every Jaccard value, exactly.
+    alone = sets.select("doc_id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc")).where("c = 1")
+    alone = alone.groupBy("doc").agg(F.count("*").alias("alone"))
+    able = known.join(alone, "doc", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    able = able.where(100 * F.col("common") >= PERCENT * F.col("n"))
+    open_ = materialise(buckets.join(able, "doc").select("*", F.col("doc").alias("component"), F.lit(False).alias("used")), "open")
     growth = 1
     while True:
         slots = F.greatest(F.lit(1), F.least(F.lit(growth), (F.lit(growth * HUB_ROWS) / F.col("held")).cast("long")))
-        order = F.struct("central", F.xxhash64("doc").alias("h"), "doc", "n", "component", "bits")
+        order = F.struct("central", F.xxhash64("doc").alias("h"), "doc", "n", "common", "component", "bits")
         lead = open_.where("not used").withColumn("slot", F.pmod(F.xxhash64("doc", F.lit(growth)), slots)).groupBy("key", "slot").agg(F.max(order).alias("h"))
-        lead = materialise(lead.select("key", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component"), F.col("h.bits").alias("hub_bits")), "hubs")
+        lead = materialise(lead.select("key", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.common").alias("hub_common"), F.col("h.component").alias("hub_component"), F.col("h.bits").alias("hub_bits")), "hubs")
         differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("hub_bits", F.lit(i)))) for i in range(COORDINATES // 64)), F.lit(0))
-        near = (F.col("component") != F.col("hub_component")) & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")) & (differ <= MOST_DIFFER)
+        most = F.least("common", "hub_common")
+        near = (F.col("component") != F.col("hub_component")) & (100 * most >= PERCENT * (F.col("n") + F.col("hub_n") - most)) & (differ <= MOST_DIFFER)
         pairs = open_.join(lead.withColumnRenamed("key", "hub_key"), (F.col("key") == F.col("hub_key")) & near)
         pairs = materialise(pairs.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
         links = materialise(confirmed(pairs, sets), "links")
