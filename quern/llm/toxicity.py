@@ -30,6 +30,8 @@ MAX_TERMS = 256
 NEIGHBOURS = 25
 BLOCK = 64
 HELD_OUT_MOD = 5
+#: Searches that a worker remembers before it forgets all; bounds memory, not results.
+SEARCHES_KEPT = 2000
 _WORD = re.compile(r"[^\W_]+")
 _BEGINNINGS = (4, 5, 6, 7)
 
@@ -133,7 +135,7 @@ class Model:
         key = tuple(query)
         near = self.seen.get(key)
         if near is None:
-            if len(self.seen) > 50_000:
+            if len(self.seen) > SEARCHES_KEPT:
                 self.seen.clear()
             near = self.seen[key] = self.index.search(query, NEIGHBOURS + 1)
         near = [(i, s) for i, s in near if self.ids[i] != doc_id][:NEIGHBOURS]
