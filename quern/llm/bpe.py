@@ -4,9 +4,7 @@ The rank file becomes a sentencepiece BPE model: byte b is written as the charac
 negative rank, and normalisation is the identity. Pre-tokens are encoded apart, as the rank library does: a pre-token
 that is itself in the vocabulary is one id. Decoding maps ids back to bytes through the inverse table.
 
-Texts are cut before each space that precedes another character than white space. No match of the pattern spans such a
-cut (only its first character may be a space, and white-space matches stop before the last space of a run), so cut
-pieces can be encoded alone and remembered.
+Texts are read in pieces, each distinct piece of a batch encoded once (quern.llm.pieces).
 
 Defined cases: null text is empty, empty text has no ids and hashes of nothing; texts are never shortened; repeated
 rows are encoded each; columns besides those asked for are not read.
@@ -16,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import struct
 from functools import lru_cache
 
@@ -24,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.pieces import PieceCoder
 from quern.session import prepare, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries that a worker remembers before it forgets all; bounds memory, not results.
-REMEMBERED = 400_000
-_CUT = re.compile(r" (?=\S)")
+#: Pre-tokens, and pieces in each of two generations, that a worker remembers; bounds memory, not results.
+REMEMBERED = 120_000
 _SHIFT = {b: 0x100 + b for b in range(256)}
 
 
@@ -84,43 +81,29 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.bytes_of = {r: raw for raw, r in self.ranks.items()}
         self.whole = {raw: struct.pack("<I", r) for raw, r in self.ranks.items()}
-        self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.encode_all = PieceCoder(self._learn, REMEMBERED).encode_all
 
-    def _learn(self, pieces: set[str]) -> None:
-        cut = {p: self.split(p) for p in pieces}
-        new = {t for ts in cut.values() for t in ts if t not in self.parts}
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of new pieces: their pre-tokens by the vocabulary itself, else by the model, each distinct one once."""
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        cut = [self.split(p) for p in pieces]
         hard = []
-        for t in new:
-            one = self.whole.get(t.encode())
-            if one is None:
-                hard.append(t)
-            else:
-                self.parts[t] = one
-        for t, ids in zip(hard, self.model.encode([mapped(t.encode()) for t in hard], num_threads=1) if hard else []):
+        for t in {t for ts in cut for t in ts}:
+            if t not in self.parts:
+                one = self.whole.get(t.encode("utf-8", "surrogatepass"))
+                if one is None:
+                    hard.append(t)
+                else:
+                    self.parts[t] = one
+        for t, ids in zip(hard, self.model.encode([mapped(t.encode("utf-8", "surrogatepass")) for t in hard], num_threads=1) if hard else []):
             self.parts[t] = self.ordered[np.array(ids, dtype=np.int64) - 1].tobytes()
         get = self.parts.__getitem__
-        for p, ts in cut.items():
-            self.known[p] = b"".join(map(get, ts))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        for memory in (self.known, self.parts):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-        cut = []
-        for t in texts:
-            first, *rest = _CUT.split(t)
-            cut.append(([first] if first else []) + [" " + x for x in rest])
-        missing = set().union(*cut) - self.known.keys() if cut else set()
-        if missing:
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
-
-    def decode(self, ids: bytes) -> bytes:
-        get = self.bytes_of.__getitem__
-        return b"".join(map(get, np.frombuffer(ids, dtype="<u4").tolist()))
+        return [b"".join(map(get, ts)) for ts in cut]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -136,17 +119,16 @@ def codec_mapper(path: str | None, pattern: str | None, tokens: bool = False):
 
         c = codec(path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            ids = c.encode_all(texts)
+            ids = c.encode_all(b.column("text").to_pylist())
             cols = [
                 b.column("doc_id"),
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
                 pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()),
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if tokens:
-                cols.append(pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

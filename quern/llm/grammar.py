@@ -34,6 +34,8 @@ from quern.session import new_path, prepare, table
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 SHARD_IDS = 1 << 21
+#: Pieces in each of the two generations that a worker remembers; bounds memory, not results.
+REMEMBERED = 600_000
 PAIRS_A_ROUND = 2048
 LEAST_COUNT = 8
 LEAST_GAIN = 0.03
@@ -52,7 +54,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.base = self.tokenizer.get_vocab_size()
-        self.encode_all = PieceCoder(self._learn).encode_all
+        self.encode_all = PieceCoder(self._learn, REMEMBERED).encode_all
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]

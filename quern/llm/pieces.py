@@ -16,7 +16,6 @@ import numpy as np
 from quern.llm.words import _power_tables, mix
 
 GROUP = 1 << 21
-REMEMBERED = 600_000
 _LENGTH = np.uint64(0xA24BAED4963EE407)
 #: Bytes after a space that can't begin a white-space character: not ASCII white space or separators, and not the first
 #: bytes of the encodings of U+0085, U+00A0, U+1680, U+2000 to U+205F and U+3000.
@@ -29,13 +28,13 @@ class PieceCoder:
     """learn: texts of new pieces to their ids, little-endian unsigned 32-bit. Two generations of remembered pieces: a full
     young one becomes the old one, and what is met again returns. Bounds memory, not results."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], remembered: int):
+        self.learn, self.remembered = learn, remembered
         self.young: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
 
     def _ids_of(self, hashes: list[int], text_of: Callable[[int], str]) -> list[bytes]:
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         found = list(map(self.young.get, hashes))
         lost = [k for k, v in enumerate(found) if v is None]
