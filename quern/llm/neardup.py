@@ -3,14 +3,16 @@
 A document's set is its distinct 5-word shingles, hashed to 64 bits; shorter texts are one shingle, empty ones none.
 Two permutations give the whole signature: the first places a shingle among 2**20 positions, the second, shifted
 circularly by k, gives coordinate k; all coordinates of a shingle are one contiguous stretch of the second. Equal sets
-become one class first. BANDS bands of ROWS coordinates give buckets of classes, and links are confirmed on full sets.
+become one class first. Bands of ROWS coordinates give buckets of classes, and links are confirmed on full sets. The bound is a
+percentage of Jaccard similarity: PERCENT for the query, STAGE_PERCENT for one_of_each; bands and prints are sized from it.
 
 Buckets are never multiplied out. In each round some members of a bucket are hubs (the most central first: those whose
 buckets hold the most), every other member of another component is compared with them, and confirmed links are closed
 into components. A bucket is done when its members are one component or each has been a hub; the number of hubs
 grows by HUB_GROWTH a round. So any two members of a bucket are compared unless they are already known to be connected.
 Before full sets are fetched, a pair's shingles that occur elsewhere at all must be enough for the bound (exact; it also
-covers set sizes), and it must agree in all but MOST_DIFFER of the signature's lowest bits (a linked pair fails that with a chance under one in a million, as with the bands themselves).
+covers set sizes), and it must agree in all but most_differ() of the signature's lowest bits. A linked pair shares no band or
+fails the print with a chance under MISSED in all.
 
 Defined cases: null or empty texts have empty sets, link with nothing and are kept; rows that share a doc_id are one
 document (their first set by fingerprint) and get the same verdict; null doc_ids aren't linked and are kept; an empty table
@@ -19,6 +21,7 @@ gives an empty result; very long texts give whole sets; other columns are not re
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -34,16 +37,34 @@ SHINGLE = 5
 HUB_GROWTH = 16
 #: A bucket of this many members gets as many hubs as the round has; a larger one fewer, in proportion.
 HUB_ROWS = 256
-PERCENT = 85
-BANDS, ROWS = 26, 5
-#: Coordinates of the signature; the first BANDS * ROWS make bands, the lowest bit of each makes a short print.
+#: Least similarity that links: in the query, and in stages that keep one document of each component.
+PERCENT, STAGE_PERCENT = 85, 80
+ROWS = 5
+#: Coordinates of the signature; the first band_count() * ROWS make bands, the lowest bit of each makes a short print.
 COORDINATES = 256
-#: Bits in which prints of a pair at the bound may differ: the mean (0.15 / 2 of them) and over five deviations.
-MOST_DIFFER = 42
+#: Chance of losing a pair at the bound: a third by the bands, two thirds by the print.
+MISSED = 1e-6
 POSITIONS = 1 << 20
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
+def band_count(percent: int) -> int:
+    """Bands by which a pair at the bound shares one."""
+    n = math.ceil(math.log(MISSED / 3) / math.log1p(-((percent / 100) ** ROWS)))
+    if n * ROWS > COORDINATES:
+        raise ValueError(f"{percent} % needs {n * ROWS} coordinates of {COORDINATES}")
+    return n
+
+
+def most_differ(percent: int) -> int:
+    """Bits in which prints of a pair at the bound may differ: a bit does with half the chance that a coordinate does."""
+    p, n, left, m = (1 - percent / 100) / 2, COORDINATES, 1.0, -1
+    while left >= MISSED * 2 / 3:
+        m += 1
+        left = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(m + 1, n + 1))
+    return m
+
+
 @lru_cache(maxsize=1)
 def circulant(k: int = COORDINATES, positions: int = POSITIONS) -> np.ndarray:
     """Row p holds the second permutation's values at p, p + 1, ..., p + k - 1, circularly; a view, not a copy."""
@@ -70,9 +91,9 @@ def signature(found: np.ndarray) -> np.ndarray:
     return np.min([windows[place[i : i + 512]].min(axis=0) for i in range(0, len(place), 512)], axis=0)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for c in sig[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64).T:
+def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    h = np.arange(1, bands + 1, dtype=np.uint64)
+    for c in sig[: bands * ROWS].reshape(bands, ROWS).astype(np.uint64).T:
         h = mix(h * _STEP + c)
     return h
 
@@ -86,16 +107,19 @@ def short_print(sig: np.ndarray) -> np.ndarray:
     return np.packbits((sig & 1).astype(np.uint8)).view(np.int64)
 
 
-def _sketched(batches):
-    for b in batches:
-        rows = []
-        for words in word_hashes(b.column("text").to_pylist()):
-            found = shingles(words)
-            sig = signature(found) if len(found) else None
-            rows.append((len(found), *fingerprint(found), *(([], []) if sig is None else (short_print(sig), band_keys(sig).view(np.int64)))))
-        cols = list(zip(*rows)) or [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_shingles", "print_a", "print_b", "bits", "bands"])
+def _sketched(bands: int):
+    def run(batches):
+        for b in batches:
+            rows = []
+            for words in word_hashes(b.column("text").to_pylist()):
+                found = shingles(words)
+                sig = signature(found) if len(found) else None
+                rows.append((len(found), *fingerprint(found), *(([], []) if sig is None else (short_print(sig), band_keys(sig, bands).view(np.int64)))))
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_shingles", "print_a", "print_b", "bits", "bands"])
+
+    return run
 
 
 def _sets(batches):
@@ -106,27 +130,27 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "print_a", "print_b", "shingles"])
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, bands: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the set, and its band keys."""
     src = docs.select("doc_id", "text")
-    return src.mapInArrow(_sketched, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_shingles long, print_a long, print_b long, bits array<long>, bands array<long>")
+    return src.mapInArrow(_sketched(bands), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_shingles long, print_a long, print_b long, bits array<long>, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= PERCENT * union of their full sets. The first join brings hubs to narrow
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets. The first join brings hubs to narrow
     pairs, so a hot hub's rows are a few bytes each and Spark splits them; the second is by the other member."""
     hubs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     joined = hubs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return joined.where(100 * shared >= PERCENT * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return joined.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def link(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; sets of that similarity are linked."""
     spark = docs.sparkSession
     # Spark's own bounded Bloom filters spare rows that a join will drop from its shuffle, at any input size.
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    seen = materialise(sketch(docs), "sketch")
+    seen = materialise(sketch(docs, band_count(percent)), "sketch")
     sized = seen.where("n_shingles > 0 and doc_id is not null")
     key = F.struct("print_a", "print_b", "n_shingles")
     one = sized.select("doc_id", key.alias("k"))
@@ -144,14 +168,14 @@ def link(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     spark.createDataFrame([], f"a {kind}, b {kind}").write.parquet(edges_path)
     if not known.isEmpty():
-        _rounds(docs, buckets, known, edges_path, kind)
+        _rounds(docs, buckets, known, edges_path, kind, percent)
     found = components(spark.read.parquet(edges_path))
     linked = salted_left_join(members.withColumnRenamed("rep", "node"), found, "node", "doc_id", 8)
     linked = linked.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     return seen.select("doc_id", "n_shingles").join(linked, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _rounds(docs: DataFrame, buckets: DataFrame, known: DataFrame, edges_path: str, kind: str) -> None:
+def _rounds(docs: DataFrame, buckets: DataFrame, known: DataFrame, edges_path: str, kind: str, percent: int) -> None:
     """Compares until every bucket is one component or used up; confirmed links go to edges_path."""
     spark = docs.sparkSession
     needed = known.where("n > 0").select(F.col("doc").alias("doc_id"))
@@ -162,7 +186,7 @@ def _rounds(docs: DataFrame, buckets: DataFrame, known: DataFrame, edges_path: s
     alone = sets.select("doc_id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc")).where("c = 1")
     alone = alone.groupBy("doc").agg(F.count("*").alias("alone"))
     able = known.join(alone, "doc", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    able = able.where(100 * F.col("common") >= PERCENT * F.col("n"))
+    able = able.where(100 * F.col("common") >= percent * F.col("n"))
     open_ = materialise(buckets.join(able, "doc").select("*", F.col("doc").alias("component"), F.lit(False).alias("used")), "open")
     growth = 1
     while True:
@@ -172,10 +196,10 @@ def _rounds(docs: DataFrame, buckets: DataFrame, known: DataFrame, edges_path: s
         lead = materialise(lead.select("key", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.common").alias("hub_common"), F.col("h.component").alias("hub_component"), F.col("h.bits").alias("hub_bits")), "hubs")
         differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("hub_bits", F.lit(i)))) for i in range(COORDINATES // 64)), F.lit(0))
         most = F.least("common", "hub_common")
-        near = (F.col("component") != F.col("hub_component")) & (100 * most >= PERCENT * (F.col("n") + F.col("hub_n") - most)) & (differ <= MOST_DIFFER)
+        near = (F.col("component") != F.col("hub_component")) & (100 * most >= percent * (F.col("n") + F.col("hub_n") - most)) & (differ <= most_differ(percent))
         pairs = open_.join(lead.withColumnRenamed("key", "hub_key"), (F.col("key") == F.col("hub_key")) & near)
         pairs = materialise(pairs.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-        links = materialise(confirmed(pairs, sets), "links")
+        links = materialise(confirmed(pairs, sets, percent), "links")
         links.write.mode("append").parquet(edges_path)
         marked = open_.join(lead.select("key", F.col("hub").alias("doc"), F.lit(True).alias("now")), ["key", "doc"], "left")
         marked = marked.withColumn("used", F.col("used") | F.coalesce("now", F.lit(False))).drop("now")
@@ -194,13 +218,13 @@ def _rounds(docs: DataFrame, buckets: DataFrame, known: DataFrame, edges_path: s
 
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and component."""
-    out = link(table(prepare(spark), sf_dir, "documents"))
+    out = link(table(prepare(spark), sf_dir, "documents"), PERCENT)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of the smallest doc_id of every component, with all their columns."""
-    gone = link(docs).where("doc_id <> component_id").select("doc_id")
+    gone = link(docs, percent).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
 
 

@@ -314,6 +314,38 @@ def test_near_duplicate_cases(spark, sf_of, odd, none):
     assert op6_circulant_minhash(spark, sf_of(documents=none)).count() == 0
 
 
+def test_stage_drops_copies_from_four_fifths(spark):
+    from quern.llm.neardup import PERCENT, band_count, most_differ, one_of_each
+
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts = {}
+    for g in range(40):
+        base = [rng.choice(vocab) for _ in range(200)]
+        texts[10 * g] = " ".join(base)
+        for k in range(1, 5):
+            w = list(base)
+            for at in rng.sample(range(len(w)), k + 2):
+                w[at] = rng.choice(vocab)
+            texts[10 * g + k] = " ".join(w)
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+
+    def kept(percent):
+        root = {d: d for d in sets}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for a, b in itertools.combinations(sorted(sets), 2):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+        return [d for d in sorted(sets) if find(d) == d]
+
+    made = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert kept(80) != kept(85)
+    assert sorted(r["doc_id"] for r in rows(one_of_each(made))) == kept(80)
+    assert sorted(r["doc_id"] for r in rows(one_of_each(made, PERCENT))) == kept(85)
+    assert (band_count(85), most_differ(85)) == (26, 42) and band_count(80) > 26 and most_differ(80) > 42
+
+
 # -- 7 language model ------------------------------------------------------------------------------------------------
 
 
