@@ -3,8 +3,8 @@
 Documents are range-partitioned by doc_id, encoded with the tokenizers library, ended with END_ID and gathered into
 shards of about SHARD_IDS ids (whole documents). In each shard frequent pairs of ids become nonterminals, again and
 again: every round counts all pairs, takes the most frequent that cannot overlap each other, and replaces all their
-places at once. Pairs never contain the end id, so no rule crosses a document. Rounds stop when one saves less than
-LEAST_GAIN of the sequence.
+places at once. A pair of equal ids counts at alternate places of its run. Pairs never contain the end id, so no rule
+crosses a document. Rounds stop when one saves less than LEAST_GAIN of the sequence.
 
 A shard file is: the magic `QRNG`, version, symbol width, then counts (documents, ids, rules, symbols, base) and the
 arrays doc_id, null flags, ids per document, first symbol per document, rules (left, right), expansion length per rule,
@@ -38,7 +38,7 @@ SHARD_IDS = 1 << 21
 REMEMBERED = 600_000
 PAIRS_A_ROUND = 2048
 LEAST_COUNT = 8
-LEAST_GAIN = 0.03
+LEAST_GAIN = 0.02
 MAGIC = b"QRNG"
 _HEAD = struct.Struct("<4sHHQQQQQ")
 
@@ -65,6 +65,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def overlapping(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Every second place of each run of equal neighbours, where the pair would overlap the one before."""
+    same = np.flatnonzero(a == b)
+    first = np.ones(len(same), dtype=bool)
+    first[1:] = np.diff(same) != 1
+    starts = np.flatnonzero(first)
+    offset = np.arange(len(same)) - np.repeat(starts, np.diff(np.append(starts, len(same))))
+    return same[offset % 2 == 1]
+
+
 def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and expansion lengths of one shard's ids."""
     seq = ids.astype(np.uint32)
@@ -76,7 +86,9 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         a, b = seq[:-1], seq[1:]
         pairs_at = (a.astype(kind) << kind(half)) | b.astype(kind)
         ends = seq == end_id
-        codes = np.sort(pairs_at[~(ends[:-1] | ends[1:] | (a == b))])
+        usable = ~(ends[:-1] | ends[1:])
+        usable[overlapping(a, b)] = False
+        codes = np.sort(pairs_at[usable])
         if not len(codes):
             break
         edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
@@ -106,7 +118,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         left, right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
         left[list(lefts)] = True
         right[list(rights)] = True
-        near = np.flatnonzero(left[a] & right[b])
+        near = np.flatnonzero(left[a] & right[b] & usable)
         wanted = pairs_at[near]
         at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
         hit = code[at] == wanted

@@ -244,6 +244,28 @@ def test_grammar_round_trip():
     assert len(compress(np.empty(0, dtype="<u4"), 10)[0]) == 0
 
 
+def test_grammar_folds_runs_of_one_id():
+    from quern.llm.grammar import END_ID, Shard, overlapping, pack
+
+    made = [np.array([9, *[5] * n, 8, END_ID], dtype="<u4") for n in (1000, 1001, 7, 0, 1)]
+    shard = Shard(pack(list(range(5)), made, 60000))
+    assert all(np.array_equal(shard.ids(k), m) for k, m in enumerate(made))
+    assert len(shard.symbols) < 100 and [5, 5] in shard.rules.tolist()
+    seq = np.array([5, 5, 5, 5, 1, 7, 7, 7, 2, 2])
+    assert overlapping(seq[:-1], seq[1:]).tolist() == [1, 6]
+
+
+def test_grammar_goes_on_while_a_round_saves_a_fiftieth():
+    from quern.llm.grammar import compress
+
+    seq = np.random.default_rng(1).permutation(np.arange(10, 10010, dtype="<u4"))
+    for k in range(250):
+        seq[40 * k : 40 * k + 3] = 3, 4, 5
+    symbols, rules, _ = compress(seq, 60000)
+    assert len(rules) == 2 and len(symbols) == 10000 - 500
+
+
+
 def test_shards_equal_the_library(spark, sf_of, odd, none, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
