@@ -10,13 +10,13 @@ from quern.operators import vectors as V
 from quern.plans.dialect import both
 from quern.session import prepare, spread, table
 
-#: Fixture bounds of the merge loops, which run on distinct words.
-KEPT_WORDS, MERGES = 2000, 300
+MERGES = 300
 
 
 def _counts(spark, sf):
+    """Every distinct word of each language: merge loops and fertility see the same words."""
     prepare(spark)
-    return K.word_counts(spread(table(spark, sf, "documents")), keep=KEPT_WORDS)
+    return K.word_counts(spread(table(spark, sf, "documents")))
 
 
 def _vocabulary(spark, sf):
