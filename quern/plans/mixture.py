@@ -134,7 +134,7 @@ def pack_concat(spark, sf):
 
 def packing_audit(spark, sf):
     prepare(spark)
-    packed = S.pack_concat(_lane_docs(spark, sf).where("doc_id < 200"), 128)
+    packed = S.pack_concat(_lane_docs(spark, sf), 128)
     return S.audit_packing(packed, ["lane", "part", "seq"])
 
 

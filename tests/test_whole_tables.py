@@ -24,3 +24,9 @@ def test_tokenizer_counts_every_word(spark, tmp_path):
     got = {r["lang"]: r for r in catalog.queries()["bpe_bytes_fertility"](spark, str(tmp_path)).collect()}
     assert got["en"]["words"] == 5000 and got["de"]["words"] == 2
     assert tokens._counts(spark, str(tmp_path)).count() == 5002
+
+
+def test_packing_audit_reads_all_documents(spark, far, monkeypatch):
+    monkeypatch.setattr(mixture.S, "audit_packing", lambda packed, keys: packed.agg(F.count("*").alias("n")))
+    whole = mixture.S.pack_concat(mixture._lane_docs(spark, far), 128).count()
+    assert mixture.packing_audit(spark, far).first()["n"] == whole > 0
