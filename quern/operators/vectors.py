@@ -146,6 +146,20 @@ def prefix_pairs(tokens: DataFrame, least: int = 4, n: int = 400) -> DataFrame:
     return ranked.groupBy("p").agg(F.min_by("token_id", "r").alias("a"), F.max_by("token_id", "r").alias("b")).where("a <> b").orderBy(F.xxhash64("p")).limit(n).select("a", "b")
 
 
+def unrelated_pairs(tokens: DataFrame, n: int = 400) -> DataFrame:
+    """Up to n pairs (a, b) of tokens of over three letters whose first two differ: the k-th of one order by hash with the
+    k-th of another; orders are read four times as far, for those pairs that begin alike."""
+    from pyspark.sql import Window
+
+    flat = tokens.where(F.length("token") > 3)
+
+    def side(seed: int, name: str) -> DataFrame:
+        first = flat.select(F.col("token_id").alias(name), F.substring("token", 1, 2).alias(f"p{name}"), F.xxhash64("token", F.lit(seed)).alias("h")).orderBy("h", name).limit(4 * n)
+        return first.withColumn("k", F.row_number().over(Window.orderBy("h", name))).drop("h")
+
+    return side(1, "a").join(side(2, "b"), "k").where("pa <> pb").orderBy("k").limit(n).select("a", "b")
+
+
 def separation(cosines: DataFrame, clusters: DataFrame) -> DataFrame:
     """Over clusters (cluster, a, b): least separation, upper median of separations, clusters still colliding."""
     worst = cosines.join(clusters, ["a", "b"]).groupBy("cluster").agg(F.max("cosine").alias("c"))

@@ -8,7 +8,7 @@ from quern.functions import hashing, scripts, text as T
 from quern.operators import tokenize as K
 from quern.operators import vectors as V
 from quern.plans.dialect import both
-from quern.session import prepare, spread, table
+from quern.session import materialise, prepare, spread, table
 
 MERGES = 300
 
@@ -100,9 +100,11 @@ def indic_collision_share(spark, sf):
 
 def code_separation(spark, sf):
     """Cosines of related and unrelated tokens for each byte code."""
-    tokens = _vocabulary(spark, sf).where(F.length("token") >= 6).orderBy("token_id").limit(400)
-    related = V.prefix_pairs(tokens, 4, 50)
-    other = tokens.select(F.col("token_id").alias("a")).join(related.select("b"), F.col("a") < F.col("b")).where(F.pmod(F.xxhash64("a", "b"), F.lit(20)) == 0).limit(50)
+    vocabulary = _vocabulary(spark, sf)
+    related = materialise(V.prefix_pairs(vocabulary), "related")
+    other = materialise(V.unrelated_pairs(vocabulary, related.count()), "unrelated")
+    used = related.unionByName(other).select(F.explode(F.array("a", "b")).alias("token_id")).distinct()
+    tokens = materialise(vocabulary.join(used, "token_id", "left_semi"), "tokens")
     out = None
     for kind in ("onehot", "fourier", "random", "relative"):
         codes = V.byte_codes(tokens, kind, 16)

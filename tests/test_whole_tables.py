@@ -39,3 +39,18 @@ def test_ledgers_hold_all_events(spark, far):
     assert verdicts["ledger_intact"] == verdicts["tamper_is_seen"] == "PASS"
     got = sources.sink_round_trip(spark, far).collect()
     assert [(r["entries"], r["intact"], r["shards_ok"]) for r in got] == [(n, True, True)]
+
+
+def test_code_separation_pairs_come_from_the_whole_vocabulary(spark, tmp_path, monkeypatch):
+    letters = ["".join(x) for x in itertools.product("abcdefghij", repeat=3)]
+    text = " ".join(f"{p}z{end}" for p in letters for end in ("xx", "yyy"))
+    spark.createDataFrame([(0, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    plain = tokens.V.code_cosine
+    monkeypatch.setattr(tokens.V, "code_cosine", lambda codes, pairs: seen.append(sorted(map(tuple, pairs.collect()))) or plain(codes, pairs))
+    rows = tokens.code_separation(spark, str(tmp_path)).collect()
+    words = {r["token_id"]: r["token"] for r in tokens._vocabulary(spark, str(tmp_path)).collect()}
+    related, other = seen[0], seen[1]
+    assert len(related) == len(other) == 400 and seen[2:4] == [related, other]
+    assert all(words[a][:4] == words[b][:4] for a, b in related) and all(words[a][:2] != words[b][:2] for a, b in other)
+    assert len(rows) == 4 and all(r["related"] is not None and r["unrelated"] is not None for r in rows)
