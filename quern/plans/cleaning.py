@@ -67,7 +67,8 @@ def pii_counts(spark, sf):
 
 
 def pii_redacted(spark, sf):
-    return C.redact(with_literals(spark, sf)).where("n_email > 0").select("doc_id", F.md5("text").alias("digest"))
+    found = F.expr(" + ".join(f"n_{k}" for k, _ in T.PII_PATTERNS)) > 0
+    return C.redact(with_literals(spark, sf)).where(found).select("doc_id", F.md5("text").alias("digest"))
 
 
 def exact_dedup(spark, sf):

@@ -54,3 +54,9 @@ def test_code_separation_pairs_come_from_the_whole_vocabulary(spark, tmp_path, m
     assert len(related) == len(other) == 400 and seen[2:4] == [related, other]
     assert all(words[a][:4] == words[b][:4] for a, b in related) and all(words[a][:2] != words[b][:2] for a, b in other)
     assert len(rows) == 4 and all(r["related"] is not None and r["unrelated"] is not None for r in rows)
+
+
+def test_redacted_documents_of_every_kind(spark, tmp_path):
+    texts = ["mail a.b@example.org", "host 10.1.2.3 up", "call 212 555 1234", "ask @somebody_x now", "nothing here"]
+    spark.createDataFrame([(1000 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["doc_id"] for r in cleaning.pii_redacted(spark, str(tmp_path)).collect() if r["doc_id"] >= 1000) == [1000, 1001, 1002, 1003]
