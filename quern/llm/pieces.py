@@ -1,9 +1,8 @@
-"""Encoding of whole texts piece by piece, each distinct piece of a batch once.
+"""Encoding of whole texts piece by piece, each distinct piece once as long as it is remembered.
 
-A text is cut before every space that a byte follows which cannot begin white space. No match of the byte-level pattern
-spans such a cut: only its first character may be a space, and matches of white space stop before the last space of a
-run. So pieces can be encoded alone. Pieces are told apart by their length and a 64-bit hash (two of ten million distinct
-pieces agree by chance with a probability of about 3e-6); ids are gathered for all pieces at once.
+A text is cut before every space that a character follows which can't begin white space. No match of the byte-level
+pattern spans such a cut: only its first character may be a space, and matches of white space stop before the last space
+of a run. So pieces can be encoded alone. Pieces are looked up by their own text, so equal ids mean equal pieces.
 """
 
 from __future__ import annotations
@@ -13,15 +12,20 @@ from collections.abc import Callable
 
 import numpy as np
 
-from quern.llm.words import _power_tables, mix
+#: Characters of text encoded at once, pieces learnt at once, and the longest piece that is remembered.
+GROUP, LEARNT, LONGEST = 1 << 21, 20_000, 256
+#: Not ASCII white space, separators or controls, and no other character that any library counts as white space.
+_PLAIN = "[^\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u206f\\u3000\\ufeff]"
+_CUT = re.compile(f"(?= {_PLAIN})")
+_UNSAFE = re.compile(f" (?!{_PLAIN})")
 
-GROUP = 1 << 21
-_LENGTH = np.uint64(0xA24BAED4963EE407)
-#: Bytes after a space that can't begin a white-space character: not ASCII white space or separators, and not the first
-#: bytes of the encodings of U+0085, U+00A0, U+1680, U+2000 to U+205F and U+3000.
-_PLAIN = np.ones(256, dtype=bool)
-_PLAIN[[*range(0x00, 0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
-_SAFE = re.compile(rb" (?=[!-~])")
+
+def cut(text: str) -> list[str]:
+    """The pieces of a text, in order."""
+    if _UNSAFE.search(text):
+        return _CUT.split(text)
+    first, *rest = text.split(" ")
+    return [first, *[" " + r for r in rest]]
 
 
 class PieceCoder:
@@ -30,90 +34,38 @@ class PieceCoder:
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], remembered: int):
         self.learn, self.remembered = learn, remembered
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _ids_of(self, hashes: list[int], text_of: Callable[[int], str]) -> list[bytes]:
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
-        found = list(map(self.young.get, hashes))
-        lost = [k for k, v in enumerate(found) if v is None]
+        cuts = [cut(t) for t in texts]
+        known, old = self.young, self.old
+        long: dict[str, bytes] = {}
         new = []
-        for k in lost:
-            v = self.old.get(hashes[k])
-            if v is None:
-                new.append(k)
+        for p in set().union(*cuts).difference(known):
+            ids = old.get(p)
+            if ids is None:
+                new.append(p)
             else:
-                found[k] = self.young[hashes[k]] = v
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for k, v in zip(part, self.learn([text_of(k) for k in part])):
-                found[k] = self.young[hashes[k]] = v
-        return found
-
-    def _group(self, raws: list[bytes]) -> list[np.ndarray]:
-        joined = b"".join(raws)
-        edges = np.cumsum([0] + [len(r) for r in raws])
-        if not joined:
-            return [np.empty(0, dtype="<u4")] * len(raws)
-        data = np.frombuffer(joined, dtype=np.uint8)
-        cut = np.zeros(len(data) + 1, dtype=bool)
-        cut[: len(data) - 1] = (data[:-1] == 0x20) & _PLAIN[data[1:]]
-        inner = edges[1:-1]
-        cut[inner[inner > 0] - 1] = False  # a text's last space has no next byte
-        cut[edges] = True
-        starts = np.flatnonzero(cut[:-1])
-        ends = np.append(starts[1:], len(data))
-        power, inverse = _power_tables(max(len(data), GROUP))
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:], dtype=np.uint64)
-        h = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        lo, hi = starts[first].tolist(), ends[first].tolist()
-        ids = self._ids_of(distinct.tolist(), lambda k: joined[lo[k] : hi[k]].decode("utf-8", "surrogatepass"))
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        sizes = np.array([len(i) // 4 for i in ids], dtype=np.int64)
-        at = (np.cumsum(sizes) - sizes)[back]
-        sizes = sizes[back]
-        reach = np.concatenate([[0], np.cumsum(sizes)])
-        out = flat[np.repeat(at - reach[:-1], sizes) + np.arange(reach[-1])]
-        cuts = reach[np.searchsorted(starts, edges)]
-        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def _long(self, raw: bytes) -> np.ndarray:
-        parts, at = [], 0
-        while len(raw) - at > GROUP:
-            m = _SAFE.search(raw, at + GROUP)
-            if not m:
-                break
-            parts.append(raw[at : m.start()])
-            at = m.start()
-        return np.concatenate([self._group([p])[0] for p in [*parts, raw[at:]]])
+                known[p] = ids
+        for i in range(0, len(new), LEARNT):
+            part = new[i : i + LEARNT]
+            for p, ids in zip(part, self.learn(part)):
+                (known if len(p) <= LONGEST else long)[p] = ids
+        get = known.__getitem__ if not long else {**known, **long}.__getitem__
+        return [np.frombuffer(b"".join(map(get, c)), dtype="<u4") for c in cuts]
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text."""
-        out: list = [None] * len(texts)
-        group: list[int] = []
-        raws: list[bytes] = []
+        out: list[np.ndarray] = []
+        group: list[str] = []
         size = 0
-
-        def flush() -> None:
-            for i, ids in zip(group, self._group(raws)):
-                out[i] = ids
-            group.clear()
-            raws.clear()
-
-        for i, t in enumerate(texts):
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            if len(raw) > GROUP:
-                out[i] = self._long(raw)
-                continue
-            if size + len(raw) > GROUP and group:
-                flush()
-                size = 0
-            group.append(i)
-            raws.append(raw)
-            size += len(raw)
-        if group:
-            flush()
-        return out
+        for t in texts:
+            if size > GROUP:
+                out += self._group(group)
+                group, size = [], 0
+            group.append(t or "")
+            size += len(t or "")
+        return out + self._group(group)

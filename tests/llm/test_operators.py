@@ -417,13 +417,44 @@ def test_language_model_cases(spark, sf_of, odd, none):
     assert op7_backoff_automaton(spark, sf_of(documents=none)).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
 def test_word_hashes_tell_words_apart():
     from quern.llm import words
 
-    texts = ["", " ", "a B\tc\x0bd", "aB", "é É", None, "x" * (words.SEGMENT + 7) + " y", "p q " * words.SEGMENT]
-    for t, h in zip(texts, words.word_hashes(texts)):
+    texts = ["", " ", "a B\tc\x0bd", "aB", "é É", None, "x" * (1 << 20) + " y", "p q " * 300_000, thue_morse(2048), thue_morse(2048).translate(str.maketrans("ab", "ba"))]
+    hashes = words.word_hashes(texts)
+    for t, h in zip(texts, hashes):
         w = WORDS.findall((t or "").translate(LOWER))
         assert len(h) == len(w) and len(set(h.tolist())) == len(set(w))
+    assert hashes[-1][0] != hashes[-2][0]
+
+
+def test_words_that_defeat_polynomial_hashes(spark, sf_of):
+    """A Thue-Morse word and its complement agree under every polynomial hash modulo a power of two."""
+    from quern.llm.bpe import VOCABULARY, op4_bpe_codec
+    from quern.llm.grammar import op5_repair_shards
+    from quern.llm.lm import op7_backoff_automaton
+    from quern.llm.neardup import op6_circulant_minhash
+
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = {0: one, 1: other, 2: " ".join([one] * 6), 3: " ".join([one, other] * 3), 4: f"{other} {other}", 5: other}
+    sf = sf_of(documents=spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1))
+    enc = ranks(VOCABULARY)
+    for r in rows(op4_bpe_codec(spark, sf)):
+        assert r["ids_sha256"] == hashlib.sha256(np.array(enc.encode_ordinary(texts[r["doc_id"]]), dtype="<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    crc = {r["doc_id"]: r["ids_crc32"] for r in rows(op5_repair_shards(spark, sf))}
+    assert crc[0] != crc[1] and crc[1] == crc[5]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(op6_circulant_minhash(spark, sf))}
+    assert got == brute_components(texts)
+    train = [d for d in texts if zlib.crc32(str(d).encode()) % 10]
+    seen = {w for d in train for w in texts[d].split()}
+    for r in rows(op7_backoff_automaton(spark, sf)):
+        assert r["n_known"] == sum(w in seen for w in texts[r["doc_id"]].split()) + 1
 
 
 # -- 8 quality -------------------------------------------------------------------------------------------------------
