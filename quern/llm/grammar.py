@@ -2,14 +2,17 @@
 
 Documents are range-partitioned by doc_id, encoded with the tokenizers library, ended with END_ID and gathered into
 shards of about SHARD_IDS ids (whole documents). In each shard frequent pairs of ids become nonterminals, again and
-again: every round counts all pairs, takes the most frequent that cannot overlap each other, and replaces all their
-places at once. A pair of equal ids counts at alternate places of its run. Pairs never contain the end id, so no rule
-crosses a document. Rounds stop when one saves less than LEAST_GAIN of the sequence.
-
-A shard file is: the magic `QRNG`, version, symbol width, then counts (documents, ids, rules, symbols, base) and the
-arrays doc_id, null flags, ids per document, first symbol per document, rules (left, right), expansion length per rule,
-symbols. A document is decoded alone from its first symbol, by expansion lengths. Files travel as one binary value a
-row of a Parquet table, so that any store Spark writes to will do and its commit protocol covers lost executors.
+again: a round counts all pairs and replaces, the most frequent first, those that are at least a SCHEDULE-th as frequent as
+the most frequent one and share no symbol in a way that could overlap. (One pair a round is the same with SCHEDULE 1 and
+far slower; the grammars differ by under a percent.) A pair of equal ids counts at alternate places of its run. Pairs never
+contain the end id, so no rule crosses a document. It ends when no pair occurs LEAST_COUNT times, which is when a rule
+takes as much room as it saves: both symbols and the expansion length of a rule take about three symbols.
+
+A shard file is: the magic `QRNG`, version, then counts (documents, ids, rules, symbols, base) and the arrays doc_id, null
+flags, ids per document, first symbol per document, rules (left, right), expansion length per rule, symbols. Symbols are
+written as 16-bit halves and packed planes of the bits above. A document is decoded alone from its first symbol, by
+expansion lengths. Files travel as one binary value a row of a Parquet table, so that any store Spark writes to will do and
+its commit protocol covers lost executors.
 
 Defined cases: null text is empty (the end id alone); null doc_ids come first; equal doc_ids go by a hash of the text;
 very long documents make a shard of their own; an empty table gives no file and an empty result; other columns are not
@@ -36,11 +39,10 @@ END_ID = 2
 SHARD_IDS = 1 << 21
 #: Pieces in each of the two generations that a worker remembers; bounds memory, not results.
 REMEMBERED = 600_000
-PAIRS_A_ROUND = 2048
-LEAST_COUNT = 8
-LEAST_GAIN = 0.02
-MAGIC = b"QRNG"
-_HEAD = struct.Struct("<4sHHQQQQQ")
+LEAST_COUNT = 4
+SCHEDULE = 16
+MAGIC, VERSION = b"QRNG", 2
+_HEAD = struct.Struct("<4sIQQQQQ")
 
 
 class Encoder:
@@ -75,85 +77,89 @@ def overlapping(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same[offset % 2 == 1]
 
 
-def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def apart(lefts: list[int], rights: list[int]) -> list[int]:
+    """Places of pairs, the first ones first, none of which begins with a symbol that another ends with."""
+    begins: set[int] = set()
+    ends: set[int] = set()
+    out = []
+    for k, (x, y) in enumerate(zip(lefts, rights)):
+        if x not in ends and y not in begins:
+            begins.add(x)
+            ends.add(y)
+            out.append(k)
+    return out
+
+
+def compress(ids: np.ndarray, base: int, end_id: int = END_ID, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and expansion lengths of one shard's ids."""
     seq = ids.astype(np.uint32)
-    rules: list[tuple[int, int]] = []
-    lengths: list[int] = []
-    size = lambda s: lengths[s - base] if s >= base else 1
+    rules = np.empty((0, 2), dtype="<u4")
     while len(seq) > 1:
-        half, kind = (16, np.uint32) if base + len(rules) <= 1 << 16 else (32, np.uint64)
+        top = base + len(rules)
+        half, kind = (16, np.uint32) if top <= 1 << 16 else (32, np.uint64)
         a, b = seq[:-1], seq[1:]
-        pairs_at = (a.astype(kind) << kind(half)) | b.astype(kind)
-        ends = seq == end_id
-        usable = ~(ends[:-1] | ends[1:])
+        usable = (a != end_id) & (b != end_id)
         usable[overlapping(a, b)] = False
+        pairs_at = (a.astype(kind) << kind(half)) | b
         codes = np.sort(pairs_at[usable])
-        if not len(codes):
-            break
         edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         counts = np.diff(np.append(edge, len(codes)))
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        pairs, counts = codes[edge[often]], counts[often]
-        if len(pairs) > PAIRS_A_ROUND:
-            best = np.argsort(-counts, kind="stable")[:PAIRS_A_ROUND]
-        else:
-            best = np.argsort(-counts, kind="stable")
-        lefts: set[int] = set()
-        rights: set[int] = set()
-        chosen: list[tuple[int, int]] = []
-        for code in pairs[best].tolist():
-            x, y = code >> half, code & (1 << half) - 1
-            if x not in rights and y not in lefts:
-                lefts.add(x)
-                rights.add(y)
-                chosen.append((code, base + len(rules)))
-                rules.append((x, y))
-                lengths.append(size(x) + size(y))
-        if not chosen:
+        most = counts.max() if len(codes) else 0
+        if most < least:
             break
-        chosen.sort()
-        code, name = (np.array(c, dtype=d) for c, d in zip(zip(*chosen), (kind, np.uint32)))
-        top = base + len(rules)
-        left, right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
-        left[list(lefts)] = True
-        right[list(rights)] = True
-        near = np.flatnonzero(left[a] & right[b] & usable)
+        often = np.flatnonzero(counts >= max(least, most // SCHEDULE))
+        pairs = codes[edge[often]][np.argsort(-counts[often], kind="stable")]
+        lefts, rights = (pairs >> kind(half)).astype(np.int64), (pairs & kind((1 << half) - 1)).astype(np.int64)
+        chosen = apart(lefts.tolist(), rights.tolist())
+        pairs, lefts, rights = pairs[chosen], lefts[chosen], rights[chosen]
+        begins, ends = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
+        begins[lefts] = True
+        ends[rights] = True
+        near = np.flatnonzero(begins[a] & ends[b] & usable)
+        order = np.argsort(pairs)
+        code, name = pairs[order], (top + order).astype(np.uint32)
         wanted = pairs_at[near]
         at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
         hit = code[at] == wanted
         near, at = near[hit], at[hit]
-        before = len(seq)
-        seq[near] = name[at]
-        keep = np.ones(before, dtype=bool)
+        keep = np.ones(len(seq), dtype=bool)
         keep[near + 1] = False
+        seq[near] = name[at]
         seq = seq[keep]
-        if len(near) < LEAST_GAIN * before:
-            break
-    return seq, np.array(rules, dtype="<u4").reshape(-1, 2), np.array(lengths, dtype="<u4")
+        rules = np.concatenate([rules, np.stack([lefts, rights], axis=1).astype("<u4")])
+    lengths: list[int] = []
+    for x, y in rules.tolist():
+        lengths.append((lengths[x - base] if x >= base else 1) + (lengths[y - base] if y >= base else 1))
+    return seq, rules, np.array(lengths, dtype="<u4")
+
+
+def planes(symbols: np.ndarray, top: int) -> bytes:
+    """Numbers below top: their lower 16 bits, then a packed plane for each bit above."""
+    high = [np.packbits((symbols >> np.uint32(k) & np.uint32(1)).astype(np.uint8)).tobytes() for k in range(16, max(top - 1, 0).bit_length())]
+    return b"".join([symbols.astype("<u2").tobytes(), *high])
 
 
 def pack(doc_ids: list[int | None], encoded: list[np.ndarray], base: int) -> bytes:
     """One shard file; encoded: ids of each document, the end id included."""
     counts = np.array([len(e) for e in encoded], dtype="<i8")
     symbols, rules, lengths = compress(np.concatenate(encoded), base)
-    sizes = np.ones(base + len(rules), dtype=np.int64)
+    top = base + len(rules)
+    sizes = np.ones(top, dtype=np.int64)
     sizes[base:] = lengths
     reach = np.concatenate([[0], np.cumsum(sizes[symbols])])
     starts = np.searchsorted(reach, np.concatenate([[0], np.cumsum(counts)])).astype("<i8")
-    width = 2 if base + len(rules) <= 1 << 16 else 4
-    head = _HEAD.pack(MAGIC, 1, width, len(doc_ids), int(counts.sum()), len(rules), len(symbols), base)
+    head = _HEAD.pack(MAGIC, VERSION, len(doc_ids), int(counts.sum()), len(rules), len(symbols), base)
     ids = np.array([d if d is not None else 0 for d in doc_ids], dtype="<i8")
     nulls = np.array([d is None for d in doc_ids], dtype="u1")
-    return b"".join(x if isinstance(x, bytes) else x.tobytes() for x in (head, ids, nulls, counts, starts, rules, lengths, symbols.astype(f"<u{width}")))
+    return b"".join([head, *(x.tobytes() for x in (ids, nulls, counts, starts)), planes(rules.ravel(), top), lengths.tobytes(), planes(symbols, top)])
 
 
 class Shard:
     """A shard file read again."""
 
     def __init__(self, raw: bytes):
-        magic, version, width, n_docs, self.n_ids, n_rules, n_symbols, self.base = _HEAD.unpack_from(raw)
-        if magic != MAGIC or version != 1:
+        magic, version, n_docs, self.n_ids, n_rules, n_symbols, self.base = _HEAD.unpack_from(raw)
+        if magic != MAGIC or version != VERSION:
             raise ValueError("not a shard file")
         at = _HEAD.size
 
@@ -163,11 +169,17 @@ class Shard:
             at += out.nbytes
             return out
 
+        def numbers(n: int) -> np.ndarray:
+            out = take("<u2", n).astype(np.uint32)
+            for k in range(16, max(self.base + n_rules - 1, 0).bit_length()):
+                out |= np.unpackbits(take("u1", -(-n // 8)), count=n).astype(np.uint32) << np.uint32(k)
+            return out
+
         ids, nulls = take("<i8", n_docs), take("u1", n_docs)
         self.doc_ids = [None if z else d for d, z in zip(ids.tolist(), nulls.tolist())]
         self.counts, self.starts = take("<i8", n_docs), take("<i8", n_docs + 1)
-        self.rules, self.lengths = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
-        self.symbols = take(f"<u{width}", n_symbols)
+        self.rules, self.lengths = numbers(2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
+        self.symbols = numbers(n_symbols)
         size = np.ones(self.base + n_rules, dtype=np.int64)
         size[self.base :] = self.lengths
         self.size = size

@@ -255,15 +255,42 @@ def test_grammar_folds_runs_of_one_id():
     assert overlapping(seq[:-1], seq[1:]).tolist() == [1, 6]
 
 
-def test_grammar_goes_on_while_a_round_saves_a_fiftieth():
-    from quern.llm.grammar import compress
-
-    seq = np.random.default_rng(1).permutation(np.arange(10, 10010, dtype="<u4"))
-    for k in range(250):
-        seq[40 * k : 40 * k + 3] = 3, 4, 5
-    symbols, rules, _ = compress(seq, 60000)
-    assert len(rules) == 2 and len(symbols) == 10000 - 500
+def repair_by_hand(ids, end_id, least):
+    """Re-Pair of one pair at a time, by definition: symbols and number of rules."""
+    seq, top, rules = list(ids), 1_000_000, 0
+    while True:
+        counts, last = {}, {}
+        for i, p in enumerate(zip(seq, seq[1:])):
+            if end_id not in p and last.get(p) != i - 1:
+                counts[p] = counts.get(p, 0) + 1
+                last[p] = i
+        best = max(counts, key=counts.get, default=None)
+        if best is None or counts[best] < least:
+            return seq, rules
+        out, i = [], 0
+        while i < len(seq):
+            if tuple(seq[i : i + 2]) == best:
+                out.append(top)
+                i += 2
+            else:
+                out.append(seq[i])
+                i += 1
+        seq, top, rules = out, top + 1, rules + 1
+
+
+def test_grammar_is_as_small_as_one_pair_at_a_time(docs):
+    from quern.llm.grammar import END_ID, LEAST_COUNT, Encoder, VOCABULARY, compress
+    import public_tokenizers
 
+    enc = Encoder(public_tokenizers.path(VOCABULARY))
+    ids = np.concatenate([np.append(e, np.uint32(END_ID)) for e in enc.encode_all([t for _, t in docs][:40])])[:12000]
+    want, n = repair_by_hand(ids.tolist(), END_ID, LEAST_COUNT)
+    symbols, rules, _ = compress(ids, enc.base)
+    assert len(symbols) + 3 * len(rules) <= 1.02 * (len(want) + 3 * n)
+    pairs = {}
+    for p in zip(symbols.tolist(), symbols.tolist()[1:]):
+        pairs[p] = pairs.get(p, 0) + (END_ID not in p and p[0] != p[1])
+    assert max(pairs.values()) < LEAST_COUNT
 
 
 def test_shards_equal_the_library(spark, sf_of, odd, none, docs):
