@@ -1,15 +1,19 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes (operator 10).
-
-A bounded sample of labelled rows (TRAIN_ROWS, by hash of doc_id; a documented parameter) gives examples and picks the
-terms that tell the labels apart (chi-square past a bound that grows with the number of terms tried). Terms are words
-and word beginnings of 4 to 7 letters, lower-cased. Inverse document frequencies count all documents. The index keeps,
-for each term, postings cut into blocks of examples with each block's largest weight; a search visits blocks in order
-of their upper bound and stops when no block can reach the k-th best, so its result equals a full scan's. Votes weigh
-by cosine; a prior worth one neighbour (the share among examples without any term) calibrates the score.
-
-Defined cases: null or empty text has no terms and gets the prior; equal cosines go to the smaller example; a document
-is never its own evidence; repeated doc_ids give one example (its smallest vector) and are each scored; without labels
-the score is 0; an empty table gives an empty result; other columns are not read.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index (operator 10).
+
+A bounded sample of labelled rows (TRAIN_ROWS rows and TRAIN_BYTES bytes of text, none of over a sixteenth of that, by hash
+of doc_id; documented parameters) gives the examples, clean and toxic ones. Terms are all words of all examples, lower-cased, and those word beginnings of 4 to
+7 letters that the labels depend on. A term weighs (1 + ln tf) * idf * (FLOOR + relevance): idf counts all documents of
+the corpus, and relevance is the phi coefficient of term and label, 0 unless the chi-square statistic passes a bound that
+grows with the number of examples. So no word is left out, and words that tell the labels apart weigh most.
+
+The index keeps, for each term, postings cut into blocks of BLOCK examples with each block's largest weight. Examples that
+share their most frequent word are neighbours in it, so blocks differ by language. A search bounds every block, scores the
+best few, and then those blocks that can still reach the k-th best; its result equals a full scan's. Votes weigh by cosine;
+a prior worth one neighbour (the share of toxic examples) calibrates the score.
+
+Defined cases: null or empty texts and texts of unknown words get the prior; equal cosines go to the smaller example; a
+document is never its own evidence; repeated doc_ids give one example (its smallest words) and are each scored; without
+labels the score is 0; an empty table gives an empty result; very long texts are scored whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,18 +24,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.session import prepare, table
 
-TRAIN_ROWS = 8000
-MAX_TERMS = 256
+TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 26
+FLOOR = 0.01
 NEIGHBOURS = 25
 BLOCK = 64
+#: Blocks that a search scores before it has a bound.
+FIRST_BLOCKS = 4
 HELD_OUT_MOD = 5
-#: Searches that a worker remembers before it forgets all; bounds memory, not results.
-SEARCHES_KEPT = 2000
+#: Words whose terms a worker remembers; bounds memory, not results.
+REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W_]+")
 _BEGINNINGS = (4, 5, 6, 7)
 
@@ -44,179 +50,185 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def all_terms(words: set[str]) -> set[str]:
-    """Words, and their beginnings marked with a star."""
-    found = set(words)
-    for n in _BEGINNINGS:
-        found.update(w[:n] + "*" for w in words if len(w) > n)
-    return found
+def beginnings(word: str) -> list[str]:
+    """Beginnings of a word, marked with a star."""
+    return [word[:n] + "*" for n in _BEGINNINGS if len(word) > n]
 
 
 class Vocabulary:
-    """The chosen terms, looked up by word and by word beginning."""
+    """Terms and their places; a word's terms are the word and its beginnings, as far as they are terms."""
 
     def __init__(self, terms: list[str]):
         self.place = {t: i for i, t in enumerate(terms)}
-        self.words = frozenset(t for t in terms if not t.endswith("*"))
-        self.starts = {n: frozenset(t[:-1] for t in terms if t.endswith("*") and len(t) == n + 1) for n in _BEGINNINGS}
-        self.starts = {n: s for n, s in self.starts.items() if s}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        """Term place -> occurrences in the whole text."""
-        words = words_of(text)
-        distinct = set(words)
-        found = {w: [w] for w in distinct & self.words}
-        for n, s in self.starts.items():
-            for w in distinct:
-                if w[:n] in s and len(w) > n:
-                    found.setdefault(w, []).append(w[:n] + "*")
-        if not found:
-            return {}
-        out: Counter = Counter()
-        for w in words:
-            for t in found.get(w, ()):
-                out[self.place[t]] += 1
-        return dict(out)
-
-
-def vector(counts: dict[int, int], idf: np.ndarray) -> list[tuple[int, float]]:
-    """Unit TF-IDF vector, term places rising; (1 + ln tf) idf."""
-    raw = [(t, (1 + math.log(n)) * float(idf[t])) for t, n in sorted(counts.items())]
-    norm = math.sqrt(sum(w * w for _, w in raw))
-    return [(t, w / norm) for t, w in raw] if norm else []
+        self.of_word: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, word: str) -> tuple[int, ...]:
+        found = tuple(self.place[t] for t in (word, *beginnings(word)) if t in self.place)
+        self.of_word[word] = found
+        return found
+
+    def counts(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Term places, rising, and how often the words have them."""
+        if len(self.of_word) > REMEMBERED:
+            self.of_word.clear()
+        out: dict[int, int] = {}
+        get = self.of_word.get
+        for w, n in words.items():
+            terms = get(w)
+            for t in self._learn(w) if terms is None else terms:
+                out[t] = out.get(t, 0) + n
+        places = np.fromiter(out, dtype=np.int64, count=len(out))
+        order = np.argsort(places)
+        return places[order], np.fromiter(out.values(), dtype=np.float64, count=len(out))[order]
+
+    def __getstate__(self):
+        return {"place": self.place, "of_word": {}}
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), then starts[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class BlockMaxIndex:
-    """Postings by term, in blocks of BLOCK examples with their largest weights."""
-
-    def __init__(self, vectors: list[list[tuple[int, float]]], n_terms: int):
-        self.n = len(vectors)
-        self.blocks = -(-self.n // BLOCK)
-        self.maxima = np.zeros((n_terms, max(self.blocks, 1)))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v:
-                lists[t].append((i, w))
-                self.maxima[t, i // BLOCK] = max(self.maxima[t, i // BLOCK], w)
-        self.ids = [np.array([i for i, _ in x], dtype=np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.cuts = [np.searchsorted(i, np.arange(self.blocks + 1) * BLOCK) for i in self.ids]
-
-    def search(self, query: list[tuple[int, float]], k: int) -> list[tuple[int, float]]:
+    """Postings by term and block. vectors: (term places, weights) of each example, places rising."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        common = np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *(t for t, _ in vectors)]), minlength=n_terms)
+        lead = [(-common[t].max(), t[common[t].argmax()]) if len(t) else (0, -1) for t, _ in vectors]
+        self.order = np.array(sorted(range(self.n), key=lambda i: (*lead[i], i)), dtype=np.int64)
+        terms = np.concatenate([np.empty(0, dtype=np.int64), *(vectors[i][0] for i in self.order)])
+        weights = np.concatenate([np.empty(0), *(vectors[i][1] for i in self.order)])
+        at = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in self.order])
+        by_term = np.argsort(terms, kind="stable")
+        self.at, self.weights, terms = at[by_term].astype(np.int32), weights[by_term], terms[by_term]
+        cell = terms * max(self.blocks, 1) + self.at // BLOCK
+        self.starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, dtype=np.int64)
+        self.sizes = np.diff(np.append(self.starts, len(cell)))
+        self.block = (cell[self.starts] % max(self.blocks, 1)).astype(np.int32)
+        self.maxima = np.maximum.reduceat(self.weights, self.starts) if len(cell) else np.empty(0)
+        self.first = np.searchsorted(terms[self.starts], np.arange(n_terms + 1))
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
         """The k examples of largest cosine above 0, ties to the smaller place."""
-        if not query or not self.n:
+        if not len(terms) or not self.n:
             return []
-        bound = sum(w * self.maxima[t] for t, w in query)
-        best: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(self.blocks), -bound[: self.blocks])):
-            if bound[b] <= 0 or (len(best) == k and bound[b] * (1 + 1e-9) + 1e-12 < -best[-1][0]):
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in query:
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                scores[self.ids[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            best += [(-float(scores[j]), int(b) * BLOCK + int(j)) for j in np.flatnonzero(scores > 0)]
-            best.sort()
-            del best[k:]
+        held = self.first[terms + 1] - self.first[terms]
+        cells, of_cell = ranges(self.first[terms], held), np.repeat(weights, held)
+        block = self.block[cells]
+        bound = np.bincount(block, of_cell * self.maxima[cells], minlength=self.blocks)
+        scores = np.zeros(self.blocks * BLOCK)
+
+        def add(chosen: np.ndarray) -> None:
+            mine = chosen[block]
+            sizes = self.sizes[cells[mine]]
+            postings = ranges(self.starts[cells[mine]], sizes)
+            scores.__iadd__(np.bincount(self.at[postings], self.weights[postings] * np.repeat(of_cell[mine], sizes), minlength=len(scores)))
+
+        seen = np.zeros(self.blocks, dtype=bool)
+        seen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        add(seen)
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
+        rest = ~seen & (bound > 0) & (bound * (1 + 1e-9) + 1e-12 >= least)
+        if rest.any():
+            add(rest)
+        some = np.flatnonzero(scores > 0)
+        if len(some) > k:
+            some = some[scores[some] >= np.partition(scores[some], len(some) - k)[len(some) - k] - 1e-12]
+        best = sorted((-round(float(scores[j]), 12), int(self.order[j])) for j in some)[:k]
         return [(i, -s) for s, i in best]
 
 
 class Model:
-    """Everything that scoring needs; its size is bounded by TRAIN_ROWS and MAX_TERMS."""
+    """Everything that scoring needs; its size is bounded by TRAIN_ROWS and TRAIN_BYTES.
+    examples: (doc_id, label, words with their counts); weight: of each term, idf times relevance."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[tuple[int, float]]]], prior: float):
-        self.vocabulary, self.idf, self.prior = Vocabulary(terms), idf, prior
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, examples: list[tuple[int, int, dict[str, int]]]):
+        self.vocabulary, self.weight = vocabulary, weight
         self.ids, self.labels = [e[0] for e in examples], [e[1] for e in examples]
-        self.index = BlockMaxIndex([e[2] for e in examples], len(terms))
-        self.seen: dict = {}
+        self.prior = sum(self.labels) / len(examples) if examples else 0.0
+        self.index = BlockMaxIndex([self.vector(e[2]) for e in examples], len(weight))
+
+    def vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit TF-IDF vector of counted words: term places, rising, and weights."""
+        places, n = self.vocabulary.counts(words)
+        raw = (1 + np.log(n)) * self.weight[places]
+        norm = math.sqrt(float((raw * raw).sum()))
+        return (places, raw / norm) if norm else (places[:0], raw[:0])
 
     def score(self, doc_id, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        query = vector(self.vocabulary.counts(text), self.idf)
-        key = tuple(query)
-        near = self.seen.get(key)
-        if near is None:
-            if len(self.seen) > SEARCHES_KEPT:
-                self.seen.clear()
-            near = self.seen[key] = self.index.search(query, NEIGHBOURS + 1)
+        near = self.index.search(*self.vector(Counter(words_of(text))), NEIGHBOURS + 1)
         near = [(i, s) for i, s in near if self.ids[i] != doc_id][:NEIGHBOURS]
-        up, all_ = self.prior + sum(s * self.labels[i] for i, s in near), 1.0 + sum(s for _, s in near)
+        one = near[0][1] if near else 1.0
+        up, all_ = self.prior * one + sum(s * self.labels[i] for i, s in near), one + sum(s for _, s in near)
         return min(1.0, max(0.0, up / all_)), [(self.ids[i], s) for i, s in near[:3]]
 
-    def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
-
 
-def _term_counts(batches):
-    n, up = Counter(), Counter()
+def _bags(batches):
     for b in batches:
-        for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            terms = all_terms(set(words_of(text)))
-            n.update(terms)
-            if label:
-                up.update(terms)
-    keys = list(n)
-    for i in range(0, len(keys), 50_000):
-        part = keys[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([n[k] for k in part], pa.int64()), pa.array([up[k] for k in part], pa.int64())], names=["term", "n", "up"])
+        found = [sorted(Counter(words_of(t)).items()) for t in b.column("text").to_pylist()]
+        cols = [pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *cols], names=["doc_id", "toxic", "words", "counts"])
 
 
-def _document_frequency(terms):
-    vocabulary = Vocabulary(terms)
-
+def _document_frequency(shared):
     def run(batches):
-        df = np.zeros(len(terms), dtype=np.int64)
+        vocabulary = shared.value
+        df = np.zeros(len(vocabulary.place), dtype=np.int64)
         docs = 0
         for b in batches:
-            for text in b.column("text").to_pylist():
-                docs += 1
-                for t in vocabulary.counts(text):
-                    df[t] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(terms))], pa.int32()), pa.array([docs, *df.tolist()], pa.int64())], names=["place", "df"])
+            docs += b.num_rows
+            found = [vocabulary.counts(dict.fromkeys(words_of(t), 1))[0] for t in b.column("text").to_pylist()]
+            df += np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *found]), minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(df[some], docs))], names=["place", "df"])
 
     return run
 
 
-def _vectors(terms):
-    vocabulary = Vocabulary(terms)
+def relevance(n: np.ndarray, up: np.ndarray, rows: int, toxic: int) -> np.ndarray:
+    """Phi coefficient of each term (in n of the rows, up of them toxic) with the label, as far as chi-square passes a bound."""
+    a, b = up.astype(float), (n - up).astype(float)
+    c, d = toxic - a, rows - toxic - b
+    below = (a + b) * (c + d) * (a + c) * (b + d)
+    chi = np.divide(rows * (a * d - b * c) ** 2, below, out=np.zeros(len(a)), where=below > 0)
+    return np.sqrt(np.maximum(0.0, chi - 2 * math.log(max(rows, 1) * 100 / 0.05)) / max(rows, 1))
 
-    def run(batches):
-        for b in batches:
-            found = [sorted(vocabulary.counts(t).items()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("toxic"), pa.array([[x for p in f for x in p] for f in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "counts"]
-            )
 
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
     """Learn from labelled rows that aren't held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    total = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("up")).first()
-    n, up = total["n"], total["up"] or 0
-    counts = rows.mapInArrow(_term_counts, "term string, n long, up long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("up").alias("up"))
-    a, b = F.col("up").cast("double"), (F.col("n") - F.col("up")).cast("double")
-    c, d = F.lit(float(up)) - a, F.lit(float(n - up)) - b
-    chi = F.try_divide(F.lit(float(n)) * (a * d - b * c) * (a * d - b * c), (a + b) * (c + d) * (a + c) * (b + d))
-    picked = counts.where(F.col("up") >= 3).where((c + d > 0) & (a + c > 0) & (b + d > 0) & (a * d > b * c)).withColumn("chi", chi)
-    tried = 2.0 * math.log(max(n, 1) * 100 / 0.05)
-    terms = [r["term"] for r in picked.where(F.col("chi") >= tried).orderBy(F.desc("chi"), "term").limit(MAX_TERMS).collect()]
-    if not terms:
-        return Model([], np.zeros(0), [], up / n if n else 0.0)
-    df = {r["place"]: r["df"] for r in docs.select("text").mapInArrow(_document_frequency(terms), "place int, df long").groupBy("place").agg(F.sum("df").alias("df")).collect()}
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
+    size = F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("size")
+    sizes = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(size).where(F.col("size") <= train_bytes // 16)
+    used = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = sizes.withColumn("used", used).where(F.col("used") <= train_bytes).select("doc_id", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = rows.mapInArrow(_vectors(terms), f"doc_id {kind}, toxic int, counts array<int>").groupBy("doc_id").agg(F.min(F.struct("counts", "toxic")).alias("x"))
-    examples, blank = [], []
-    for r in made.orderBy("doc_id").collect():
-        flat = r["x"]["counts"]
-        if flat:
-            examples.append((r["doc_id"], r["x"]["toxic"], vector(dict(zip(flat[::2], flat[1::2])), idf)))
-        else:
-            blank.append(r["x"]["toxic"])
-    return Model(terms, idf, examples, sum(blank) / len(blank) if blank else 0.0)
+    bags = rows.select("doc_id", "toxic", "text").mapInArrow(_bags, f"doc_id {kind}, toxic int, words array<string>, counts array<int>").toArrow().to_pydict()
+    one: dict = {}
+    for d, y, w, c in zip(*(bags[x] for x in ("doc_id", "toxic", "words", "counts"))):
+        if d not in one or (w, c) < one[d][1:]:
+            one[d] = (y, w, c)
+    examples = [(d, y, dict(zip(w, c))) for d, (y, w, c) in sorted(one.items())]
+    n, up = Counter(), Counter()
+    for _, y, words in examples:
+        terms = {*words, *(t for w in words for t in beginnings(w))}
+        n.update(terms)
+        if y:
+            up.update(terms)
+    terms = sorted(n)
+    phi = relevance(np.array([n[t] for t in terms]), np.array([up[t] for t in terms]), len(examples), sum(y for _, y, _ in examples))
+    kept = [i for i, t in enumerate(terms) if phi[i] > 0 or not t.endswith("*")]
+    vocabulary = Vocabulary([terms[i] for i in kept])
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    found = docs.select("text").mapInArrow(_document_frequency(shared), "place int, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(kept) + 1)
+    df[found.column("place").to_numpy()] = found.column("df").to_numpy()  # place -1, the last one, holds the documents
+    weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (FLOOR + phi[kept])
+    return Model(vocabulary, weight, examples)
 
 
 def _scored(shared, keep_rows: bool):

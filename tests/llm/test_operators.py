@@ -591,16 +591,72 @@ def test_block_max_search_is_exact():
     from quern.llm.toxicity import BlockMaxIndex
 
     rng = random.Random(6)
-    unit = lambda v: [(t, w / math.sqrt(sum(x * x for _, x in v))) for t, w in v]
-    made = [unit([(t, rng.random()) for t in sorted(rng.sample(range(20), rng.randint(1, 6)))]) for _ in range(700)]
-    made += made[:50]
-    index = BlockMaxIndex(made, 20)
-    for q in made[::13]:
-        d = dict(q)
-        full = sorted(((-sum(d.get(t, 0.0) * w for t, w in v), i) for i, v in enumerate(made)))
-        got = index.search(q, 10)
-        want = [(-s, i) for s, i in full[:10] if s < 0]
-        assert [round(s, 9) for _, s in got] == [round(s, 9) for s, _ in want]
+
+    def unit(terms):
+        w = np.array([rng.random() for _ in terms])
+        return np.array(sorted(terms), dtype=np.int64), w / math.sqrt((w * w).sum())
+
+    made = [unit(rng.sample(range(20 * (k % 3), 20 * (k % 3) + 20), rng.randint(1, 6))) for k in range(700)]
+    made += made[:50] + [(np.empty(0, dtype=np.int64), np.empty(0))] * 3
+    index = BlockMaxIndex(made, 60)
+    for terms, weights in made[::13]:
+        d = dict(zip(terms.tolist(), weights.tolist()))
+        full = sorted((-round(sum(d.get(t, 0.0) * w for t, w in zip(v.tolist(), x.tolist())), 12), i) for i, (v, x) in enumerate(made))
+        got = index.search(terms, weights, 10)
+        assert [i for i, _ in got] == [i for s, i in full[:10] if s < 0] and all(abs(a + b) < 1e-9 for (_, a), (b, _) in zip(got, full))
+    assert index.search(*made[-1], 10) == [] and BlockMaxIndex([], 3).search(*made[0], 5) == []
+
+
+def test_scores_equal_a_full_scan(spark, sf):
+    """The operator's scores against TF-IDF, neighbours and votes worked out again by definition, on whole tables."""
+    from quern.llm import toxicity as T
+
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    texts = {r["doc_id"]: r["text"] for r in rows(docs)}
+    train = {r["doc_id"]: r["toxic"] for r in rows(labels) if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in texts}
+    assert 10 < len(train) < T.TRAIN_ROWS
+    model = T.fit(docs, labels)
+    assert model.ids == sorted(train) and {0, 1} == set(model.labels)
+    words = {d: re.findall(r"[^\W_]+", (t or "").lower()) for d, t in texts.items()}
+    assert {w for d in train for w in words[d]} <= set(model.vocabulary.place)
+    stars = {t for t in model.vocabulary.place if t.endswith("*")}
+    bag = {d: {} for d in texts}
+    for d, ws in words.items():
+        for w in ws:
+            for t in [w, *(w[:n] + "*" for n in (4, 5, 6, 7) if len(w) > n)]:
+                if t in model.vocabulary.place:
+                    bag[d][t] = bag[d].get(t, 0) + 1
+    df, rows_, up = {}, {}, {}
+    for d, b in bag.items():
+        for t in b:
+            df[t] = df.get(t, 0) + 1
+            if d in train:
+                rows_[t], up[t] = rows_.get(t, 0) + 1, up.get(t, 0) + train[d]
+    n, toxic = len(train), sum(train.values())
+
+    def weight(t):
+        a, b = up[t], rows_[t] - up[t]
+        c, d = toxic - a, n - toxic - b
+        chi = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)) if (a + b) * (c + d) * (a + c) * (b + d) else 0.0
+        phi = math.sqrt(max(0.0, chi - 2 * math.log(n * 2000)) / n)
+        assert phi > 0 or t not in stars
+        return (math.log((1 + len(texts)) / (1 + df[t])) + 1) * (T.FLOOR + phi)
+
+    weights = {t: weight(t) for t in model.vocabulary.place}
+
+    def unit(b):
+        v = {t: (1 + math.log(c)) * weights[t] for t, c in b.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {d: unit(bag[d]) for d in texts}
+    got = {r["doc_id"]: r["score"] for r in rows(T.op10_toxic_neighbours(spark, sf))}
+    for d, v in vectors.items():
+        near = sorted(((-sum(x * vectors[e].get(t, 0.0) for t, x in v.items()), e) for e in train if e != d))[: T.NEIGHBOURS]
+        near = [(-s, e) for s, e in near if s < 0]
+        one = near[0][0] if near else 1.0
+        want = (toxic / n * one + sum(s * train[e] for s, e in near)) / (one + sum(s for s, _ in near))
+        assert abs(got[d] - want) < 1e-6
 
 
 def test_held_out_accuracy(spark):
@@ -610,6 +666,7 @@ def test_held_out_accuracy(spark):
     truth = {r["doc_id"]: r["toxic"] for r in rows(table(spark, sf, "labels"))}
     got = [r for r in rows(op10_toxic_neighbours(spark, sf)) if r["held_out"] and r["doc_id"] in truth]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in got)
+    print("held-out accuracy", sum(r["predicted"] == truth[r["doc_id"]] for r in got) / len(got), "of", len(got))
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in got) / len(got) > 0.93
 
 
