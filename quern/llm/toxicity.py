@@ -6,8 +6,8 @@ of doc_id; documented parameters) gives the examples, clean and toxic ones. Term
 the corpus, and relevance is the phi coefficient of term and label, 0 unless the chi-square statistic passes a bound that
 grows with the number of examples. So no word is left out, and words that tell the labels apart weigh most.
 
-The index keeps, for each term, postings cut into blocks of BLOCK examples with each block's largest weight. Examples that
-share their most frequent word are neighbours in it, so blocks differ by language. A search bounds every block, scores the
+The index cuts postings into blocks of BLOCK examples and keeps each block's largest weight by term. Examples that
+share their most frequent word and label are neighbours in it, so blocks differ by language. A search bounds every block, scores the
 best few, and then those blocks that can still reach the k-th best; its result equals a full scan's. Votes weigh by cosine;
 a prior worth one neighbour (the share of toxic examples) calibrates the score.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.session import prepare, table
+from quern.session import materialise, prepare, table
 
 TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 26
 FLOOR = 0.01
@@ -35,18 +35,30 @@ NEIGHBOURS = 25
 BLOCK = 64
 #: Blocks that a search scores before it has a bound.
 FIRST_BLOCKS = 4
+#: Texts searched for at once.
+TOGETHER = 128
+#: Examples that a term written out has at least, and more than sums of double precision err by.
+FREQUENT, SLACK = 128, 1e-12
 HELD_OUT_MOD = 5
 #: Words whose terms a worker remembers; bounds memory, not results.
 REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W_]+")
 _BEGINNINGS = (4, 5, 6, 7)
+#: ASCII bytes other than letters and digits become blanks.
+_MARKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % HELD_OUT_MOD == 0
 
 
+def runs_of(text: str | None) -> list[bytes]:
+    """Lower-cased runs of other characters than ASCII white space and marks: words, or several with other marks between."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_MARKS).split()
+
+
 def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters and digits."""
     return _WORD.findall((text or "").lower())
 
 
@@ -60,29 +72,38 @@ class Vocabulary:
 
     def __init__(self, terms: list[str]):
         self.place = {t: i for i, t in enumerate(terms)}
-        self.of_word: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.place[t] for t in (word, *beginnings(word)) if t in self.place)
-        self.of_word[word] = found
-        return found
-
-    def counts(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term places, rising, and how often the words have them."""
-        if len(self.of_word) > REMEMBERED:
-            self.of_word.clear()
-        out: dict[int, int] = {}
-        get = self.of_word.get
-        for w, n in words.items():
-            terms = get(w)
-            for t in self._learn(w) if terms is None else terms:
-                out[t] = out.get(t, 0) + n
-        places = np.fromiter(out, dtype=np.int64, count=len(out))
-        order = np.argsort(places)
-        return places[order], np.fromiter(out.values(), dtype=np.float64, count=len(out))[order]
+        self.first: dict[bytes, int] = {}
+        self.more: dict[bytes, tuple[int, ...]] = {}
+
+    def _learn(self, run: bytes) -> int:
+        text = run.decode("utf-8", "surrogatepass")
+        place = self.place
+        found = [place[t] for w in ([text] if run.isalnum() else _WORD.findall(text)) for t in (w, *beginnings(w)) if t in place]
+        if len(found) > 1:
+            self.more[run] = tuple(found[1:])
+        self.first[run] = found[0] if found else -1
+        return self.first[run]
+
+    def counts(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Term places, rising, and how often the runs have them."""
+        if len(self.first) > REMEMBERED:
+            self.first.clear()
+            self.more.clear()
+        words = Counter(runs)
+        first, more, learn = self.first, self.more, self._learn
+        places = [first[w] if w in first else learn(w) for w in words]
+        n = list(words.values())
+        for w, k in [(w, k) for w, k in words.items() if w in more]:
+            places += more[w]
+            n += [k] * len(more[w])
+        at, held = np.array(places, dtype=np.int64), np.array(n, dtype=np.int64)
+        order = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :]
+        at, held = at[order], held[order]
+        edge = np.flatnonzero(np.diff(at, prepend=-1))
+        return (at, held) if len(edge) == len(at) else (at[edge], np.add.reduceat(held, edge))
 
     def __getstate__(self):
-        return {"place": self.place, "of_word": {}}
+        return {"place": self.place, "first": {}, "more": {}}
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -92,78 +113,98 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings by term and block. vectors: (term places, weights) of each example, places rising."""
+    """Postings by term, in blocks of BLOCK examples. vectors: (term places, weights) of each example, places rising. Postings
+    of terms that more than FREQUENT examples have are written out, block by block, with each block's largest weight;
+    those of other terms are so few that a search adds them up at once and takes each block's largest sum."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, labels: list[int] | None = None):
+        self.n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
         common = np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *(t for t, _ in vectors)]), minlength=n_terms)
         lead = [(-common[t].max(), t[common[t].argmax()]) if len(t) else (0, -1) for t, _ in vectors]
-        self.order = np.array(sorted(range(self.n), key=lambda i: (*lead[i], i)), dtype=np.int64)
+        self.order = np.array(sorted(range(self.n), key=lambda i: (*lead[i], labels[i] if labels else 0, len(vectors[i][0]), i)), dtype=np.int64)
         terms = np.concatenate([np.empty(0, dtype=np.int64), *(vectors[i][0] for i in self.order)])
         weights = np.concatenate([np.empty(0), *(vectors[i][1] for i in self.order)])
-        at = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in self.order])
         by_term = np.argsort(terms, kind="stable")
-        self.at, self.weights, terms = at[by_term].astype(np.int32), weights[by_term], terms[by_term]
-        cell = terms * max(self.blocks, 1) + self.at // BLOCK
-        self.starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, dtype=np.int64)
-        self.sizes = np.diff(np.append(self.starts, len(cell)))
-        self.block = (cell[self.starts] % max(self.blocks, 1)).astype(np.int32)
-        self.maxima = np.maximum.reduceat(self.weights, self.starts) if len(cell) else np.empty(0)
-        self.first = np.searchsorted(terms[self.starts], np.arange(n_terms + 1))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above 0, ties to the smaller place."""
-        if not len(terms) or not self.n:
-            return []
-        held = self.first[terms + 1] - self.first[terms]
-        cells, of_cell = ranges(self.first[terms], held), np.repeat(weights, held)
-        block = self.block[cells]
-        bound = np.bincount(block, of_cell * self.maxima[cells], minlength=self.blocks)
-        scores = np.zeros(self.blocks * BLOCK)
-
-        def add(chosen: np.ndarray) -> None:
-            mine = chosen[block]
-            sizes = self.sizes[cells[mine]]
-            postings = ranges(self.starts[cells[mine]], sizes)
-            scores.__iadd__(np.bincount(self.at[postings], self.weights[postings] * np.repeat(of_cell[mine], sizes), minlength=len(scores)))
-
-        seen = np.zeros(self.blocks, dtype=bool)
-        seen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        add(seen)
-        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
-        rest = ~seen & (bound > 0) & (bound * (1 + 1e-9) + 1e-12 >= least)
-        if rest.any():
-            add(rest)
-        some = np.flatnonzero(scores > 0)
-        if len(some) > k:
-            some = some[scores[some] >= np.partition(scores[some], len(some) - k)[len(some) - k] - 1e-12]
-        best = sorted((-round(float(scores[j]), 12), int(self.order[j])) for j in some)[:k]
-        return [(i, -s) for s, i in best]
+        at = np.repeat(np.arange(self.n), np.array([len(vectors[i][0]) for i in self.order], dtype=np.int64))[by_term]
+        weights, terms = weights[by_term], terms[by_term]
+        frequent = np.flatnonzero(common > FREQUENT)
+        self.row_of = np.full(n_terms, -1, dtype=np.int64)
+        self.row_of[frequent] = np.arange(len(frequent))
+        often = self.row_of[terms] >= 0
+        self.tiles = np.zeros((self.blocks, len(frequent), BLOCK))
+        self.tiles[at[often] // BLOCK, self.row_of[terms[often]], at[often] % BLOCK] = weights[often]
+        self.maxima = np.ascontiguousarray(self.tiles.max(axis=2).T) if len(frequent) else np.zeros((0, self.blocks))
+        self.at, self.weights = at[~often], weights[~often]
+        self.cuts = np.searchsorted(terms[~often], np.arange(n_terms + 1))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[int, float]]]:
+        """Of each query the k examples of largest cosine above 0, ties (to twelve places) to the smaller place."""
+        n, size = len(queries), self.blocks * BLOCK
+        frequent = np.zeros((n, len(self.maxima)))
+        rare = np.zeros((n, size))
+        for i, (terms, weights) in enumerate(queries):
+            row = self.row_of[terms]
+            often = row >= 0
+            frequent[i, row[often]] = weights[often]
+            few, held = terms[~often], weights[~often]
+            sizes = self.cuts[few + 1] - self.cuts[few]
+            postings = ranges(self.cuts[few], sizes)
+            rare[i] = np.bincount(self.at[postings], self.weights[postings] * np.repeat(held, sizes), minlength=size)
+        rare = rare.reshape(n, self.blocks, BLOCK)
+        bound = frequent @ self.maxima + rare.max(axis=2) + SLACK
+        scores = np.full((n, self.blocks, BLOCK), -1.0)
+
+        def visit(chosen: np.ndarray) -> np.ndarray:
+            """Scores the chosen blocks of each query; the k-th best score of each."""
+            for b in range(self.blocks):
+                who = np.flatnonzero(chosen[:, b])
+                if len(who):
+                    scores[who, b] = rare[who, b] + frequent[who] @ self.tiles[b]
+            flat = scores.reshape(n, size)
+            return np.partition(flat, size - k, axis=1)[:, size - k : size - k + 1] - SLACK if size >= k else np.full((n, 1), -1.0)
+
+        first = np.zeros((n, self.blocks), dtype=bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        least = visit(first)
+        least = visit(~first & (bound > 2 * SLACK) & (bound >= least))
+        out = []
+        for s, m in zip(scores.reshape(n, size), least[:, 0]):
+            some = np.flatnonzero((s > SLACK) & (s >= m))
+            best = sorted(zip((-np.round(s[some], 12)).tolist(), self.order[some].tolist()))[:k]
+            out.append([(i, -x) for x, i in best])
+        return out
 
 
 class Model:
     """Everything that scoring needs; its size is bounded by TRAIN_ROWS and TRAIN_BYTES.
-    examples: (doc_id, label, words with their counts); weight: of each term, idf times relevance."""
+    examples: (doc_id, label, text's term places and counts); weight: of each term, idf and relevance."""
 
-    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, examples: list[tuple[int, int, dict[str, int]]]):
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, examples: list[tuple]):
         self.vocabulary, self.weight = vocabulary, weight
         self.ids, self.labels = [e[0] for e in examples], [e[1] for e in examples]
         self.prior = sum(self.labels) / len(examples) if examples else 0.0
-        self.index = BlockMaxIndex([self.vector(e[2]) for e in examples], len(weight))
+        self.index = BlockMaxIndex([self.vector(e[2], e[3]) for e in examples], len(weight), self.labels)
 
-    def vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector of counted words: term places, rising, and weights."""
-        places, n = self.vocabulary.counts(words)
+    def vector(self, places: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit TF-IDF vector: term places, rising, and weights."""
         raw = (1 + np.log(n)) * self.weight[places]
         norm = math.sqrt(float((raw * raw).sum()))
         return (places, raw / norm) if norm else (places[:0], raw[:0])
 
-    def score(self, doc_id, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        near = self.index.search(*self.vector(Counter(words_of(text))), NEIGHBOURS + 1)
-        near = [(i, s) for i, s in near if self.ids[i] != doc_id][:NEIGHBOURS]
-        one = near[0][1] if near else 1.0
-        up, all_ = self.prior * one + sum(s * self.labels[i] for i, s in near), one + sum(s for _, s in near)
-        return min(1.0, max(0.0, up / all_)), [(self.ids[i], s) for i, s in near[:3]]
+    def score(self, doc_ids: list, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """The score and the three nearest examples of each text, given as term places and counts."""
+        out = []
+        for i in range(0, len(counted), TOGETHER):
+            found = self.index.search([self.vector(*c) for c in counted[i : i + TOGETHER]], NEIGHBOURS + 1)
+            for doc_id, near in zip(doc_ids[i : i + TOGETHER], found):
+                near = [(j, s) for j, s in near if self.ids[j] != doc_id][:NEIGHBOURS]
+                one = near[0][1] if near else 1.0
+                up, all_ = self.prior * one + sum(s * self.labels[j] for j, s in near), one + sum(s for _, s in near)
+                out.append((min(1.0, max(0.0, up / all_)), [(self.ids[j], s) for j, s in near[:3]]))
+        return out
+
+    def score_texts(self, doc_ids: list, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        return self.score(doc_ids, [self.vocabulary.counts(runs_of(t)) for t in texts])
 
 
 def _bags(batches):
@@ -173,15 +214,28 @@ def _bags(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *cols], names=["doc_id", "toxic", "words", "counts"])
 
 
-def _document_frequency(shared):
+def _counted(shared):
     def run(batches):
         vocabulary = shared.value
-        df = np.zeros(len(vocabulary.place), dtype=np.int64)
+        for b in batches:
+            found = [vocabulary.counts(runs_of(t)) for t in b.column("text").to_pylist()]
+            cols = [pa.array([x[i].astype("<i4").tobytes() for x in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "places", "counts"])
+
+    return run
+
+
+def numbers(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in column.to_pylist()]
+
+
+def _document_frequency(n_terms: int):
+    def run(batches):
+        df = np.zeros(n_terms, dtype=np.int64)
         docs = 0
         for b in batches:
             docs += b.num_rows
-            found = [vocabulary.counts(dict.fromkeys(words_of(t), 1))[0] for t in b.column("text").to_pylist()]
-            df += np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *found]), minlength=len(df))
+            df += np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *numbers(b.column("places"))]), minlength=n_terms)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(df[some], docs))], names=["place", "df"])
 
@@ -197,8 +251,14 @@ def relevance(n: np.ndarray, up: np.ndarray, rows: int, toxic: int) -> np.ndarra
     return np.sqrt(np.maximum(0.0, chi - 2 * math.log(max(rows, 1) * 100 / 0.05)) / max(rows, 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
-    """Learn from labelled rows that aren't held out."""
+def features(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, and the places and counts of every document's terms as little-endian 32-bit numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return docs.select("doc_id", "text").mapInArrow(_counted(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, places binary, counts binary")
+
+
+def sampled(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> list[tuple[int, int, dict[str, int]]]:
+    """doc_id, label and counted words of the sample of labelled rows that aren't held out, by doc_id."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     size = F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("size")
@@ -212,7 +272,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     for d, y, w, c in zip(*(bags[x] for x in ("doc_id", "toxic", "words", "counts"))):
         if d not in one or (w, c) < one[d][1:]:
             one[d] = (y, w, c)
-    examples = [(d, y, dict(zip(w, c))) for d, (y, w, c) in sorted(one.items())]
+    return [(d, y, dict(zip(w, c))) for d, (y, w, c) in sorted(one.items())]
+
+
+def chosen_terms(examples: list[tuple[int, int, dict[str, int]]]) -> tuple[Vocabulary, np.ndarray]:
+    """All words of the examples and the beginnings that matter, and their relevance."""
     n, up = Counter(), Counter()
     for _, y, words in examples:
         terms = {*words, *(t for w in words for t in beginnings(w))}
@@ -222,47 +286,67 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     terms = sorted(n)
     phi = relevance(np.array([n[t] for t in terms]), np.array([up[t] for t in terms]), len(examples), sum(y for _, y, _ in examples))
     kept = [i for i, t in enumerate(terms) if phi[i] > 0 or not t.endswith("*")]
-    vocabulary = Vocabulary([terms[i] for i in kept])
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    found = docs.select("text").mapInArrow(_document_frequency(shared), "place int, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(len(kept) + 1)
+    return Vocabulary([terms[i] for i in kept]), phi[kept]
+
+
+def fitted(examples: list[tuple[int, int, dict[str, int]]], vocabulary: Vocabulary, phi: np.ndarray, counted: DataFrame) -> Model:
+    """The model, with document frequencies from all documents' features()."""
+    found = counted.select("places").mapInArrow(_document_frequency(len(phi)), "place int, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(phi) + 1)
     df[found.column("place").to_numpy()] = found.column("df").to_numpy()  # place -1, the last one, holds the documents
-    weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (FLOOR + phi[kept])
-    return Model(vocabulary, weight, examples)
+    weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (FLOOR + phi)
+    repeated = lambda words: [w.encode() for w, n in words.items() for _ in range(n)]
+    return Model(vocabulary, weight, [(d, y, *vocabulary.counts(repeated(words))) for d, y, words in examples])
 
 
-def _scored(shared, keep_rows: bool):
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from labelled rows that aren't held out."""
+    examples = sampled(docs, labels)
+    vocabulary, phi = chosen_terms(examples)
+    return fitted(examples, vocabulary, phi, features(docs, vocabulary))
+
+
+def _scored(shared):
     def run(batches):
         model = shared.value
         for b in batches:
-            got = [model.score(i, t) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())]
-            scores = pa.array([round(s, 9) for s, _ in got], pa.float64())
-            if keep_rows:
-                yield b.filter(pa.array([s < 0.5 for s in scores.to_pylist()], pa.bool_()))
-            else:
-                evidence = pa.array([[{"doc_id": i, "cosine": c} for i, c in e] for _, e in got], pa.list_(pa.struct([("doc_id", b.schema.field("doc_id").type), ("cosine", pa.float64())])))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), scores, evidence], names=["doc_id", "score", "evidence"])
+            got = model.score(b.column("doc_id").to_pylist(), list(zip(numbers(b.column("places")), numbers(b.column("counts")))))
+            evidence = pa.array([[{"doc_id": i, "cosine": c} for i, c in e] for _, e in got], pa.list_(pa.struct([("doc_id", b.schema.field("doc_id").type), ("cosine", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([round(s, 9) for s, _ in got], pa.float64()), evidence], names=["doc_id", "score", "evidence"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and the three nearest examples of every document."""
+def _clean(shared):
+    def run(batches):
+        model = shared.value
+        for b in batches:
+            got = model.score_texts(b.column("doc_id").to_pylist(), b.column("text").to_pylist())
+            yield b.filter(pa.array([round(s, 9) < 0.5 for s, _ in got], pa.bool_()))
+
+    return run
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, score and the three nearest examples of every document. Terms are counted once and written down, for the
+    document frequencies and for the scores."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_scored(shared, False), f"doc_id {kind}, score double, evidence array<struct<doc_id:{kind},cosine:double>>")
+    examples = sampled(docs, labels)
+    vocabulary, phi = chosen_terms(examples)
+    counted = materialise(features(docs, vocabulary), "features")
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(examples, vocabulary, phi, counted))
+    return counted.mapInArrow(_scored(shared), f"doc_id {kind}, score double, evidence array<struct<doc_id:{kind},cosine:double>>")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that score under one half, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_scored(shared, True), docs.schema)
+    return docs.mapInArrow(_clean(shared), docs.schema)
 
 
 def op10_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document's score."""
-    docs = table(prepare(spark), sf_dir, "documents")
-    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    out = score(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 

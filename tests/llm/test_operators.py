@@ -599,12 +599,11 @@ def test_block_max_search_is_exact():
     made = [unit(rng.sample(range(20 * (k % 3), 20 * (k % 3) + 20), rng.randint(1, 6))) for k in range(700)]
     made += made[:50] + [(np.empty(0, dtype=np.int64), np.empty(0))] * 3
     index = BlockMaxIndex(made, 60)
-    for terms, weights in made[::13]:
+    for (terms, weights), got in zip(made[::13], index.search(made[::13], 10)):
         d = dict(zip(terms.tolist(), weights.tolist()))
         full = sorted((-round(sum(d.get(t, 0.0) * w for t, w in zip(v.tolist(), x.tolist())), 12), i) for i, (v, x) in enumerate(made))
-        got = index.search(terms, weights, 10)
         assert [i for i, _ in got] == [i for s, i in full[:10] if s < 0] and all(abs(a + b) < 1e-9 for (_, a), (b, _) in zip(got, full))
-    assert index.search(*made[-1], 10) == [] and BlockMaxIndex([], 3).search(*made[0], 5) == []
+    assert index.search(made[-1:], 10) == [[]] and BlockMaxIndex([], 60).search(made[:1], 5) == [[]]
 
 
 def test_scores_equal_a_full_scan(spark, sf):
@@ -674,7 +673,7 @@ def test_toxicity_cases(spark, sf_of, odd, none):
     from quern.llm.toxicity import fit, keep_clean, op10_toxic_neighbours
 
     clean = [(i, f"plain words number {i} here", "en", "h", 0, "x", 1.0) for i in range(100, 160)]
-    nasty = [(i, f"you grubbly thing {i}", "en", "h", 0, "x", 1.0) for i in range(160, 200)]
+    nasty = [(i, f"you “grubbly” thing {i}", "en", "h", 0, "x", 1.0) for i in range(160, 200)]
     made = odd.unionByName(spark.createDataFrame(clean + nasty + [(500, "grubbly", "en", "h", 0, "x", 1.0)], DOC))
     labels = spark.createDataFrame([(i, 1, int(i >= 160)) for i in range(100, 200)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in rows(op10_toxic_neighbours(spark, sf_of(documents=made, labels=labels)))}
@@ -696,7 +695,7 @@ def test_pipeline_equals_its_stages(spark, sf):
 
     docs = table(spark, sf, "documents")
     model = fit(docs, table(spark, sf, "labels"))
-    left = {r["doc_id"]: r["text"] for r in rows(docs) if model.score(r["doc_id"], r["text"])[0] < 0.5}
+    left = {r["doc_id"]: r["text"] for r in rows(docs) if model.score_texts([r["doc_id"]], [r["text"]])[0][0] < 0.5}
     left = {d: t for d, t in left.items() if not failed(*measure(t))}
     left = {d: left[d] for d, (_, c) in brute_components(left).items() if d == c}
     m = [matcher(b) for b in blocks(table(spark, sf, "benchmark"))]
