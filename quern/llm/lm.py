@@ -1,25 +1,31 @@
-"""Language-model scores from a weighted backoff automaton (operator 7).
-
-States are contexts: the start, and every token. From state v, an arc for each n-gram (v, w) seen in training carries
-log10((c(v, w) + MU p(w)) / (c(v) + MU)) and leads to state w; the failure arc of v carries log10(MU / (c(v) + MU)) to
-the root, whose arcs carry log10 p(w), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). Weights out of a state sum to one
-(Dirichlet smoothing). A text is read once from left to right: the state after a token is that token, arcs and failures
-on the way are summed. All n-grams of all training documents count; nothing is pruned.
-
-The automaton grows with the corpus and is never in one place. Documents are read in blocks of BLOCK_ROWS rows; each
-block sends its distinct n-grams with its own counts, cut by hash into buckets; a bucket adds up the blocks' counts and
-sends each block back what the others have beside its own; the block then holds the part of the automaton that its texts
-can reach and traverses it. A block of texts is the largest thing in memory; hot n-grams cost one entry a block.
+"""Language-model scores from a weighted backoff automaton of order three (operator 7).
+
+States are contexts: the root, every token that training has (and the start), every pair of tokens that it has. For each
+n-gram of training, an arc leads from the state of its first tokens by its last one to the state of its last two; it
+carries log10 of the smoothed probability. A state's failure arc leads to the state without the oldest token and carries
+log10 of what smoothing leaves for tokens without an arc. Smoothing is Dirichlet's, order by order:
+p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), p(w | v) = (c(v, w) + MU[0] p(w)) / (c(v) + MU[0]) and
+p(w | u, v) = (c(u, v, w) + MU[1] p(w | v)) / (c(u, v) + MU[1]); a failure arc weighs MU / (c + MU), so weights out of a state
+sum to one. All n-grams of all training documents count; nothing is pruned.
+
+A text is read once from left to right: from the carried state, failure arcs are followed until an arc for the token is
+there; weights add up on the way. Texts of a block are read side by side, one token of each at a time; a text of more
+than STRETCH tokens is cut into stretches, each of which reads the two tokens before it first, as they settle its state.
+
+The automaton grows with the corpus and is never in one place. Documents are written down in blocks of about BLOCK_BYTES;
+each block sends its distinct n-grams with its own counts, cut by hash into buckets (as many as blocks, so a bucket's size
+doesn't grow); a bucket adds up the blocks' counts and sends each block back what the others have beside its own; the
+block then holds the states and arcs that its texts can reach, and reads them. A block, or a text that is larger, is the largest thing in
+memory; hot n-grams cost one entry a block. Counts have 64 bits. N-grams are told apart by 64-bit hashes of keyed word
+hashes, separately for each order: any two of n agree with a chance of n * n / 2**65.
 
 Defined cases: null text is empty, an empty text is one end token; a null doc_id counts as the text '' in the fold;
 repeated rows count and are scored each; without training rows c, N and V are 0; an empty table gives an empty result;
-very long texts are read whole; other columns are not read.
+very long texts are read whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,164 +35,255 @@ from quern.llm.words import mix, word_hashes
 from quern.session import materialise, prepare, table
 
 FOLDS = 10
-MU = 200.0
-BLOCK_BITS = 13
-MOST_BUCKETS = 1 << 16
+#: What smoothing adds to the counts after one token and after two.
+MU = (200.0, 50.0)
+#: Tokens of a block, in bytes of text, and of a stretch, at least two.
+BLOCK_BYTES = 8 << 20
+STRETCH = 4096
 _END = np.uint64(0x1B873593CC9E2D51)
 _START = np.uint64(0x85EBCA6BC2B2AE35)
 _STEP = np.uint64(0x9FB21C651E98DF25)
-_ONE = np.uint64(1)
 
 
-def keys_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the tokens (odd) and of the arcs (state, token) (even) of one text, in order."""
-    tokens = np.append(words, _END)
-    states = np.concatenate([[_START], words])
-    return tokens | _ONE, mix(states * _STEP + tokens) & ~_ONE
+class Grams:
+    """Tokens, pairs and triples of a block's texts. Positions are those of the texts' tokens, each text led by a start."""
+
+    def __init__(self, texts: list[str | None]):
+        words = word_hashes(texts)
+        sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        flat = np.empty(int(sizes.sum()), dtype=np.uint64)
+        flat[self.starts] = _START
+        flat[self.starts + sizes - 1] = _END
+        inner = np.ones(len(flat), dtype=bool)
+        inner[self.starts] = inner[self.starts + sizes - 1] = False
+        flat[inner] = np.concatenate([np.empty(0, dtype=np.uint64), *words])
+        self.sizes = sizes
+        hashes, token = np.unique(flat, return_inverse=True)
+        n = len(hashes)
+        self.end, self.start = np.searchsorted(hashes, np.array([_END, _START])).tolist()
+        self.token = token
+        pairs = token[:-1] * n + token[1:]
+        pairs[self.starts[1:] - 1] = -1  # an end and the next text's start
+        codes, pair = np.unique(pairs, return_inverse=True)
+        if codes[0] < 0:
+            codes, pair = codes[1:], pair - 1
+        self.pair = np.concatenate([[-1], pair])
+        self.pair_before, self.pair_last = codes // n, codes % n
+        triples = self.pair[:-1] * n + token[1:]
+        triples[(self.pair[:-1] < 0) | (self.pair[1:] < 0)] = -1
+        codes, at, triple = np.unique(triples, return_index=True, return_inverse=True)
+        if codes[0] < 0:
+            codes, at, triple = codes[1:], at[1:], triple - 1
+        self.triple = np.concatenate([[-1], triple])
+        self.triple_before, triple_last = codes // n, codes % n
+        self.triple_short = self.pair[at + 1]
+        pair_keys = mix(hashes[self.pair_before] * _STEP + hashes[self.pair_last])
+        self.keys = [hashes, pair_keys, mix(pair_keys[self.triple_before] * _STEP + hashes[triple_last])]
+        self.order = [np.argsort(k) for k in self.keys]
+
+    def own_counts(self, held: list[bool]) -> list[np.ndarray]:
+        """How often the block's training texts have each token (the start apart), pair and triple."""
+        train = np.repeat(~np.array(held, dtype=bool), self.sizes)
+        train[self.starts] = False
+        out = []
+        for at, k in zip((self.token, self.pair, self.triple), self.keys):
+            out.append(np.bincount(at[train & (at >= 0)], minlength=len(k)))
+        return out
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Compressed whole numbers of 32 or 64 bits."""
+    width = 4 if not len(numbers) or numbers.max() < 1 << 32 else 8
+    return bytes([width]) + pa.compress(numbers.astype(f"<u{width}").tobytes(), codec="lz4", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[1:], decompressed_size=n * raw[0], codec="lz4", asbytes=True), dtype=f"<u{raw[0]}").astype(np.int64)
+
+
+def _narrow(keys: np.ndarray, base: int) -> bytes:
+    """Rising keys from base on, as steps of 6 bytes each, of 8 where one is longer."""
+    steps = np.diff(keys, prepend=np.uint64(base))
+    width = 6 if int(steps.max()) < 1 << 48 else 8
+    return bytes([width]) + np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _wide(raw: bytes, base: int) -> np.ndarray:
+    width = raw[0]
+    steps = np.zeros(((len(raw) - 1) // width, 8), dtype=np.uint8)
+    steps[:, :width] = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(-1, width)
+    steps = steps.view(np.uint64).ravel()
+    steps[0] += np.uint64(base)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def _blocked(block_bytes: int):
+    """Arrow mapper that gathers rows into blocks, one row each."""
 
+    def run(batches):
+        from pyspark import TaskContext
 
-def own_counts(train: list[np.ndarray], rest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of a block and how often its training texts have them."""
-    empty = np.empty(0, dtype=np.uint64)
-    have, counts = np.unique(np.concatenate([empty, *train]), return_counts=True)
-    keys = np.union1d(have, np.unique(np.concatenate([empty, *rest])))
-    own = np.zeros(len(keys), dtype=np.int64)
-    own[np.searchsorted(keys, have)] = counts
-    return keys, own
+        block, held, size = TaskContext.get().partitionId() << 32, [[], [], []], 0
+        kinds = None
 
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([h], pa.list_(k)) for h, k in zip(held, kinds))], names=["block", "doc_ids", "held", "texts"])
 
-def _block_keys(texts: list, held: list[bool]) -> tuple[list, np.ndarray, np.ndarray]:
-    found = [keys_of(w) for w in word_hashes(texts)]
-    keys, own = own_counts([k for f, h in zip(found, held) if not h for k in f], [k for f, h in zip(found, held) if h for k in f])
-    return found, keys, own
+        for b in batches:
+            kinds = [b.schema.field(c).type for c in ("doc_id", "held_out", "text")]
+            for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
+                for h, x in zip(held, row):
+                    h.append(x)
+                size += len(row[2] or "") + 16
+                if size >= block_bytes:
+                    yield out()
+                    block, held, size = block + 1, [[], [], []], 0
+        if held[0]:
+            yield out()
 
+    return run
 
-def _sent(bits: int):
-    def emit(block, parts):
-        texts, held = [t for p in parts for t in p[0]], [h for p in parts for h in p[1]]
-        _, keys, own = _block_keys(texts, held)
-        cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
-        rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
-        for i in range(0, len(rows), 64):
-            part = rows[i : i + 64]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * len(part), pa.int64()),
-                    pa.array([b for b, _, _ in part], pa.int32()),
-                    pa.array([keys[lo:hi].tobytes() for _, lo, hi in part], pa.binary()),
-                    pa.array([zlib.compress(own[lo:hi].astype("<u4").tobytes(), 1) for _, lo, hi in part], pa.binary()),
-                ],
-                names=["block", "bucket", "keys", "own"],
-            )
 
+def _sent(bits: int):
     def run(batches):
-        at, parts = None, []
+        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, dtype=np.uint64)
         for b in batches:
-            blocks, texts, held = (b.column(c).to_pylist() for c in ("block", "text", "held_out"))
-            lo = 0
-            while lo < len(blocks):
-                hi = lo
-                while hi < len(blocks) and blocks[hi] == blocks[lo]:
-                    hi += 1
-                if blocks[lo] != at:
-                    if parts:
-                        yield from emit(at, parts)
-                    at, parts = blocks[lo], []
-                parts.append((texts[lo:hi], held[lo:hi]))
-                lo = hi
-        if parts:
-            yield from emit(at, parts)
+            for block, held, texts in zip(*(b.column(c).to_pylist() for c in ("block", "held", "texts"))):
+                grams = Grams(texts)
+                rows = []
+                for kind, (keys, own, order) in enumerate(zip(grams.keys, grams.own_counts(held), grams.order)):
+                    keys, own = keys[order], own[order]
+                    cuts = [*np.searchsorted(keys, edges).tolist(), len(keys)]
+                    rows += [(block, k, kind, hi - lo, _narrow(keys[lo:hi], int(edges[k])), _packed(own[lo:hi])) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+                for i in range(0, len(rows), 64):
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64]), kinds)], names=["block", "bucket", "kind", "size", "keys", "own"])
 
     return run
 
 
-def _added(t: pa.Table) -> pa.Table:
-    """All blocks' counts of one bucket: what each block lacks, and the bucket's share of N and V."""
-    order = np.argsort(t.column("block").to_numpy(), kind="stable").tolist()
-    blocks, bucket = t.column("block").to_pylist(), t.column("bucket")[0].as_py()
-    raw, mine = t.column("keys").to_pylist(), t.column("own").to_pylist()
-    keys = [np.frombuffer(raw[i], dtype=np.uint64) for i in order]
-    own = [np.frombuffer(zlib.decompress(mine[i]), dtype="<u4").astype(np.int64) for i in order]
-    distinct = np.unique(np.concatenate(keys))
-    total = np.zeros(len(distinct), dtype=np.int64)
-    for k, o in zip(keys, own):
-        total[np.searchsorted(distinct, k)] += o
-    lacks = [zlib.compress((total[np.searchsorted(distinct, k)] - o).astype("<u4").tobytes(), 1) for k, o in zip(keys, own)]
-    tokens = total[(distinct & _ONE).astype(bool)]
-    n = len(order)
-    return pa.table(
-        {
-            "block": pa.array([blocks[i] for i in order], pa.int64()),
-            "bucket": pa.array([bucket] * n, pa.int32()),
-            "lacks": pa.array(lacks, pa.binary()),
-            "n": pa.array([int(tokens.sum())] + [0] * (n - 1), pa.int64()),
-            "v": pa.array([int((tokens > 0).sum())] + [0] * (n - 1), pa.int64()),
-        }
-    )
-
+def _added(bits: int):
+    def run(t: pa.Table) -> pa.Table:
+        """All blocks' counts of one bucket: what each block lacks, and the bucket's share of N and V."""
+        block, bucket, kind, size, raw, mine = (t.column(c).to_pylist() for c in ("block", "bucket", "kind", "size", "keys", "own"))
+        out, n, v = [], 0, 0
+        for order in range(3):
+            rows = [i for i, k in enumerate(kind) if k == order]
+            if not rows:
+                continue
+            keys = [_wide(raw[i], bucket[i] << (64 - bits) if bits else 0) for i in rows]
+            own = [_unpacked(mine[i], size[i]) for i in rows]
+            distinct = np.unique(np.concatenate(keys))
+            places = [np.searchsorted(distinct, k) for k in keys]
+            total = np.zeros(len(distinct), dtype=np.int64)
+            for p, o in zip(places, own):
+                total[p] += o
+            if order == 0:
+                n, v = int(total.sum()), int((total > 0).sum())
+            out += [(block[i], bucket[i], order, size[i], _packed(total[p] - o)) for i, p, o in zip(rows, places, own)]
+        cols = list(zip(*out))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        sums = [pa.array([x] + [0] * (len(out) - 1), pa.int64()) for x in (n, v)]
+        return pa.table([*(pa.array(c, k) for c, k in zip(cols, kinds)), *sums], names=["block", "bucket", "kind", "size", "lacks", "n", "v"])
 
-class Automaton:
-    """The states and arcs that one block can reach."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, mu: float):
-        self.keys, self.counts, self.mu = keys, counts, mu
-        self.n, self.floor = n, 0.1 / (n + 0.1 * (v + 1))
-        self.scale = n + 0.1 * (v + 1)
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.keys, keys)]
-
-    def traverse(self, tokens: np.ndarray, arcs: np.ndarray) -> tuple[int, float, float]:
-        """Known tokens, the root's log10 sum and the whole automaton's, along one text."""
-        c = self.count(tokens)
-        root = np.log10((c + 0.1) / self.scale)
-        ends = self.count(np.array([_END | _ONE])) if len(tokens) else c
-        context = np.concatenate([ends, c[:-1]])  # each training text leaves the start once and has one end
-        taken = self.count(arcs)
-        arc = np.log10((taken + self.mu * (c + 0.1) / self.scale) / (context + self.mu))
-        failure = np.log10(self.mu / (context + self.mu)) + root
-        return int((c > 0).sum()), float(root.sum()), float(np.where(taken > 0, arc, failure).sum())
+    return run
 
 
-def _traversed(n: int, v: int, mu: float):
+class Automaton:
+    """The states and arcs that one block's texts can reach. State 0 is the root, 1 + t the context of token t, and
+    1 + tokens + p that of pair p. Arcs are numbered tokens first, then pairs, then triples; counts: of each of them in training."""
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], n: int, v: int, mu: tuple[float, float] = MU):
+        one, two, three = (c.astype(np.float64) for c in counts)
+        self.tokens = len(one)
+        p1 = (one + 0.1) / (n + 0.1 * (v + 1))
+        after = one.copy()
+        after[grams.start] = one[grams.end]  # each training text leaves the start once and has one end
+        p2 = (two + mu[0] * p1[grams.pair_last]) / (after[grams.pair_before] + mu[0])
+        p3 = (three + mu[1] * p2[grams.triple_short]) / (two[grams.triple_before] + mu[1])
+        self.weight = np.log10(np.concatenate([p1, p2, p3]))
+        of_pair = 1 + self.tokens + np.arange(len(two))
+        self.target = np.concatenate([np.where(one > 0, 1 + np.arange(self.tokens), 0), of_pair, of_pair[grams.triple_short]])
+        self.fail = np.concatenate([np.zeros(1 + self.tokens, dtype=np.int64), 1 + grams.pair_last])
+        self.fail_weight = np.concatenate([[0.0], np.log10(mu[0] / (after + mu[0])), np.log10(mu[1] / (two + mu[1]))])
+        # The arc that leaves the root, a token's state and a pair's state at each position, -1 where there is none.
+        has = lambda at, c, first: np.where((at >= 0) & (c > 0)[at], first + at, -1) if len(c) else np.full(len(at), -1)
+        self.by_token, self.by_pair, self.by_triple = grams.token, has(grams.pair, two, self.tokens), has(grams.triple, three, self.tokens + len(two))
+        self.start = 1 + grams.start
+
+    def walk(self, begins: np.ndarray, sizes: np.ndarray, state: np.ndarray, silent: np.ndarray) -> np.ndarray:
+        """Summed weights of stretches of tokens, each read from left to right from its own state; longest stretches first.
+        The first `silent` tokens of a stretch only move the state."""
+        total, state = np.zeros(len(begins)), state.copy()
+        alive = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")
+        for t, n in enumerate(alive.tolist()):
+            at, s, weight = begins[:n] + t, state[:n], np.zeros(n)
+            arc = np.where(s > self.tokens, self.by_triple[at], -1)
+            lost = np.flatnonzero((arc < 0) & (s > self.tokens))
+            weight[lost] += self.fail_weight[s[lost]]
+            s[lost] = self.fail[s[lost]]
+            left = np.flatnonzero((arc < 0) & (s > 0))
+            arc[left] = self.by_pair[at[left]]
+            lost = left[arc[left] < 0]
+            weight[lost] += self.fail_weight[s[lost]]
+            s[lost] = self.fail[s[lost]]
+            left = np.flatnonzero(arc < 0)
+            arc[left] = self.by_token[at[left]]
+            weight += self.weight[arc]
+            state[:n] = self.target[arc]
+            total[:n] += np.where(silent[:n] <= t, weight, 0.0) if t < 2 else weight
+        return total
+
+    def scores(self, grams: Grams) -> np.ndarray:
+        """Of every text, in order."""
+        cuts = [(i, a, min(STRETCH, n - a)) for i, n in enumerate((grams.sizes - 1).tolist()) for a in range(0, n, STRETCH)]
+        cuts.sort(key=lambda c: -(c[2] + 2 * (c[1] > 0)))
+        text, first, size = (np.array(c, dtype=np.int64) for c in zip(*cuts))
+        silent = np.where(first > 0, 2, 0)
+        found = self.walk(grams.starts[text] + 1 + first - silent, size + silent, np.where(first > 0, 0, self.start), silent)
+        return np.bincount(text, found, minlength=len(grams.sizes))
+
+
+def _traversed(n: int, v: int, mu: tuple[float, float]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = left.column("held_out").to_pylist()
-        found, keys, own = _block_keys(left.column("text").to_pylist(), held)
-        order = np.argsort(right.column("bucket").to_numpy(), kind="stable").tolist()
-        payload = right.column("lacks").to_pylist()
-        lacks = np.concatenate([np.empty(0, dtype="<u4"), *(np.frombuffer(zlib.decompress(payload[i]), dtype="<u4") for i in order)])
-        if len(lacks) != len(keys):
-            raise ValueError("the blocks of the two readings differ; the table changed between them")
-        model = Automaton(keys, own + lacks, n, v, mu)
-        rows = [(len(t), *model.traverse(t, a)) for t, a in found]
-        cols = list(zip(*rows))
+        held, texts = left.column("held")[0].as_py(), left.column("texts")[0].as_py()
+        grams = Grams(texts)
+        counts = grams.own_counts(held)
+        kind, bucket, size, lacks = (right.column(c).to_pylist() for c in ("kind", "bucket", "size", "lacks"))
+        for order in range(3):
+            rows = sorted((i for i, k in enumerate(kind) if k == order), key=bucket.__getitem__)
+            counts[order][grams.order[order]] += np.concatenate([np.empty(0, dtype=np.int64), *(_unpacked(lacks[i], size[i]) for i in rows)])
+        model = Automaton(grams, counts, n, v, mu)
+        scored = np.ones(len(grams.token), dtype=bool)
+        scored[grams.starts] = False
+        firsts = grams.starts - np.arange(len(grams.starts))
+        token = grams.token[scored]
         return pa.table(
             {
-                "doc_id": left.column("doc_id"), "held_out": left.column("held_out"),
-                "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array([n] * len(rows), pa.int64()),
-                "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64()),
+                "doc_id": pa.array(left.column("doc_ids")[0].as_py(), left.schema.field("doc_ids").type.value_type), "held_out": pa.array(held, pa.bool_()),
+                "n_tokens": pa.array(grams.sizes - 1, pa.int64()), "n_known": pa.array(np.add.reduceat((counts[0] > 0)[token].astype(np.int64), firsts), pa.int64()),
+                "train_tokens": pa.array(np.full(len(held), n), pa.int64()),
+                "base_score": pa.array(np.add.reduceat(model.weight[token], firsts), pa.float64()), "score": pa.array(model.scores(grams), pa.float64()),
             }
         )
 
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = FOLDS, mu: float = MU) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. docs must be read straight from files, so
-    that both readings meet the same rows in the same blocks; spark.sql.files.minPartitionNum is pinned for that."""
-    spark = docs.sparkSession
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+def score_documents(docs: DataFrame, folds: int = FOLDS, mu: tuple[float, float] = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0
-    read = docs.select("doc_id", "text", held.alias("held_out"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"))
-    bits = min(MOST_BUCKETS.bit_length() - 1, max(6, ((docs.count() >> BLOCK_BITS) * 2).bit_length()))
-    sent = read.mapInArrow(_sent(bits), "block long, bucket int, keys binary, own binary")
-    added = materialise(sent.groupBy("bucket").applyInArrow(_added, "block long, bucket int, lacks binary, n long, v long"), "automaton")
-    sums = added.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     kind = docs.schema["doc_id"].dataType.simpleString()
+    read = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("string").alias("text"))
+    blocks = materialise(read.mapInArrow(_blocked(block_bytes), f"block long, doc_ids array<{kind}>, held array<boolean>, texts array<string>"), "blocks")
+    bits = max(6, blocks.count().bit_length())
+    sent = blocks.mapInArrow(_sent(bits), "block long, bucket int, kind int, size long, keys binary, own binary")
+    added = materialise(sent.groupBy("bucket").applyInArrow(_added(bits), "block long, bucket int, kind int, size long, lacks binary, n long, v long"), "automaton")
+    sums = added.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    parts = added.select("block", "bucket", "lacks")
-    return read.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_traversed(sums["n"] or 0, sums["v"] or 0, mu), schema)
+    parts = added.select("block", "bucket", "kind", "size", "lacks")
+    return blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_traversed(sums["n"] or 0, sums["v"] or 0, mu), schema)
 
 
 def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -440,43 +440,102 @@ def test_crowded_buckets_are_reopened(spark):
 # -- 7 language model ------------------------------------------------------------------------------------------------
 
 
-def test_scores_equal_brute_force(spark, sf_of, docs):
-    from quern.llm.lm import MU, op7_backoff_automaton
-
-    texts = dict(docs[:80]) | {900: None, 901: "", 902: "Never seen words"}
-    made = spark.createDataFrame([(d, t, 1) for d, t in texts.items()], "doc_id long, text string, block long")
-    got = {r["doc_id"]: r for r in rows(op7_backoff_automaton(spark, sf_of(documents=made)))}
+def brute_scores(texts, mu):
+    """held_out, n_tokens, n_known, N, base_score and score by the formulas, without an automaton."""
     toks = {d: [*WORDS.findall((t or "").translate(LOWER)), 0] for d, t in texts.items()}
     train = [d for d in texts if zlib.crc32(str(d).encode()) % 10]
-    uni, bi = {}, {}
+    c = {}
     for d in train:
-        for v, w in zip([0, *toks[d]], toks[d]):
-            uni[w] = uni.get(w, 0) + 1
-            bi[v, w] = bi.get((v, w), 0) + 1
-    n, z = sum(uni.values()), sum(uni.values()) + 0.1 * (len(uni) + 1)
-    p = lambda w: (uni.get(w, 0) + 0.1) / z
+        ws = [1, *toks[d]]
+        for i in range(1, len(ws)):
+            for k in range(1, min(3, i + 1) + 1):
+                g = tuple(ws[i - k + 1 : i + 1])
+                c[g] = c.get(g, 0) + 1
+    one = {g: x for g, x in c.items() if len(g) == 1}
+    n, z = sum(one.values()), sum(one.values()) + 0.1 * (len(one) + 1)
+    c[(1,)] = c.get((0,), 0)
+
+    def p(w, context):
+        if not context:
+            return (c.get((w,), 0) + 0.1) / z
+        m = mu[len(context) - 1]
+        seen = c.get(context, 0)
+        return (c.get((*context, w), 0) + m * p(w, context[1:])) / (seen + m)
+
+    out = {}
     for d, ws in toks.items():
-        r = got[d]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (d not in train, len(ws), sum(w in uni for w in ws), n)
-        assert math.isclose(r["base_score"], sum(math.log10(p(w)) for w in ws), rel_tol=1e-9)
-        score = 0.0
-        for v, w in zip([0, *ws], ws):
-            c = bi.get((v, w), 0)
-            score += math.log10((c + MU * p(w)) / (uni.get(v, 0) + MU)) if c else math.log10(MU / (uni.get(v, 0) + MU)) + math.log10(p(w))
-        assert math.isclose(r["score"], score, rel_tol=1e-9)
+        ws = [1, *ws]
+        score = sum(math.log10(p(ws[i], tuple(ws[max(0, i - 2) : i]))) for i in range(1, len(ws)))
+        out[d] = (d not in train, len(ws) - 1, sum((w,) in one for w in ws[1:]), n, sum(math.log10(p(w, ())) for w in ws[1:]), score)
+    return out
+
+
+def test_scores_equal_brute_force(spark, sf_of, docs, monkeypatch):
+    from quern.llm import lm
+
+    texts = dict(docs[:80]) | {900: None, 901: "", 902: "Never seen words", 903: "a b " * 6000, 904: "a b c d"}
+    made = spark.createDataFrame([(d, t, 1) for d, t in texts.items()], "doc_id long, text string, block long")
+    want = brute_scores(texts, lm.MU)
+    for block_bytes in (lm.BLOCK_BYTES, 20_000):
+        got = rows(lm.score_documents(made, block_bytes=block_bytes)) if block_bytes != lm.BLOCK_BYTES else rows(lm.op7_backoff_automaton(spark, sf_of(documents=made)))
+        assert len(got) == len(texts)
+        for r in got:
+            exact, close = list(want[r["doc_id"]][:4]), want[r["doc_id"]][4:]
+            assert [r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]] == exact
+            assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip((r["base_score"], r["score"]), close))
+
+
+def automaton_of(train, asked):
+    from quern.llm.lm import Automaton, Grams
+
+    grams = Grams([*train, *asked])
+    counts = grams.own_counts([False] * len(train) + [True] * len(asked))
+    return grams, Automaton(grams, counts, int(counts[0].sum()), int((counts[0] > 0).sum()))
 
 
 def test_state_weights_add_up():
-    """Out of state a, the weights of all known tokens and one unseen one add up to one, arcs and failures together."""
-    from quern.llm.lm import MU, Automaton, keys_of, own_counts
-    from quern.llm.words import word_hashes
-
-    next_words = ["a a", "a b", "a c", "a unseen", "a"]
-    train, asked = ([keys_of(w) for w in word_hashes(t)] for t in (["a b a c", "b a b"], next_words))
-    keys, own = own_counts([k for f in train for k in f], [k for f in asked for k in f])
-    model = Automaton(keys, own, 9, 4, MU)
-    total = sum(10 ** (model.traverse(t[:2], arcs[:2])[2] - model.traverse(t[:1], arcs[:1])[2]) for t, arcs in asked)
-    assert abs(total - 1) < 1e-9
+    """Out of every state, the weights of all known tokens and one unseen one add up to one, arcs and failures together."""
+    known = ["a", "b", "c", "unseen"]
+    train = ["a b a c", "b a b", "a b c"]
+    for before in ("", "a", "a b", "b b", "c unseen", "unseen a"):
+        size = len(before.split())
+        grams, model = automaton_of(train, [f"{before} {w}" for w in known] + [before])
+        texts = range(len(train), len(train) + len(known))
+        last = [model.walk(grams.starts[[i]] + 1, np.array([n]), np.array([model.start]), np.array([0]))[0] for n in (size, size + 1) for i in texts]
+        ends = model.scores(grams)[-1] - (last[0] if size else 0.0)
+        assert abs(sum(10 ** (b - a) for a, b in zip(last, last[len(known) :])) + 10**ends - 1) < 1e-9
+
+
+def test_walk_carries_its_state():
+    """Arc by arc: what the walk adds for a token depends on the state in which the token before left it."""
+    grams, model = automaton_of(["a b c", "x b d"], ["a b c", "x b c", "q b c"])
+    got = model.scores(grams)[2:]
+    assert got[0] > got[1] > got[2]
+    pair_states = set(model.target[model.by_pair[model.by_pair >= 0]].tolist())
+    assert all(s > model.tokens and model.fail[s] in range(1, model.tokens + 1) for s in pair_states)
+    assert all(model.fail[s] == 0 for s in range(model.tokens + 1))
+
+
+def test_stretches_score_like_whole_texts(monkeypatch):
+    from quern.llm import lm
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (0, 1, 2, 50, 333)]
+    grams, model = automaton_of(texts[:4], texts)
+    whole = model.scores(grams)
+    for stretch in (2, 3, 10):
+        monkeypatch.setattr(lm, "STRETCH", stretch)
+        assert np.allclose(model.scores(grams), whole, rtol=1e-12)
+
+
+def test_messages_round_trip():
+    from quern.llm.lm import _narrow, _packed, _unpacked, _wide
+
+    for keys in ([7], [0, 1, 2**63, 2**64 - 1], list(range(5, 90, 3))):
+        keys = np.array(keys, dtype=np.uint64)
+        assert np.array_equal(_wide(_narrow(keys, 0), 0), keys)
+    for n in ([], [0, 3], [2**32 - 1], [2**32, 5 * 2**40]):
+        assert _unpacked(_packed(np.array(n, dtype=np.int64)), len(n)).tolist() == n
 
 
 def test_language_model_cases(spark, sf_of, odd, none):
