@@ -37,8 +37,8 @@ from quern.session import materialise, prepare, table
 FOLDS = 10
 #: What smoothing adds to the counts after one token and after two.
 MU = (200.0, 50.0)
-#: Tokens of a block, in bytes of text, and of a stretch, at least two.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block; tokens in a stretch (two at least).
+BLOCK_BYTES = 12 << 20
 STRETCH = 4096
 _END = np.uint64(0x1B873593CC9E2D51)
 _START = np.uint64(0x85EBCA6BC2B2AE35)
@@ -95,25 +95,24 @@ class Grams:
 def _packed(numbers: np.ndarray) -> bytes:
     """Compressed whole numbers of 32 or 64 bits."""
     width = 4 if not len(numbers) or numbers.max() < 1 << 32 else 8
-    return bytes([width]) + pa.compress(numbers.astype(f"<u{width}").tobytes(), codec="lz4", asbytes=True)
+    return bytes([width]) + pa.compress(numbers.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw[1:], decompressed_size=n * raw[0], codec="lz4", asbytes=True), dtype=f"<u{raw[0]}").astype(np.int64)
+    return np.frombuffer(pa.decompress(raw[1:], decompressed_size=n * raw[0], codec="zstd", asbytes=True), dtype=f"<u{raw[0]}").astype(np.int64)
 
 
 def _narrow(keys: np.ndarray, base: int) -> bytes:
-    """Rising keys from base on, as steps of 6 bytes each, of 8 where one is longer."""
+    """Rising keys from base on, as steps: five bytes of each, and what is above them compressed."""
     steps = np.diff(keys, prepend=np.uint64(base))
-    width = 6 if int(steps.max()) < 1 << 48 else 8
-    return bytes([width]) + np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    low = np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return low + _packed((steps >> np.uint64(40)).astype(np.int64))
 
 
-def _wide(raw: bytes, base: int) -> np.ndarray:
-    width = raw[0]
-    steps = np.zeros(((len(raw) - 1) // width, 8), dtype=np.uint8)
-    steps[:, :width] = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(-1, width)
-    steps = steps.view(np.uint64).ravel()
+def _wide(raw: bytes, n: int, base: int) -> np.ndarray:
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, :5] = np.frombuffer(raw, dtype=np.uint8, count=5 * n).reshape(-1, 5)
+    steps = steps.view(np.uint64).ravel() + (_unpacked(raw[5 * n :], n).astype(np.uint64) << np.uint64(40))
     steps[0] += np.uint64(base)
     return np.cumsum(steps, dtype=np.uint64)
 
@@ -147,7 +146,7 @@ def _blocked(block_bytes: int):
 
 def _sent(bits: int):
     def run(batches):
-        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, dtype=np.uint64)
+        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         for b in batches:
             for block, held, texts in zip(*(b.column(c).to_pylist() for c in ("block", "held", "texts"))):
                 grams = Grams(texts)
@@ -172,7 +171,7 @@ def _added(bits: int):
             rows = [i for i, k in enumerate(kind) if k == order]
             if not rows:
                 continue
-            keys = [_wide(raw[i], bucket[i] << (64 - bits) if bits else 0) for i in rows]
+            keys = [_wide(raw[i], size[i], bucket[i] << (64 - bits)) for i in rows]
             own = [_unpacked(mine[i], size[i]) for i in rows]
             distinct = np.unique(np.concatenate(keys))
             places = [np.searchsorted(distinct, k) for k in keys]

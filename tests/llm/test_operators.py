@@ -533,7 +533,7 @@ def test_messages_round_trip():
 
     for keys in ([7], [0, 1, 2**63, 2**64 - 1], list(range(5, 90, 3))):
         keys = np.array(keys, dtype=np.uint64)
-        assert np.array_equal(_wide(_narrow(keys, 0), 0), keys)
+        assert np.array_equal(_wide(_narrow(keys, 0), len(keys), 0), keys)
     for n in ([], [0, 3], [2**32 - 1], [2**32, 5 * 2**40]):
         assert _unpacked(_packed(np.array(n, dtype=np.int64)), len(n)).tolist() == n
 
