@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,8 +38,10 @@ END_ID = 2
 SHARD_IDS = 1 << 21
 #: Pieces in each of the two generations that a worker remembers; bounds memory, not results.
 REMEMBERED = 600_000
+#: New pieces that are encoded as one text.
+TOGETHER = 2000
 LEAST_COUNT = 4
-SCHEDULE = 16
+SCHEDULE = 64
 MAGIC, VERSION = b"QRNG", 2
 _HEAD = struct.Struct("<4sIQQQQQ")
 
@@ -56,10 +57,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.base = self.tokenizer.get_vocab_size()
+        # A byte-level token has a character for each byte; an added one stands for its own text.
+        self.size = np.zeros(self.base, dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.size[i] = len(token)
+        for i, added in self.tokenizer.get_added_tokens_decoder().items():
+            self.size[i] = len(added.content.encode())
         self.encode_all = PieceCoder(self._learn, REMEMBERED).encode_all
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Ids of new pieces. Texts may be cut where these pieces begin, so those that begin with a space are encoded as
+        one text, a few thousand at a time, and their ids told apart by the bytes they stand for."""
+        out: list[bytes] = [b""] * len(pieces)
+        alone = [k for k, p in enumerate(pieces) if p[:1] != " "]
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast([pieces[k] for k in alone], add_special_tokens=False)):
+            out[k] = np.array(e.ids, dtype="<u4").tobytes()
+        joined = [k for k, p in enumerate(pieces) if p[:1] == " "]
+        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
+        for ks, e in zip(groups, self.tokenizer.encode_batch_fast(["".join([pieces[k] for k in ks]) for ks in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in map(pieces.__getitem__, ks)])
+            reach = np.cumsum(self.size[ids])
+            cuts = np.searchsorted(reach, ends) + 1
+            if not np.array_equal(reach[cuts - 1], ends):
+                raise ValueError("a token spans two pieces")
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            for k, lo, hi in zip(ks, [0, *cuts], cuts):
+                out[k] = raw[lo:hi]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -94,17 +119,27 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID, least: int = LEAS
     """Symbols, rules (left, right) and expansion lengths of one shard's ids."""
     seq = ids.astype(np.uint32)
     rules = np.empty((0, 2), dtype="<u4")
+    sizes = np.ones(base, dtype=np.int64)
     while len(seq) > 1:
         top = base + len(rules)
-        half, kind = (16, np.uint32) if top <= 1 << 16 else (32, np.uint64)
+        half, kind = (16, np.uint32) if top < 1 << 16 else (32, np.uint64)
         a, b = seq[:-1], seq[1:]
-        usable = (a != end_id) & (b != end_id)
-        usable[overlapping(a, b)] = False
-        pairs_at = (a.astype(kind) << kind(half)) | b
-        codes = np.sort(pairs_at[usable])
-        edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        counts = np.diff(np.append(edge, len(codes)))
-        most = counts.max() if len(codes) else 0
+        pairs_at = a.astype(kind)
+        pairs_at <<= kind(half)
+        pairs_at |= b
+        stops = np.flatnonzero(seq == end_id)
+        none = kind((1 << 2 * half) - 1)  # no pair's code, as all symbols are less than (1 << half) - 1
+        pairs_at[overlapping(a, b)] = none
+        pairs_at[stops[stops < len(a)]] = none
+        pairs_at[stops[stops > 0] - 1] = none
+        codes = np.sort(pairs_at)
+        codes = codes[: np.searchsorted(codes, none)]
+        if not len(codes):
+            break
+        edge = np.flatnonzero(codes[1:] != codes[:-1]) + 1
+        edge = np.concatenate([[0], edge])
+        counts = np.diff(edge, append=len(codes))
+        most = counts.max()
         if most < least:
             break
         often = np.flatnonzero(counts >= max(least, most // SCHEDULE))
@@ -115,7 +150,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID, least: int = LEAS
         begins, ends = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
         begins[lefts] = True
         ends[rights] = True
-        near = np.flatnonzero(begins[a] & ends[b] & usable)
+        near = np.flatnonzero(begins[a] & ends[b])
         order = np.argsort(pairs)
         code, name = pairs[order], (top + order).astype(np.uint32)
         wanted = pairs_at[near]
@@ -127,10 +162,8 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID, least: int = LEAS
         seq[near] = name[at]
         seq = seq[keep]
         rules = np.concatenate([rules, np.stack([lefts, rights], axis=1).astype("<u4")])
-    lengths: list[int] = []
-    for x, y in rules.tolist():
-        lengths.append((lengths[x - base] if x >= base else 1) + (lengths[y - base] if y >= base else 1))
-    return seq, rules, np.array(lengths, dtype="<u4")
+        sizes = np.concatenate([sizes, sizes[lefts] + sizes[rights]])
+    return seq, rules, sizes[base:].astype("<u4")
 
 
 def planes(symbols: np.ndarray, top: int) -> bytes:
@@ -154,6 +187,12 @@ def pack(doc_ids: list[int | None], encoded: list[np.ndarray], base: int) -> byt
     return b"".join([head, *(x.tobytes() for x in (ids, nulls, counts, starts)), planes(rules.ravel(), top), lengths.tobytes(), planes(symbols, top)])
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), then starts[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Shard:
     """A shard file read again."""
 
@@ -187,17 +226,21 @@ class Shard:
         self.first[self.base :] = self.base + np.concatenate([[0], np.cumsum(self.lengths[:-1], dtype=np.int64)]) if n_rules else []
         self.flat = np.empty(self.base + int(self.lengths.sum()), dtype="<u4")
         self.flat[: self.base] = np.arange(self.base)
-        for k, (x, y) in enumerate(self.rules.tolist()):
-            at_, cut = self.first[self.base + k], size[x]
-            self.flat[at_ : at_ + cut] = self.flat[self.first[x] : self.first[x] + cut]
-            self.flat[at_ + cut : at_ + cut + size[y]] = self.flat[self.first[y] : self.first[y] + size[y]]
+        # Rules whose symbols come before them all are expanded at once.
+        latest = np.maximum.accumulate(self.rules.max(axis=1)) if n_rules else np.empty(0, dtype=np.int64)
+        done = 0
+        while done < n_rules:
+            until = max(done + 1, int(np.searchsorted(latest, self.base + done)))
+            parts = self.rules[done:until].ravel()
+            lo = self.first[self.base + done]
+            self.flat[lo : lo + size[parts].sum()] = self.flat[spans(self.first[parts], size[parts])]
+            done = until
 
     def ids(self, k: int) -> np.ndarray:
         """The ids of the k-th document, from its own symbols alone."""
         symbols = self.symbols[self.starts[k] : self.starts[k + 1]]
         sizes = self.size[symbols]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.first[symbols] - (ends - sizes), sizes) + np.arange(self.counts[k])]
+        return self.flat[spans(self.first[symbols], sizes)]
 
 
 def _written(path):
