@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm import worker
 from quern.llm.pieces import PieceCoder
 from quern.session import prepare, table
 
@@ -111,12 +112,16 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+worker.remembers(__name__, codec.cache_clear)
+
+
 def codec_mapper(path: str | None, pattern: str | None, tokens: bool = False):
     """Arrow mapper over (doc_id, text): counts and digests, or with tokens also the ids themselves."""
 
     def run(batches):
         import public_tokenizers
 
+        worker.begin(__name__)
         c = codec(path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN)
         for b in batches:
             ids = c.encode_all(b.column("text").to_pylist())

@@ -20,6 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm import worker
 from quern.session import prepare, table
 
 ERROR_SHARE = 10
@@ -151,6 +152,9 @@ def matcher(items: tuple[tuple[int, str], ...]) -> Matcher:
     return Matcher(items)
 
 
+worker.remembers(__name__, matcher.cache_clear)
+
+
 def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> list[tuple[tuple[int, str], ...]]:
     """Normalised test items in blocks of bounded size, by item_id and text."""
     out, size = [[]], 0
@@ -167,6 +171,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> list[tuple[tuple[in
 
 def _matched(items):
     def run(batches):
+        worker.begin(__name__)
         m = matcher(items)
         for b in batches:
             rows = [(d, *hit) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for hit in m.find(t)]
@@ -179,6 +184,7 @@ def _matched(items):
 
 def _clean(items):
     def run(batches):
+        worker.begin(__name__)
         m = matcher(items)
         for b in batches:
             yield b.filter(pa.array([not m.find(t) for t in b.column("text").to_pylist()], pa.bool_()))

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm import worker
 from quern.llm.pieces import PieceCoder
 from quern.session import new_path, prepare, table
 
@@ -92,6 +93,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+worker.remembers(__name__, encoder.cache_clear)
+
+
 def overlapping(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Every second place of each run of equal neighbours, where the pair would overlap the one before."""
     same = np.flatnonzero(a == b)
@@ -248,6 +252,7 @@ def _written(path):
         import public_tokenizers
         from pyspark import TaskContext
 
+        worker.begin(__name__)
         enc = encoder(path or public_tokenizers.path(VOCABULARY))
         part, end = TaskContext.get().partitionId(), np.array([END_ID], dtype="<u4")
         names, done, held, before, number = [], [], 0, 0, 0

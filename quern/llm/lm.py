@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.words import mix, word_hashes
+from quern.llm import worker
+from quern.llm.words import forget, mix, word_hashes
 from quern.session import materialise, prepare, table
 
 FOLDS = 10
@@ -45,6 +46,9 @@ _START = np.uint64(0x85EBCA6BC2B2AE35)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
+worker.remembers(__name__, forget)
+
+
 class Grams:
     """Tokens, pairs and triples of a block's texts. Positions are those of the texts' tokens, each text led by a start."""
 
@@ -146,6 +150,7 @@ def _blocked(block_bytes: int):
 
 def _sent(bits: int):
     def run(batches):
+        worker.begin(__name__)
         edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         for b in batches:
             for block, held, texts in zip(*(b.column(c).to_pylist() for c in ("block", "held", "texts"))):
@@ -246,6 +251,7 @@ class Automaton:
 
 def _traversed(n: int, v: int, mu: tuple[float, float]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        worker.begin(__name__)
         held, texts = left.column("held")[0].as_py(), left.column("texts")[0].as_py()
         grams = Grams(texts)
         counts = grams.own_counts(held)

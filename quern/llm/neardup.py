@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.words import mix, word_hashes
+from quern.llm import worker
+from quern.llm.words import forget, mix, word_hashes
 from quern.operators.graph import components
 from quern.session import discard, materialise, new_path, prepare, salted_left_join, table
 
@@ -79,6 +80,10 @@ def _second() -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([order, order[: 1 << 13]]), where
 
 
+worker.remembers(__name__, _second.cache_clear)
+worker.remembers(__name__, forget)
+
+
 def shingles(words: np.ndarray) -> np.ndarray:
     """Sorted distinct shingle hashes of one document; mix() is the first permutation."""
     n = len(words)
@@ -123,6 +128,7 @@ def bit_print(sig: np.ndarray) -> np.ndarray:
 
 def _sketched(bands: int):
     def run(batches):
+        worker.begin(__name__)
         for b in batches:
             rows = []
             for words in word_hashes(b.column("text").to_pylist()):
@@ -137,6 +143,7 @@ def _sketched(bands: int):
 
 
 def _sets(batches):
+    worker.begin(__name__)
     for b in batches:
         found = [shingles(w) for w in word_hashes(b.column("text").to_pylist())]
         prints = [[int(p[i]) for p in map(fingerprint, found)] for i in (0, 1)]
@@ -148,6 +155,7 @@ def _of_sets(width: int, bands: int):
     """Arrow mapper over (doc_id, shingles): the print, and band keys of that width."""
 
     def run(batches):
+        worker.begin(__name__)
         for b in batches:
             sigs = [signature(np.array(s, dtype=np.int64).view(np.uint64), max(PRINT_BITS, bands * width)) for s in b.column("shingles").to_pylist()]
             cols = [pa.array([bit_print(s[:PRINT_BITS]) for s in sigs], pa.list_(pa.int64())), pa.array([band_keys(s, bands, width).view(np.int64) for s in sigs], pa.list_(pa.int64()))]

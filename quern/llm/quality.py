@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import worker
 from quern.session import materialise, prepare, salted_left_join, table
 
 SYMBOLS = b"#*$%&|<>"
@@ -49,6 +50,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def _measured(batches):
+    worker.begin(__name__)
     for b in batches:
         rows = [measure(t) for t in b.column("text").to_pylist()]
         cols = list(zip(*rows)) if rows else [()] * 5
@@ -95,6 +97,7 @@ def judge(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _sound(batches):
+    worker.begin(__name__)
     for b in batches:
         rows = [measure(t) for t in b.column("text").to_pylist()]
         yield b.filter(pa.array([not failed(*r) for r in rows], pa.bool_()))

@@ -21,12 +21,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm import worker
 from quern.session import materialise, prepare, table
 
 TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 26
@@ -41,7 +43,7 @@ TOGETHER = 128
 FREQUENT, SLACK = 128, 1e-12
 HELD_OUT_MOD = 5
 #: Words whose terms a worker remembers; bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W_]+")
 _BEGINNINGS = (4, 5, 6, 7)
 #: ASCII bytes other than letters and digits become blanks.
@@ -67,6 +69,10 @@ def beginnings(word: str) -> list[str]:
     return [word[:n] + "*" for n in _BEGINNINGS if len(word) > n]
 
 
+_vocabularies: WeakSet = WeakSet()
+worker.remembers(__name__, lambda: [v.forget() for v in _vocabularies])
+
+
 class Vocabulary:
     """Terms and their places; a word's terms are the word and its beginnings, as far as they are terms."""
 
@@ -75,6 +81,10 @@ class Vocabulary:
         self.first: dict[bytes, int] = {}
         self.more: dict[bytes, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.more.clear()
+
     def _learn(self, run: bytes) -> int:
         text = run.decode("utf-8", "surrogatepass")
         place = self.place
@@ -87,8 +97,7 @@ class Vocabulary:
     def counts(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Term places, rising, and how often the runs have them."""
         if len(self.first) > REMEMBERED:
-            self.first.clear()
-            self.more.clear()
+            self.forget()
         words = Counter(runs)
         first, more, learn = self.first, self.more, self._learn
         places = [first[w] if w in first else learn(w) for w in words]
@@ -105,6 +114,10 @@ class Vocabulary:
     def __getstate__(self):
         return {"place": self.place, "first": {}, "more": {}}
 
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        _vocabularies.add(self)
+
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... (sizes[0] of them), then starts[1], ..."""
@@ -206,6 +219,9 @@ class Model:
     def score_texts(self, doc_ids: list, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
         return self.score(doc_ids, [self.vocabulary.counts(runs_of(t)) for t in texts])
 
+    def __getstate__(self):
+        return self.__dict__ | {"vocabulary": None}  # tasks that need it get it apart
+
 
 def _bags(batches):
     for b in batches:
@@ -216,6 +232,7 @@ def _bags(batches):
 
 def _counted(shared):
     def run(batches):
+        worker.begin(__name__)
         vocabulary = shared.value
         for b in batches:
             found = [vocabulary.counts(runs_of(t)) for t in b.column("text").to_pylist()]
@@ -308,6 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _scored(shared):
     def run(batches):
+        worker.begin(__name__)
         model = shared.value
         for b in batches:
             got = model.score(b.column("doc_id").to_pylist(), list(zip(numbers(b.column("places")), numbers(b.column("counts")))))
@@ -317,11 +335,12 @@ def _scored(shared):
     return run
 
 
-def _clean(shared):
+def _clean(shared, words):
     def run(batches):
-        model = shared.value
+        worker.begin(__name__)
+        model, vocabulary = shared.value, words.value
         for b in batches:
-            got = model.score_texts(b.column("doc_id").to_pylist(), b.column("text").to_pylist())
+            got = model.score(b.column("doc_id").to_pylist(), [vocabulary.counts(runs_of(t)) for t in b.column("text").to_pylist()])
             yield b.filter(pa.array([round(s, 9) < 0.5 for s, _ in got], pa.bool_()))
 
     return run
@@ -340,8 +359,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that score under one half, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_clean(shared), docs.schema)
+    shared, words = map(docs.sparkSession.sparkContext.broadcast, (model, model.vocabulary))
+    return docs.mapInArrow(_clean(shared, words), docs.schema)
 
 
 def op10_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 
 #: Words that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 256
+REMEMBERED, LONGEST = 200_000, 256
 _KEY = b"quern word hash 1"
 
 
@@ -37,6 +37,10 @@ class _Table(dict):
 _table = _Table()
 
 
+def forget() -> None:
+    _table.clear()
+
+
 def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     """One array of word hashes per text, in order."""
     out = []
