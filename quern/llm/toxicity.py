@@ -246,13 +246,17 @@ def numbers(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in column.to_pylist()]
 
 
-def _document_frequency(n_terms: int):
+def _document_frequency(n_terms: int, words=None):
+    """Arrow mapper: in how many documents each term is, from places or, with the vocabulary, from texts."""
+
     def run(batches):
+        worker.begin(__name__)
         df = np.zeros(n_terms, dtype=np.int64)
         docs = 0
         for b in batches:
             docs += b.num_rows
-            df += np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *numbers(b.column("places"))]), minlength=n_terms)
+            found = numbers(b.column(0)) if words is None else [words.value.counts(runs_of(t))[0] for t in b.column(0).to_pylist()]
+            df += np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *found]), minlength=n_terms)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(df[some], docs))], names=["place", "df"])
 
@@ -268,9 +272,8 @@ def relevance(n: np.ndarray, up: np.ndarray, rows: int, toxic: int) -> np.ndarra
     return np.sqrt(np.maximum(0.0, chi - 2 * math.log(max(rows, 1) * 100 / 0.05)) / max(rows, 1))
 
 
-def features(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, and the places and counts of every document's terms as little-endian 32-bit numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def features(docs: DataFrame, shared) -> DataFrame:
+    """doc_id, and the places and counts of every document's terms as little-endian 32-bit numbers. shared: the vocabulary."""
     return docs.select("doc_id", "text").mapInArrow(_counted(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, places binary, counts binary")
 
 
@@ -306,9 +309,9 @@ def chosen_terms(examples: list[tuple[int, int, dict[str, int]]]) -> tuple[Vocab
     return Vocabulary([terms[i] for i in kept]), phi[kept]
 
 
-def fitted(examples: list[tuple[int, int, dict[str, int]]], vocabulary: Vocabulary, phi: np.ndarray, counted: DataFrame) -> Model:
-    """The model, with document frequencies from all documents' features()."""
-    found = counted.select("places").mapInArrow(_document_frequency(len(phi)), "place int, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+def fitted(examples: list[tuple[int, int, dict[str, int]]], vocabulary: Vocabulary, phi: np.ndarray, frequencies: DataFrame) -> Model:
+    """The model; frequencies: what _document_frequency() makes of all documents."""
+    found = frequencies.groupBy("place").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(phi) + 1)
     df[found.column("place").to_numpy()] = found.column("df").to_numpy()  # place -1, the last one, holds the documents
     weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (FLOOR + phi)
@@ -320,7 +323,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows that aren't held out."""
     examples = sampled(docs, labels)
     vocabulary, phi = chosen_terms(examples)
-    return fitted(examples, vocabulary, phi, features(docs, vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return fitted(examples, vocabulary, phi, docs.select("text").mapInArrow(_document_frequency(len(phi), shared), "place int, df long"))
 
 
 def _scored(shared):
@@ -352,8 +356,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     examples = sampled(docs, labels)
     vocabulary, phi = chosen_terms(examples)
-    counted = materialise(features(docs, vocabulary), "features")
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(examples, vocabulary, phi, counted))
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    counted = materialise(features(docs, broadcast(vocabulary)), "features")
+    shared = broadcast(fitted(examples, vocabulary, phi, counted.select("places").mapInArrow(_document_frequency(len(phi)), "place int, df long")))
     return counted.mapInArrow(_scored(shared), f"doc_id {kind}, score double, evidence array<struct<doc_id:{kind},cosine:double>>")
 
 
