@@ -94,11 +94,10 @@ class Vocabulary:
         self.first[run] = found[0] if found else -1
         return self.first[run]
 
-    def counts(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Term places, rising, and how often the runs have them."""
+    def counts(self, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Term places, rising, and how often the counted runs have them."""
         if len(self.first) > REMEMBERED:
             self.forget()
-        words = Counter(runs)
         first, more, learn = self.first, self.more, self._learn
         places = [first[w] if w in first else learn(w) for w in words]
         n = list(words.values())
@@ -217,7 +216,7 @@ class Model:
         return out
 
     def score_texts(self, doc_ids: list, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
-        return self.score(doc_ids, [self.vocabulary.counts(runs_of(t)) for t in texts])
+        return self.score(doc_ids, [self.vocabulary.counts(Counter(runs_of(t))) for t in texts])
 
     def __getstate__(self):
         return self.__dict__ | {"vocabulary": None}  # tasks that need it get it apart
@@ -235,7 +234,7 @@ def _counted(shared):
         worker.begin(__name__)
         vocabulary = shared.value
         for b in batches:
-            found = [vocabulary.counts(runs_of(t)) for t in b.column("text").to_pylist()]
+            found = [vocabulary.counts(Counter(runs_of(t))) for t in b.column("text").to_pylist()]
             cols = [pa.array([x[i].astype("<i4").tobytes() for x in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "places", "counts"])
 
@@ -255,7 +254,7 @@ def _document_frequency(n_terms: int, words=None):
         docs = 0
         for b in batches:
             docs += b.num_rows
-            found = numbers(b.column(0)) if words is None else [words.value.counts(runs_of(t))[0] for t in b.column(0).to_pylist()]
+            found = numbers(b.column(0)) if words is None else [words.value.counts(Counter(runs_of(t)))[0] for t in b.column(0).to_pylist()]
             df += np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *found]), minlength=n_terms)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(df[some], docs))], names=["place", "df"])
@@ -277,8 +276,61 @@ def features(docs: DataFrame, shared) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_counted(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, places binary, counts binary")
 
 
-def sampled(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> list[tuple[int, int, dict[str, int]]]:
-    """doc_id, label and counted words of the sample of labelled rows that aren't held out, by doc_id."""
+class Sample:
+    """Labelled texts as counted words: ids, labels, and of text i the words codes[cuts[i]:cuts[i + 1]] with their counts."""
+
+    def __init__(self, bags: pa.Table):
+        text = [bags.column(c).combine_chunks() for c in ("words", "counts")]
+        words = text[0].flatten().dictionary_encode()
+        ids, sizes = bags.column("doc_id").to_pylist(), np.diff(text[0].offsets.to_numpy())
+        codes, counts = words.indices.to_numpy(), text[1].flatten().to_numpy()
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        self.words: list[str] = words.dictionary.to_pylist()
+        one: dict = {}
+        for i, d in enumerate(ids):
+            if d in one:  # the smallest words of a repeated doc_id
+                key = lambda j: sorted(zip((self.words[c] for c in codes[cuts[j] : cuts[j + 1]]), counts[cuts[j] : cuts[j + 1]].tolist()))
+                i = min(i, one[d], key=key)
+            one[d] = i
+        rows = [one[d] for d in sorted(one)]
+        labels = bags.column("toxic").to_pylist()
+        self.ids, self.labels = sorted(one), np.array([labels[i] for i in rows], dtype=np.int64)
+        self.codes = np.concatenate([np.empty(0, dtype=codes.dtype), *(codes[cuts[i] : cuts[i + 1]] for i in rows)])
+        self.counts = np.concatenate([np.empty(0, dtype=counts.dtype), *(counts[cuts[i] : cuts[i + 1]] for i in rows)])
+        self.cuts = np.concatenate([[0], np.cumsum(sizes[rows])]).astype(np.int64) if rows else np.zeros(1, dtype=np.int64)
+
+    def terms(self) -> tuple[Vocabulary, np.ndarray]:
+        """All words of the texts and the beginnings that matter, and their relevance."""
+        rows, toxic = len(self.ids), int(self.labels.sum())
+        row = np.repeat(np.arange(rows), np.diff(self.cuts))
+        held: list[str] = []
+        phis: list[np.ndarray] = []
+
+        def add(terms: list[str], of_code: np.ndarray, matter: bool) -> None:
+            """Terms with the relevance of the rows that have them; of_code: a word's term, -1 if it has none."""
+            term = of_code[self.codes]
+            pairs = np.unique(term[term >= 0] * max(rows, 1) + row[term >= 0])
+            n = np.bincount(pairs // max(rows, 1), minlength=len(terms))
+            up = np.bincount(pairs // max(rows, 1), self.labels[pairs % max(rows, 1)], minlength=len(terms))
+            phi = relevance(n, up, rows, toxic)
+            kept = np.flatnonzero((n > 0) & ((phi > 0) | (not matter)))
+            held.extend(terms[i] for i in kept.tolist())
+            phis.append(phi[kept])
+
+        add(self.words, np.arange(len(self.words)), False)
+        for size in _BEGINNINGS:
+            place: dict[str, int] = {}
+            of_code = np.array([place.setdefault(w[:size] + "*", len(place)) if len(w) > size else -1 for w in self.words], dtype=np.int64)
+            add(list(place), of_code, True)
+        return Vocabulary(held), np.concatenate(phis)
+
+    def counted(self, i: int) -> dict[bytes, int]:
+        span = slice(self.cuts[i], self.cuts[i + 1])
+        return {self.words[c].encode(): n for c, n in zip(self.codes[span].tolist(), self.counts[span].tolist())}
+
+
+def sampled(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Sample:
+    """The sample of labelled rows that aren't held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     size = F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("size")
@@ -287,44 +339,28 @@ def sampled(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, tr
     chosen = sizes.withColumn("used", used).where(F.col("used") <= train_bytes).select("doc_id", "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    bags = rows.select("doc_id", "toxic", "text").mapInArrow(_bags, f"doc_id {kind}, toxic int, words array<string>, counts array<int>").toArrow().to_pydict()
-    one: dict = {}
-    for d, y, w, c in zip(*(bags[x] for x in ("doc_id", "toxic", "words", "counts"))):
-        if d not in one or (w, c) < one[d][1:]:
-            one[d] = (y, w, c)
-    return [(d, y, dict(zip(w, c))) for d, (y, w, c) in sorted(one.items())]
-
-
-def chosen_terms(examples: list[tuple[int, int, dict[str, int]]]) -> tuple[Vocabulary, np.ndarray]:
-    """All words of the examples and the beginnings that matter, and their relevance."""
-    n, up = Counter(), Counter()
-    for _, y, words in examples:
-        terms = {*words, *(t for w in words for t in beginnings(w))}
-        n.update(terms)
-        if y:
-            up.update(terms)
-    terms = sorted(n)
-    phi = relevance(np.array([n[t] for t in terms]), np.array([up[t] for t in terms]), len(examples), sum(y for _, y, _ in examples))
-    kept = [i for i, t in enumerate(terms) if phi[i] > 0 or not t.endswith("*")]
-    return Vocabulary([terms[i] for i in kept]), phi[kept]
-
-
-def fitted(examples: list[tuple[int, int, dict[str, int]]], vocabulary: Vocabulary, phi: np.ndarray, frequencies: DataFrame) -> Model:
+    return Sample(rows.select("doc_id", "toxic", "text").mapInArrow(_bags, f"doc_id {kind}, toxic int, words array<string>, counts array<int>").toArrow())
+
+
+def fitted(sample: Sample, vocabulary: Vocabulary, phi: np.ndarray, frequencies: DataFrame) -> Model:
     """The model; frequencies: what _document_frequency() makes of all documents."""
     found = frequencies.groupBy("place").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(phi) + 1)
     df[found.column("place").to_numpy()] = found.column("df").to_numpy()  # place -1, the last one, holds the documents
     weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (FLOOR + phi)
-    repeated = lambda words: [w.encode() for w, n in words.items() for _ in range(n)]
-    return Model(vocabulary, weight, [(d, y, *vocabulary.counts(repeated(words))) for d, y, words in examples])
+    model = Model(vocabulary, weight, [(d, y, *vocabulary.counts(sample.counted(i))) for i, (d, y) in enumerate(zip(sample.ids, sample.labels.tolist()))])
+    vocabulary.forget()
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows that aren't held out."""
-    examples = sampled(docs, labels)
-    vocabulary, phi = chosen_terms(examples)
+    sample = sampled(docs, labels)
+    vocabulary, phi = sample.terms()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return fitted(examples, vocabulary, phi, docs.select("text").mapInArrow(_document_frequency(len(phi), shared), "place int, df long"))
+    model = fitted(sample, vocabulary, phi, docs.select("text").mapInArrow(_document_frequency(len(phi), shared), "place int, df long"))
+    shared.unpersist()
+    return model
 
 
 def _scored(shared):
@@ -344,7 +380,7 @@ def _clean(shared, words):
         worker.begin(__name__)
         model, vocabulary = shared.value, words.value
         for b in batches:
-            got = model.score(b.column("doc_id").to_pylist(), [vocabulary.counts(runs_of(t)) for t in b.column("text").to_pylist()])
+            got = model.score(b.column("doc_id").to_pylist(), [vocabulary.counts(Counter(runs_of(t))) for t in b.column("text").to_pylist()])
             yield b.filter(pa.array([round(s, 9) < 0.5 for s, _ in got], pa.bool_()))
 
     return run
@@ -354,17 +390,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score and the three nearest examples of every document. Terms are counted once and written down, for the
     document frequencies and for the scores."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    examples = sampled(docs, labels)
-    vocabulary, phi = chosen_terms(examples)
+    sample = sampled(docs, labels)
+    vocabulary, phi = sample.terms()
     broadcast = docs.sparkSession.sparkContext.broadcast
     counted = materialise(features(docs, broadcast(vocabulary)), "features")
-    shared = broadcast(fitted(examples, vocabulary, phi, counted.select("places").mapInArrow(_document_frequency(len(phi)), "place int, df long")))
+    shared = broadcast(fitted(sample, vocabulary, phi, counted.select("places").mapInArrow(_document_frequency(len(phi)), "place int, df long")))
     return counted.mapInArrow(_scored(shared), f"doc_id {kind}, score double, evidence array<struct<doc_id:{kind},cosine:double>>")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that score under one half, with all their columns."""
     shared, words = map(docs.sparkSession.sparkContext.broadcast, (model, model.vocabulary))
+    worker.trim()
     return docs.mapInArrow(_clean(shared, words), docs.schema)
 
 

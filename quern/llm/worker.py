@@ -16,14 +16,19 @@ def remembers(operator: str, clear: Callable[[], None]) -> None:
     _clears.setdefault(operator, []).append(clear)
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system."""
+    gc.collect()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library's
+    if give:
+        give(0)
+
+
 def begin(operator: str) -> None:
     """A task of this operator begins in this process."""
     global _now
     if _now != operator:
         for clear in _clears.get(_now, []):
             clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library's
-        if trim:
-            trim(0)
+        trim()
         _now = operator
