@@ -24,6 +24,9 @@ STAGES = [
     ("anneal", 15, 128, [0.20, 0.20, 0.15, 0.15, 0.12, 0.18], {"indic": 0.12, "agentic": 0.08, "reasoning": 0.08}),
 ]
 
+#: Ranges that are counted at once.
+CELLS = 1024
+
 
 def supply(lanes: DataFrame, inventory: DataFrame, budget: float = BUDGET_B) -> DataFrame:
     """lanes (lane, share, cap) and inventory (lane, tokens) to target, unique, repetition and a verdict."""
@@ -50,11 +53,33 @@ def tier_fill(tiers: DataFrame, target: float) -> DataFrame:
     return avail.select("ord", "tier", "avail", F.greatest(F.lit(0.0), F.least(F.col("avail"), F.lit(target) - before)).alias("take"))
 
 
+def first_rows(rows: DataFrame, k: int, order: list[tuple[str, bool]], small: int = 10_000) -> DataFrame:
+    """The first k rows by numeric columns without nulls, (name, descending). Counts in CELLS ranges narrow down where the
+    k-th row lies until few rows are left there; all before them are kept by a filter, and only those few are sorted."""
+    inside, before, left = F.lit(True), F.lit(False), k
+    for name, down in order:
+        x = (-F.col(name) if down else F.col(name)).cast("double")
+        while True:
+            held = rows.where(inside)
+            s = held.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n")).first()
+            if s["n"] <= small or s["n"] <= left or s["lo"] == s["hi"]:
+                break
+            cell = F.least(F.lit(CELLS - 1), F.floor((x - s["lo"]) / (s["hi"] - s["lo"]) * CELLS))
+            reach = 0
+            for c, n in sorted(map(tuple, held.groupBy(cell.alias("cell")).count().collect())):
+                if reach + n > left:
+                    break
+                reach += n
+            before, inside, left = before | (inside & (cell < c)), inside & (cell == c), left - reach
+        if s["n"] <= small or s["n"] <= left:
+            break
+    rest = rows.where(inside).orderBy(*(F.desc(n) if down else F.asc(n) for n, down in order)).limit(left)
+    return rows.where(before).unionByName(rest)
+
+
 def top_share(scored: DataFrame, keep: float, by: str = "score", tie: str = "id") -> DataFrame:
-    """The best share of rows; ties keep the order of `tie`. The bound comes from a count, the rows from a global sort
-    that Spark ranges over all tasks, and the row that crosses is found per range."""
-    k = int(scored.count() * keep)
-    return scored.orderBy(F.desc(by), tie).limit(k)
+    """The best share of rows; ties keep the order of `tie`."""
+    return first_rows(scored, int(scored.count() * keep), [(by, True), (tie, False)])
 
 
 def mix(kept: DataFrame) -> DataFrame:
@@ -69,7 +94,7 @@ def floor_select(scored: DataFrame, keep: float, floors: dict[str, int]) -> Data
     spark = scored.sparkSession
     reserved = {lane: int(k * pct / 100) for lane, pct in floors.items()}
     rest = max(k - sum(reserved.values()), 0)
-    top = scored.orderBy(F.desc("score"), "id").limit(rest).groupBy("lane").agg(F.count("*").alias("n"))
+    top = first_rows(scored, rest, [("score", True), ("id", False)]).groupBy("lane").agg(F.count("*").alias("n"))
     held = spark.createDataFrame(list(reserved.items()), "lane string, r long")
     out = top.join(held, "lane", "full")
     return out.select("lane", ((F.coalesce("n", F.lit(0)) + F.coalesce("r", F.lit(0))) / k * 100).alias("pct"))

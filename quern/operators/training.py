@@ -83,3 +83,27 @@ def bigram_loss(tokens: DataFrame, vocabulary: int, add: float = 1.0) -> DataFra
     c1 = c2.groupBy("token").agg(F.sum("c2").alias("c1"))
     scored = both.join(c2, ["token", "next"]).join(c1, "token").withColumn("nll", -F.ln((F.col("c2") + add) / (F.col("c1") + add * vocabulary)))
     return scored.groupBy("seq").agg(F.coalesce(F.avg(F.when(F.col("bears"), F.col("nll"))), F.lit(0.0)).alias("loss"))
+
+
+def dispatch(rows: DataFrame, expert: str, token: str, block: int = 4096) -> DataFrame:
+    """rows with `position`, their place in a counting sort by expert and token. Tokens are counted in blocks, so no task
+    holds a whole expert: a block's start is a sum over the blocks before it, positions count within blocks."""
+    placed = rows.withColumn("_block", F.floor(F.col(token) / block))
+    counts = placed.groupBy(expert, "_block").agg(F.count("*").alias("_n"))
+    experts = counts.groupBy(expert).agg(F.sum("_n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(expert).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy(expert).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(expert, "_block", inner.alias("_inner")).join(experts.select(expert, before.alias("_first")), expert)
+    rank = F.row_number().over(Window.partitionBy(expert, "_block").orderBy(token)) - 1
+    return placed.join(starts, [expert, "_block"]).withColumn("position", (F.col("_first") + F.col("_inner") + rank).cast("long")).select(*rows.columns, "position")
+
+
+def scaled_rate(base_rate: float, batch: Column, base_batch: float) -> Column:
+    """The learning rate for a batch size, by the square root of its ratio to the base batch."""
+    return F.lit(base_rate) * F.sqrt(batch / F.lit(base_batch))
+
+
+def upper_median(values: Column) -> Column:
+    """The upper median of the collected values of a group: of an even number, the larger of the middle two."""
+    held = F.sort_array(F.collect_list(values))
+    return F.get(held, F.floor(F.size(held) / 2).cast("int"))

@@ -145,7 +145,7 @@ def attention_pairs(spark, sf):
 
 def attention_mask_check(spark, sf):
     """The mask made out equals the count of allowed pairs, on short sequences."""
-    packed = S.pack_structured(_lane_docs(spark, sf).where("doc_id < 100"), 16)
+    packed = S.pack_structured(_lane_docs(spark, sf), 16)
     made = S.attention_mask(packed, ["lane", "doc_id"]).groupBy("doc_id").agg(F.count("*").alias("made"))
     return made.join(S.attention_pairs(packed, ["lane", "doc_id"]), "doc_id").agg(F.every(F.col("made") == F.col("allowed")).alias("equal"), F.sum("made").alias("pairs"))
 
@@ -162,7 +162,9 @@ def epoch_draws(spark, sf):
 
 
 def _entries(spark, sf):
-    rows = table(spark, sf, "events").where("event_id < 500").select(F.col("event_type").alias("ledger"), F.col("event_id").alias("seq"), F.concat(F.lit("v="), F.col("user_id").cast("string")).alias("payload"))
+    """All events, in a ledger for each type and 500 ids: a chain is one task's work and doesn't grow with the table."""
+    ledger = F.concat_ws("/", "event_type", F.expr("event_id div 500").cast("string"))
+    rows = table(spark, sf, "events").select(ledger.alias("ledger"), F.col("event_id").alias("seq"), F.concat(F.lit("v="), F.col("user_id").cast("string")).alias("payload"))
     return S.chain(rows)
 
 
@@ -175,15 +177,15 @@ def _day_entries(spark, sf):
 def ledger_verify(spark, sf):
     prepare(spark)
     e = _entries(spark, sf)
-    tampered = e.withColumn("payload", F.when((F.col("ledger") == "click") & (F.pmod("seq", F.lit(50)) == 1), "v=-1").otherwise(F.col("payload")))
+    tampered = e.withColumn("payload", F.when(F.col("ledger").startswith("click/") & (F.pmod("seq", F.lit(50)) == 1), "v=-1").otherwise(F.col("payload")))
     a = S.verify_chain(e).select("ledger", "entries", F.col("first_bad").isNull().alias("intact"))
     return a.join(S.verify_chain(tampered).select("ledger", F.col("first_bad").isNotNull().alias("tamper_found")), "ledger")
 
 
 def replay_compare(spark, sf):
     prepare(spark)
-    e = _entries(spark, sf).where("ledger = 'click'")
-    again = S.truncate(_entries(spark, sf).where("ledger = 'click'"), 300)
+    e = _entries(spark, sf).where("ledger like 'click/%'")
+    again = S.truncate(_entries(spark, sf).where("ledger like 'click/%'"), 300)
     same = S.compare_runs(e.select("seq", "entry_hash"), again.select("seq", "entry_hash"), "seq", "entry_hash").agg(F.count_if("same").alias("same"), F.count_if(~F.col("same")).alias("different"))
     fork = e.withColumn("entry_hash", F.when(F.col("seq") > 200, F.reverse("entry_hash")).otherwise(F.col("entry_hash")))
     return same.join(S.fork_differences(e, fork, "seq", "entry_hash").agg(F.count_if("differs").alias("forked")))
@@ -273,9 +275,9 @@ with t as (select conv_id, role, cast(coalesce(sum(length(text)) over (partition
 select conv_id, s, e from t where role = 'assistant'""",
     "firewall_scan": f"with {_LD} select split, count(*) as leaks from ld where split <> 'train' and doc_id % 40 = 4 group by split",
     "trail_join": "select count(*) as unexplained from documents where doc_id % 100 = 7",
-    "ledger_verify": "select event_type as ledger, count(*) as entries, true as intact, event_type = 'click' as tamper_found from events where event_id < 500 group by event_type",
-    "replay_compare": "select count(*) filter (event_id < 300) as same, count(*) filter (event_id >= 300) as different, count(*) filter (event_id > 200) as forked from events where event_id < 500 and event_type = 'click'",
+    "ledger_verify": "select event_type || '/' || event_id // 500 as ledger, count(*) as entries, true as intact, bool_or(event_type = 'click' and event_id % 50 = 1) as tamper_found from events group by 1",
+    "replay_compare": "select count(*) filter (event_id < 300) as same, count(*) filter (event_id >= 300) as different, count(*) filter (event_id > 200) as forked from events where event_type = 'click'",
     "packing_audit": "select 0::bigint as loss_over_boundary, 0::bigint as loss_on_padding, 0::bigint as position_gaps, 0::bigint as bad_starts",
-    "attention_mask_check": f"with {_LD}, p as (select least(n, 15) + 1 as n from ld where doc_id < 100) select true as equal, cast(sum(n * (n + 1) / 2) as bigint) as pairs from p",
+    "attention_mask_check": f"with {_LD}, p as (select least(n, 15) + 1 as n from ld) select true as equal, cast(sum(n * (n + 1) / 2) as bigint) as pairs from p",
     "evidence_table": "select * from (values ('alloc_sums', 'PASS'), ('ledger_intact', 'PASS'), ('no_held_out_trained', 'PASS'), ('shards_verify', 'PASS'), ('tamper_is_seen', 'PASS')) v(name, verdict)",
 }

@@ -196,10 +196,10 @@ with have as (select distinct 'layer.' || user_id as k from events where user_id
 select cast(sum(case when h.k is null then 1 else 0 end) as bigint) as missing, cast(sum(case when w.k is null then 1 else 0 end) as bigint) as unexpected, cast(sum(case when h.k is not null and w.k is not null then 1 else 0 end) as bigint) as matched
 from have h full outer join want w on h.k = w.k"""),
     both("bias_correction", """
-with t as (select distinct event_id + 1 as t from events where event_id < 2000), r as (select t, (1 - power(0.9, t)) / sqrt(1 - power(0.999, t)) as r from t)
+with t as (select distinct event_id % 2000 + 1 as t from events), r as (select t, (1 - power(0.9, t)) / sqrt(1 - power(0.999, t)) as r from t)
 select round(max(r), 9) as peak, max_by(t, r) as peak_at, min(case when abs(r - 1) < 0.05 and t > 300 then t end) as near_one from r"""),
     both("schedules", """
-with t as (select distinct event_id as t from events where event_id < 300), s as (select t, case when t < 30 then (t + 1) / 30e0 else 1e-1 + 45e-2 * (1 + cos(pi() * (t - 30) / 270e0)) end as cosine,
+with t as (select distinct event_id % 300 as t from events), s as (select t, case when t < 30 then (t + 1) / 30e0 else 1e-1 + 45e-2 * (1 + cos(pi() * (t - 30) / 270e0)) end as cosine,
   case when t < 30 then (t + 1) / 30e0 when t < 240 then 1e0 else 1 - 9e-1 * (t - 240) / 60e0 end as wsd from t) select t, round(cosine, 9) as cosine, round(wsd, 9) as wsd, round(sqrt(t / 300e0), 9) as scaled from s"""),
     both("flops_mfu", """
 select n, l, 6 * n + 12 * l * 128 * 512 as flops, round((6 * n + 12 * l * 128 * 512) * 50000.0 / 21.5e12, 9) as mfu from (values (cast(21500000 as bigint), 12), (cast(85000000 as bigint), 22)) v(n, l)"""),

@@ -41,9 +41,51 @@ def bigram_loss(spark, sf):
     return R.bigram_loss(tokens, 5).select("seq", F.round("loss", 9).alias("loss"))
 
 
-_FRAMES = (router_stats, worst_losses, adam_by_hand, float_patterns, attempt_selection, bigram_loss)
+def expert_dispatch(spark, sf):
+    return R.dispatch(table(spark, sf, "events").select("event_id", "event_type"), "event_type", "event_id")
+
+
+def sqrt_rates(spark, sf):
+    sizes = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("batch"))
+    return sizes.select("event_type", "batch", F.round(R.scaled_rate(3e-4, F.col("batch"), 256.0), 9).alias("rate"))
+
+
+def layer_median(spark, sf):
+    """Upper median over layers of each step's mean to its largest value; a step has a handful of layers."""
+    e = table(spark, sf, "events")
+    ratios = e.groupBy(F.pmod("user_id", F.lit(40)).alias("step"), F.col("event_type").alias("layer")).agg((F.avg("value") / F.max("value")).alias("ratio"))
+    return ratios.groupBy("step").agg(F.round(R.upper_median(F.col("ratio")), 9).alias("median"), F.count("*").alias("layers"))
+
+
+def tokens_per_kchar(spark, sf):
+    """Words for each thousand characters, by language."""
+    words, chars = F.regexp_count("text", F.lit(r"[^ \t\n]+")), F.length("text")
+    d = table(spark, sf, "documents").groupBy("lang").agg(F.sum(words).alias("tokens"), F.sum(chars).alias("chars"))
+    return d.select("lang", F.col("tokens").cast("long").alias("tokens"), F.round(1000 * F.col("tokens") / F.col("chars"), 6).alias("per_kchar"))
+
+
+def value_percentiles(spark, sf):
+    e = table(spark, sf, "events")
+    return e.groupBy("event_type").agg(*(F.round(F.percentile("value", q), 6).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9)))
+
+
+def distinct_users(spark, sf):
+    """A sketch's count of users beside the exact one."""
+    near = F.abs(F.approx_count_distinct("user_id", 0.02) - F.count_distinct("user_id")) <= 0.1 * F.count_distinct("user_id")
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), near.alias("sketch_is_near"))
+
+
+_FRAMES = (expert_dispatch, sqrt_rates, layer_median, tokens_per_kchar, value_percentiles, distinct_users, router_stats, worst_losses, adam_by_hand, float_patterns, attempt_selection, bigram_loss)
 QUERIES = {f.__name__: f for f in _FRAMES}
 ORACLES = {
+    "expert_dispatch": "select event_id, event_type, row_number() over (order by event_type, event_id) - 1 as position from events",
+    "sqrt_rates": "select event_type, count(*) as batch, round(3e-4 * sqrt(count(*) / 256e0), 9) as rate from events group by event_type",
+    "layer_median": """with r as (select user_id % 40 as step, event_type as layer, avg(value) / max(value) as ratio from events group by all),
+k as (select *, row_number() over (partition by step order by ratio) as k, count(*) over (partition by step) as n from r) select step, round(ratio, 9) as median, n as layers from k where k = n // 2 + 1""",
+    "tokens_per_kchar": r"""with d as (select lang, sum(len(regexp_extract_all(text, '[^ \t\n]+'))) as t, sum(length(text)) as c from documents group by lang)
+select lang, cast(t as bigint) as tokens, round(1000 * t / c, 6) as per_kchar from d""",
+    "value_percentiles": "select event_type, round(quantile_cont(value, 0.1), 6) as p10, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90 from events group by event_type",
+    "distinct_users": "select event_type, count(distinct user_id) as users, true as sketch_is_near from events group by event_type",
     "worst_losses": """with r as (select user_id % 40 as step, user_id as seq, event_id as pos, round(value, 0) as loss from events), k as (select *, row_number() over (partition by step order by loss desc, seq desc, pos desc) as rank from r) select * from k where rank <= 5""",
     "adam_by_hand": """with recursive g as (select * from (values (1, 0.5e0), (2, 0.4e0), (3, 0.6e0), (4, 0.45e0), (5, 0.55e0)) v(t, g)),
 s as (select 0 as t, 1e0 as w, 0e0 as m, 0e0 as v union all select g.t, s.w - 1e-3 * ((9e-1 * s.m + (1 - 9e-1) * g) / (1 - pow(9e-1, g.t))) / (sqrt((999e-3 * s.v + (1 - 999e-3) * g * g) / (1 - pow(999e-3, g.t))) + 1e-8), 9e-1 * s.m + (1 - 9e-1) * g, 999e-3 * s.v + (1 - 999e-3) * g * g from s join g on g.t = s.t + 1)

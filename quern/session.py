@@ -42,9 +42,12 @@ def prepare(spark: SparkSession, batch_rows: int = 1000) -> SparkSession:
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset (tests, one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset and one process does
+    everything (tests); a cluster without it is an error, as its executors don't see each other's folders."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quern-shared-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

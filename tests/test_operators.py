@@ -1,3 +1,4 @@
+import pytest
 """Operators on small cases whose answers are known, with tamper and repartition tests."""
 
 import hashlib
@@ -193,3 +194,33 @@ def test_vectors(spark):
     short, long = (V.code_cosine(V.byte_codes(tokens, "onehot", w), pair).first()["cosine"] for w in (16, 64))
     assert short > long
     assert V.linear_chain([[[1, 2], [0, 1]], [[2, 0], [0, 2]]]) == [[2, 4], [0, 2]]
+
+
+def test_first_rows_by_counts(spark):
+    from quern.operators.mixture import first_rows
+
+    rows = spark.range(5000).selectExpr("id", "cast(case when id % 3 = 0 then 7 else pmod(hash(id), 50) / 10 end as double) as score")
+    want = [r["id"] for r in rows.orderBy(F.desc("score"), "id").collect()]
+    for k in (0, 1, 40, 1500, 1700, 4999, 5000):
+        got = first_rows(rows, k, [("score", True), ("id", False)], small=10)
+        assert sorted(r["id"] for r in got.collect()) == sorted(want[:k])
+
+
+def test_dispatch_is_a_counting_sort(spark):
+    from quern.operators.training import dispatch
+
+    rows = spark.range(300).selectExpr("id", "cast(pmod(hash(id), 4) as int) as e")
+    got = sorted((r["position"], r["e"], r["id"]) for r in dispatch(rows, "e", "id", 16).collect())
+    assert [p for p, _, _ in got] == list(range(300)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from quern.session import workspace
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        workspace(type("S", (), {"sparkContext": Context()})())
