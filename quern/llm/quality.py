@@ -4,7 +4,8 @@ Each document is measured whole; rule failures are summed per host (`source`); h
 fitted to all hosts by the method of moments; a host whose shrunk rate passes a bound takes its documents with it.
 
 Defined cases: null text has no words and fails; a null host is a host of its own; empty tables give empty results;
-very long texts are measured whole; repeated rows are measured one by one; other columns pass through untouched.
+very long texts are measured whole; repeated rows are measured one by one; other columns pass through untouched, whatever
+their names. A document fails by itself if it fails the base rules or has more than MAX_SYMBOL_PERCENT symbols.
 """
 
 from __future__ import annotations
@@ -111,10 +112,13 @@ def failed(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_re
 def keep_sound(docs: DataFrame) -> DataFrame:
     """The rows that judge() keeps, with all their columns. Rejected hosts are written first, so that Spark knows their
     size and sends them to all tasks only when they are few; texts then stay where they were read."""
-    rates = host_rates(flag(measures(docs.withColumn("__row", F.lit(0)), ["__row"])))
-    rejected = materialise(rates.where(F.col("host_rate") > MAX_HOST_RATE).select(F.col("host_key").alias("__host")), "rejected-hosts")
-    sound = docs.mapInArrow(_sound, docs.schema).withColumn("__host", F.coalesce("source", F.lit("\u0000")))
-    return sound.join(rejected, "__host", "left_anti").select(*docs.columns)
+    key = "host"
+    while key in docs.columns:
+        key += "_"
+    rates = host_rates(flag(measures(docs, [])))
+    rejected = materialise(rates.where(F.col("host_rate") > MAX_HOST_RATE).select(F.col("host_key").alias(key)), "rejected-hosts")
+    sound = docs.mapInArrow(_sound, docs.schema).withColumn(key, F.coalesce("source", F.lit("\u0000")))
+    return sound.join(rejected, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

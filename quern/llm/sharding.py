@@ -1,11 +1,11 @@
 """Sharding over fixed virtual slots (operator 9), in DataFrame and SQL functions only.
 
-Records hash into a fixed number of slots; bytes are summed per slot; a versioned slot-to-shard map says where each
+Records hash (doc_id and text) into a fixed number of slots; bytes are summed per slot; a versioned slot-to-shard map says where each
 slot lives. Rebalancing edits the map: a slot stays at home while its shard has room, else it moves to the least
 loaded shard, larger slots first. The law that holds is `bytes`: shard sizes are near equal.
 
-Defined cases: null text counts no bytes; a null doc_id is a key like any other; repeated rows keep one slot each row
-and get different positions; an empty table gives an empty result and a map in which every slot is at home; columns
+Defined cases: null text counts no bytes; a null doc_id is a value like any other, and rows that share a doc_id spread
+by their texts; equal rows share a virtual slot and get different positions; very long texts are whole, one slot each at least; an empty table gives an empty result and a map in which every slot is at home; columns
 besides doc_id and text are not read, whatever their names. The maximum that a shard exceeds the mean by is one slot.
 """
 
@@ -28,7 +28,7 @@ def slotted(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
         F.col("doc_id"),
         (F.octet_length(text).cast("long") + OVERHEAD_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.xxhash64("doc_id", text), F.lit(n_slots)).cast("int").alias("virtual_slot"),
     )
 
 

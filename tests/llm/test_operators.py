@@ -618,6 +618,14 @@ def test_quality_cases(spark, sf_of, odd, none):
     assert op8_host_rules(spark, sf_of(documents=none)).count() == 0
 
 
+def test_quality_keeps_clashing_columns(spark):
+    from quern.llm.quality import keep_sound
+
+    good = " ".join(f"word{i}" for i in range(60))
+    made = spark.createDataFrame([(1, good, "h", "a", "b", "c", 2), (2, good, None, None, "e", "f", 3)], "doc_id long, text string, source string, host string, host_ string, __host string, n_words long")
+    assert sorted(map(tuple, keep_sound(made).collect())) == sorted(map(tuple, made.collect()))
+
+
 # -- 9 sharding ------------------------------------------------------------------------------------------------------
 
 
@@ -633,6 +641,11 @@ def test_sharding_law(spark, sf_of, odd, none):
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert set(size) == set(range(N_SHARDS)) and max(size.values()) - min(size.values()) <= 150
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    shared = many.withColumn("doc_id", F.when(F.col("doc_id") % 4 > 0, F.col("doc_id"))).withColumn("text", F.concat(F.hash(F.col("text"), F.rand(3)).cast("string"), "text"))
+    load = {}
+    for r in rows(op9_virtual_slots(spark, sf_of(documents=shared))):
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+    assert max(load.values()) < 1.05 * sum(load.values()) / N_SHARDS
     sizes = slot_bytes(slotted(many, 64), 64)
     one = rebalance(initial_map(spark, 4, 64), sizes, 4).cache()
     more = rebalance(one, sizes, 5)
