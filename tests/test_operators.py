@@ -1,4 +1,3 @@
-import pytest
 """Operators on small cases whose answers are known, with tamper and repartition tests."""
 
 import hashlib
@@ -6,6 +5,8 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quern.functions import hashing, scripts, text as T
