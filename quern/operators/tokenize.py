@@ -1,23 +1,29 @@
 """Subword tokenizers over word tables: training, encoding, fertility and round trips.
 
-Spark counts words (lang, word, freq); merge loops run on distinct words, whose number a vocabulary bounds, and encoding
-maps distinct pre-tokens once and joins counts back."""
+Spark counts words (lang, word, freq) and keeps them; merge loops see only a table of pairs, whose number the vocabulary
+bounds, and encoding maps distinct pre-tokens once and joins counts back."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from quern.functions import text as T
+from quern.session import discard, materialise, prepare
 
-Merges = list[tuple[str, str]]
+Pair = tuple[str, str]
+Merges = list[Pair]
+Triple = tuple[int, int, int]
+Changes = list[tuple[str, Pair | None, int]]
 
 
 def word_counts(docs: DataFrame, lang: str = "lang", pieces=T.metaspace_pieces, keep: int | None = None) -> DataFrame:
@@ -44,95 +50,314 @@ def alphabet(counts: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.filter(F.split("word", ""), lambda c: c != "")).alias("char")).distinct()
 
 
-class Trainer:
-    """Incremental merges: pair counts change only for words that hold the merged pair."""
-
-    def __init__(self, rows: list[tuple[str, str, int]]):
-        self.words = [list(w) for _, w, _ in rows]
-        self.langs = [lang for lang, _, _ in rows]
-        self.freq = [n for _, _, n in rows]
-        self.counts: dict[str, Counter] = defaultdict(Counter)
-        self.where: dict[tuple[str, str], set[int]] = defaultdict(set)
+class PairTable:
+    """Weighted counts of adjacent tokens, tokens and words, by language: all that the choice of a merge needs. Its size is
+    bounded by the vocabulary's pairs, not by the words."""
+
+    def __init__(self):
+        self.counts: dict[str | None, Counter] = defaultdict(Counter)  # None: all languages together
         self.tokens: Counter = Counter()
         self.total: Counter = Counter()
-        for i, w in enumerate(self.words):
-            self.tokens[self.langs[i]] += len(w) * self.freq[i]
-            self.total[self.langs[i]] += self.freq[i]
-            self._change(i, 1)
-
-    def _change(self, i: int, sign: int) -> None:
-        w, n, c = self.words[i], self.freq[i] * sign, self.counts[self.langs[i]]
-        for p in zip(w, w[1:]):
-            c[p] += n
-            if sign > 0:
-                self.where[p].add(i)
-
-    def best(self, langs: list[str] | None = None) -> tuple[int, tuple[str, str]] | None:
-        """The most frequent pair of the given languages together; ties to the smaller pair."""
-        total: Counter = Counter()
-        for lang in langs or list(self.counts):
-            total.update(self.counts[lang])
-        found = [(-n, p) for p, n in total.items() if n > 0]
-        return (lambda x: (-x[0], x[1]))(min(found)) if found else None
-
-    def merge(self, pair: tuple[str, str]) -> None:
-        a, b = pair
-        for i in sorted(self.where.pop(pair, ())):
-            w = self.words[i]
-            self._change(i, -1)
-            out, k = [], 0
-            while k < len(w):
-                if k + 1 < len(w) and w[k] == a and w[k + 1] == b:
-                    out.append(a + b)
-                    k += 2
-                else:
-                    out.append(w[k])
-                    k += 1
-            self.tokens[self.langs[i]] -= (len(w) - len(out)) * self.freq[i]
-            self.words[i] = out
-            self._change(i, 1)
+
+    def copy(self) -> PairTable:
+        out = PairTable()
+        out.counts = defaultdict(Counter, {lang: Counter(c) for lang, c in self.counts.items()})
+        out.tokens, out.total = Counter(self.tokens), Counter(self.total)
+        return out
+
+    def add(self, changes: Changes, scale: dict[str, float] | None = None) -> None:
+        for lang, pair, n in changes:
+            n = n * scale[lang] if scale else n
+            if pair is None:
+                self.tokens[lang] += n
+                continue
+            for c in (self.counts[lang], self.counts[None]):
+                c[pair] += n
+                if c[pair] == 0:
+                    del c[pair]
+
+    def best(self, lang: str | None = None) -> tuple[int, Pair] | None:
+        """The most frequent pair of a language, or of all together; ties to the smaller pair."""
+        c = self.counts[lang]
+        top = max(c.values(), default=0)
+        return (top, min(p for p, n in c.items() if n == top)) if top > 0 else None
 
     def fertility(self) -> dict[str, float]:
         return {lang: self.tokens[lang] / max(self.total[lang], 1) for lang in sorted(self.total)}
 
 
-def _rows(counts: DataFrame, weights: dict[str, int] | None = None) -> list[tuple[str, str, int]]:
-    got = counts.orderBy("lang", "word").collect()
-    return [(r["lang"], r["word"], r["freq"] * (weights or {}).get(r["lang"], 1)) for r in got]
+def _symbols(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of many words in one array, -1 after each word, and the word that each place belongs to."""
+    lengths = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    sym = np.full(len(flat) + len(lists), -1, np.int32)
+    sym[np.arange(len(flat)) + np.repeat(np.arange(len(lists)), lengths)] = flat
+    return sym, np.repeat(np.arange(len(lists)), lengths + 1)
+
+
+def _merge(sym: np.ndarray, word: np.ndarray, a: int, b: int, c: int):
+    """Replace a b by c from left to right: the new arrays, the words merged in (once per place), and the changed pairs as
+    places of the old and of the new array."""
+    p = np.flatnonzero(sym[1:] == b)
+    p = p[sym[p] == a]
+    if a == b and len(p) > 1:  # within a run of one symbol every other place
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(p) != 1]))
+        p = p[(np.arange(len(p)) - np.repeat(starts, np.diff(np.append(starts, len(p))))) % 2 == 0]
+    if not len(p):
+        return sym, word, p, p, p
+    out, keep = sym.copy(), np.ones(len(sym), bool)
+    out[p], keep[p + 1] = c, False
+    q = p - np.arange(len(p))
+    old, new = np.unique(np.concatenate([p - 1, p, p + 1])), np.unique(np.concatenate([q - 1, q]))
+    return out[keep], word[keep], word[p], old[old >= 0], new[new >= 0]
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
+    n = np.add.reduceat(n, first)
+    return keys[first][n != 0], n[n != 0]
+
+
+def _keys(sym, word, at, lang, freq):
+    """Pairs at the given places as one integer each, with their weights; pairs across words are left out."""
+    at = at[at < len(sym) - 1]
+    at = at[(sym[at] >= 0) & (sym[at + 1] >= 0)]
+    w = word[at]
+    return lang[w] << 42 | sym[at].astype(np.int64) << 21 | sym[at + 1], freq[w]
+
+
+def _trace(sym, word, lang, freq, merges: list[Triple], pairs: bool = True):
+    """Apply merges one by one; yields the arrays and, as keys and sums, the changed pair counts and (key: language) tokens."""
+    for a, b, c in merges:
+        out, places, hit, old, new = _merge(sym, word, a, b, c)
+        k, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if pairs and len(hit):
+            (k0, n0), (k1, n1) = _keys(sym, word, old, lang, freq), _keys(out, places, new, lang, freq)
+            k, n = _summed(np.concatenate([k0, k1]), np.concatenate([-n0, n1]))
+        sym, word = out, places
+        yield sym, word, k, n, *_summed(lang[hit], -freq[hit])
+
+
+def _blocks(batches, size: int = 400_000):
+    """Arrow batches joined until they hold so many symbols."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b.column("syms").flatten())
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _spell(batches):
+    """Words as arrays of code points."""
+    for b in batches:
+        syms = pa.array([[ord(x) for x in w] for w in b.column("word").to_pylist()], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column(n) for n in ("lang", "word", "freq")] + [syms], ["lang", "word", "freq", "syms"])
+
+
+def _advance(merges: list[Triple]):
+    def run(batches):
+        for b in _blocks(batches):
+            sym, word = _symbols(b.column("syms"))
+            for a, c, d in merges:
+                sym, word, *_ = _merge(sym, word, a, c, d)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(word[sym >= 0], minlength=len(b)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sym[sym >= 0]))
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in ("lang", "word", "freq")] + [lists], ["lang", "word", "freq", "syms"])
+
+    return run
+
+
+def _measure(langs: list[str], done: list[Triple], merges: list[Triple], pairs: bool, first: bool):
+    """step, lang (as a place in langs), pair (left and right as one integer, or -1 for tokens, -2 for words), n."""
+    code = {x: i for i, x in enumerate(langs)}
+
+    def run(batches):
+        for b in _blocks(batches):
+            lang = np.array([code[x] for x in b.column("lang").to_pylist()], np.int64)
+            freq = b.column("freq").to_numpy()
+            sym, word = _symbols(b.column("syms"))
+            for x in done:
+                sym, word, *_ = _merge(sym, word, *x)
+            rows = []
+            if first:
+                real = word[sym >= 0]
+                rows += [(-1, *_summed(*_keys(sym, word, np.arange(len(sym)), lang, freq)), 0), (-1, *_summed(lang[real], freq[real]), -1), (-1, *_summed(lang, freq), -2)]
+            for i, (_, _, k, n, tk, tn) in enumerate(_trace(sym, word, lang, freq, merges, pairs)):
+                rows += [(i, k, n, 0), (i, tk, tn, -1)]
+            for step, k, n, kind in rows:
+                if len(k):
+                    which, pair = (k, np.full(len(k), kind)) if kind else (k >> 42, k & ((1 << 42) - 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), step, np.int32)), pa.array(which.astype(np.int32)), pa.array(pair.astype(np.int64)), pa.array(n)], ["step", "lang", "pair", "n"])
+
+    return run
+
+
+class Trainer:
+    """Merges over words that stay on the executors, exactly as if they were made one at a time.
+
+    The driver holds the pair table, a sample of the most frequent words (SAMPLE of them) and the merges. The sample foretells
+    the next merges; one pass over all words measures what each of them changes, and the driver makes them as long as each is
+    the choice that the exact table gives. At the first that is not, the rest is foretold anew, from exact counts. So the
+    sample decides how many passes there are, never which merges are made. Word states are written out every REWRITE merges."""
+
+    SAMPLE, REWRITE, AHEAD = 20_000, 64, 64
+
+    def __init__(self, counts: DataFrame, weights: dict[str, int] | None = None):
+        prepare(counts.sparkSession, 10_000)
+        weight = F.lit(1)
+        for lang, n in (weights or {}).items():
+            weight = F.when(F.col("lang") == lang, n).otherwise(weight)
+        words = counts.where("lang is not null and word is not null").select("lang", "word", (F.col("freq") * weight).cast("long").alias("freq"))
+        self.schema = "lang string, word string, freq long, syms array<int>"
+        self.words = materialise(words.mapInArrow(_spell, self.schema), "words")
+        self.langs = sorted(r["lang"] for r in self.words.select("lang").distinct().collect())
+        self.ids: dict[str, int] = {}
+        self.pending: list[Triple] = []  # made since the words were written
+        self.ahead: deque[tuple[Pair, Changes]] = deque()
+        self.limit = self.AHEAD
+        self.table = PairTable()
+        start = self._pass([], first=True)[-1]
+        self.table.add([x for x in start if x[1] != ()])
+        for lang, pair, n in start:
+            if pair == ():
+                self.table.total[lang] += n
+        self._sample()
+
+    def _sample(self) -> None:
+        top = self.words.where(F.size("syms") <= 64).orderBy(F.desc("freq"), "lang", "word").limit(self.SAMPLE).collect()
+        code = {x: i for i, x in enumerate(self.langs)}
+        self.lang = np.array([code[r["lang"]] for r in top], np.int64)
+        self.freq = np.array([r["freq"] for r in top], np.int64)
+        self.sym, self.word = _symbols(pa.array([r["syms"] for r in top], pa.list_(pa.int32())))
+        seen = Counter()
+        for r in top:
+            seen[r["lang"]] += r["freq"]
+        self.scale = {x: self.table.total[x] / max(seen[x], 1) for x in self.langs}
+
+    def _id(self, token: str) -> int:
+        """A character's code point, else a number given when the token was first made."""
+        return ord(token) if len(token) == 1 else self.ids.setdefault(token, 0x110000 + len(self.ids))
+
+    def _triple(self, pair: Pair) -> Triple:
+        return self._id(pair[0]), self._id(pair[1]), self._id(pair[0] + pair[1])
+
+    def _named(self, keys, sums) -> Changes:
+        names = {i: t for t, i in self.ids.items()}
+        name = lambda i: names[i] if i >= 0x110000 else chr(i)
+        return [(self.langs[k >> 42], (name(k >> 21 & 0x1FFFFF), name(k & 0x1FFFFF)), n) for k, n in zip(keys.tolist(), sums.tolist())]
+
+    def _pass(self, merges: list[Pair], pairs: bool = True, first: bool = False) -> dict[int, Changes]:
+        """One pass over all words: what each merge changes, summed before anything reaches the driver."""
+        triples = [self._triple(p) for p in merges]
+        if len(self.pending) >= self.REWRITE:
+            old, self.words = self.words, materialise(self.words.mapInArrow(_advance(self.pending), self.schema), "words")
+            discard(old)
+            self.pending = []
+        found = self.words.mapInArrow(_measure(self.langs, list(self.pending), triples, pairs, first), "step int, lang int, pair long, n long")
+        out: dict[int, Changes] = defaultdict(list)
+        for r in found.groupBy("step", "lang", "pair").agg(F.sum("n").alias("n")).where("n <> 0").collect():
+            if r["pair"] < 0:
+                out[r["step"]].append((self.langs[r["lang"]], None if r["pair"] == -1 else (), r["n"]))
+            else:
+                out[r["step"]] += self._named(np.array([r["lang"] << 42 | r["pair"]]), np.array([r["n"]]))
+        return out
+
+    def _foretell(self, choose, done: int, most: int) -> list[Pair]:
+        guess, sym, word, out = self.table.copy(), self.sym, self.word, []
+        while len(out) < most and (pair := choose(guess, done + len(out))):
+            sym, word, k, n, tk, tn = next(_trace(sym, word, self.lang, self.freq, [self._triple(pair)]))
+            changes = [x for x in self._named(k, n) if x[1] != pair] + [(self.langs[i], None, x) for i, x in zip(tk.tolist(), tn.tolist())]
+            guess.add(changes, self.scale)
+            for c in guess.counts.values():
+                c.pop(pair, None)
+            out.append(pair)
+        return out
+
+    def _made(self, pair: Pair, changes: Changes) -> None:
+        self.table.add(changes)
+        t = self._triple(pair)
+        self.sym, self.word, *_ = _merge(self.sym, self.word, *t)
+        self.pending.append(t)
+
+    def run(self, n: int, choose) -> Merges:
+        """At most n merges; choose(table, number made) gives the next pair or None."""
+        merges: Merges = []
+        while len(merges) < n and (pair := choose(self.table, len(merges))):
+            if not self.ahead or self.ahead[0][0] != pair:
+                if merges:
+                    self.limit = min(max(2 * self.since, 8), 4 * self.AHEAD)
+                plan = self._foretell(choose, len(merges), min(self.limit, n - len(merges)))
+                found = self._pass(plan)
+                self.ahead, self.since = deque((p, found.get(i, [])) for i, p in enumerate(plan)), 0
+            self._made(*self.ahead.popleft())
+            self.since += 1
+            merges.append(pair)
+        self.ahead.clear()
+        return merges
+
+    def apply(self, merges: Merges) -> None:
+        """Make given merges; pair counts are not kept after this, tokens are."""
+        for i in range(0, len(merges), 256):
+            part = merges[i : i + 256]
+            found = self._pass(part, pairs=False)
+            for j, p in enumerate(part):
+                self._made(p, found.get(j, []))
+
+    def open_words(self, lang: str, most: int) -> list[list[str]]:
+        """The most frequent words of a language that are still several tokens, as their tokens."""
+        names = {i: t for t, i in self.ids.items()}
+        now = self.words.where(F.col("lang") == lang).mapInArrow(_advance(list(self.pending)), self.schema)
+        top = now.where(F.size("syms") > 1).orderBy(F.desc("freq"), "word").limit(most).collect()
+        return [[names[i] if i >= 0x110000 else chr(i) for i in r["syms"]] for r in top]
+
+    def close(self) -> None:
+        discard(self.words)
+
+
+def _most_frequent(least: int):
+    def choose(table: PairTable, _: int) -> Pair | None:
+        top = table.best()
+        return top[1] if top and top[0] >= least else None
+
+    return choose
 
 
 def train_bpe(counts: DataFrame, n_merges: int, weights: dict[str, int] | None = None, least: int = 2) -> Merges:
     """Joint merges over all languages, a language's counts times its weight."""
-    t, merges = Trainer(_rows(counts, weights)), []
-    while len(merges) < n_merges:
-        top = t.best()
-        if not top or top[0] < least:
-            break
-        merges.append(top[1])
-        t.merge(top[1])
+    t = Trainer(counts, weights)
+    merges = t.run(n_merges, _most_frequent(least))
+    t.close()
     return merges
 
 
 def train_parity(counts: DataFrame, n_merges: int, cap: tuple[str, int] | None = None) -> Merges:
     """Each merge is the top pair of the language with the worst fertility and applies to all; cap gives one language its
     first merges."""
-    t, merges = Trainer(_rows(counts)), []
-    while len(merges) < n_merges:
-        if cap and len(merges) < cap[1]:
+
+    def choose(table: PairTable, done: int) -> Pair | None:
+        if cap and done < cap[1]:
             order = [cap[0]]
         else:
-            order = [lang for _, lang in sorted((-f, lang) for lang, f in t.fertility().items())]
-        top = next((b for lang in order if (b := t.best([lang])) and b[0] >= 2), None)
-        if not top:
-            break
-        merges.append(top[1])
-        t.merge(top[1])
+            order = [lang for _, lang in sorted((-f, lang) for lang, f in table.fertility().items())]
+        return next((b[1] for lang in order if (b := table.best(lang)) and b[0] >= 2), None)
+
+    t = Trainer(counts)
+    merges = t.run(n_merges, choose)
+    t.close()
     return merges
 
 
 def train_disjoint(counts: DataFrame, budgets: dict[str, int]) -> Merges:
     """Merges trained apart for each language, united in order; the first place of a merge holds."""
-    seen: dict[tuple[str, str], None] = {}
+    seen: dict[Pair, None] = {}
     for lang, n in sorted(budgets.items()):
         for m in train_bpe(counts.where(F.col("lang") == lang), n):
             seen.setdefault(m)
@@ -141,50 +366,55 @@ def train_disjoint(counts: DataFrame, budgets: dict[str, int]) -> Merges:
 
 def water_fill(counts: DataFrame, budget: int, chunk: int = 150) -> dict[str, int]:
     """Vocabulary shares: each chunk goes to the language whose tokens it lowers most per word."""
-    trainers = {r["lang"]: Trainer(_rows(counts.where(F.col("lang") == r["lang"]))) for r in counts.select("lang").distinct().orderBy("lang").collect()}
+    langs = sorted(r["lang"] for r in counts.where("lang is not null").select("lang").distinct().collect())
+    trainers = {lang: Trainer(counts.where(F.col("lang") == lang)) for lang in langs}
     given = dict.fromkeys(trainers, 0)
 
     def gain(lang: str) -> float:
-        top = trainers[lang].best()
-        return top[0] / max(trainers[lang].total[lang], 1) if top else 0.0
+        table = trainers[lang].table
+        top = table.best()
+        return top[0] / max(table.total[lang], 1) if top else 0.0
 
-    while budget > 0:
+    while budget > 0 and trainers:
         lang = max(sorted(trainers), key=gain)
         if gain(lang) <= 0:
             break
         n = min(chunk, budget)
-        for _ in range(n):
-            top = trainers[lang].best()
-            if not top:
-                break
-            trainers[lang].merge(top[1])
+        trainers[lang].run(n, _most_frequent(1))
         given[lang] += n
         budget -= n
+    for t in trainers.values():
+        t.close()
     return given
 
 
 def reclaim_words(counts: DataFrame, merges: Merges, rounds: int = 80, per_round: int = 120) -> Merges:
     """Round by round, the worst language's most frequent words that are still several tokens become one."""
-    t, out = Trainer(_rows(counts)), list(merges)
+    t, out = Trainer(counts), list(merges)
     known = set(merges)
-    for m in merges:
-        t.merge(m)
+    t.apply(merges)
     for _ in range(rounds):
-        worst = max(sorted(t.total), key=lambda x: t.fertility()[x])
-        open_ = sorted((-t.freq[i], "".join(w), i) for i, w in enumerate(t.words) if t.langs[i] == worst and len(w) > 1)[:per_round]
+        fertility = t.table.fertility()
+        worst = max(fertility, key=fertility.get, default=None)
+        open_ = t.open_words(worst, per_round) if worst is not None else []
         if not open_:
             break
-        for _, _, i in open_:
-            while len(t.words[i]) > 1:
-                pair = (t.words[i][0], t.words[i][1])
-                if pair not in known:
-                    known.add(pair)
-                    out.append(pair)
-                t.merge(pair)
+        made: Merges = []
+        for w in open_:
+            for p in made:
+                w[:] = split_word(w, {p: 0})
+            while len(w) > 1:
+                pair = (w[0], w[1])
+                made.append(pair)
+                w[:] = split_word(w, {pair: 0})
+        out += [p for p in dict.fromkeys(made) if p not in known]
+        known.update(made)
+        t.apply(made)
+    t.close()
     return out
 
 
-def split_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+def split_word(word: str | list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Lowest rank first, all its places from left to right."""
     w = list(word)
     while len(w) > 1:
@@ -261,10 +491,10 @@ def grid(counts: DataFrame, weights: list[dict[str, int]], n_merges: int) -> pd.
     """Joint merges for each weighting; spread and score, feasible and best first."""
     rows = []
     for i, w in enumerate(weights):
-        t = Trainer(_rows(counts, w))
-        for m in train_bpe(counts, n_merges, w):
-            t.merge(m)
-        f = t.fertility()
+        t = Trainer(counts, w)
+        t.run(n_merges, _most_frequent(2))
+        f = t.table.fertility()
+        t.close()
         spread = max(f.values()) - min(f.values()) if f else math.inf
         rows.append((i, spread, 1000 / spread if spread else math.inf))
     return pd.DataFrame(rows, columns=["cell", "spread", "score"]).sort_values(["spread", "cell"])

@@ -14,9 +14,9 @@ MERGES = 300
 
 
 def _counts(spark, sf):
-    """Every distinct word of each language: merge loops and fertility see the same words."""
+    """Every distinct word of each language, counted once: merge loops and fertility see the same words."""
     prepare(spark)
-    return K.word_counts(spread(table(spark, sf, "documents")))
+    return materialise(K.word_counts(spread(table(spark, sf, "documents"))), "word-counts")
 
 
 def _vocabulary(spark, sf):

@@ -184,6 +184,61 @@ def test_training_matches_a_recount(spark):
     assert math.isclose(f["fertility"], sum(len(K.split_word(w, {x: i for i, x in enumerate(merges)})) * n for w, n in words.items()) / sum(words.values()))
 
 
+class PlainTrainer:
+    """Merges made one at a time on words in memory, by recounting."""
+
+    def __init__(self, rows):
+        self.rows = [[lang, list(w), n] for lang, w, n in rows]
+
+    def best(self, langs):
+        pairs = Counter()
+        for lang, w, n in self.rows:
+            if lang in langs:
+                for p in zip(w, w[1:]):
+                    pairs[p] += n
+        return min(((-n, p) for p, n in pairs.items()), default=None)
+
+    def merge(self, pair):
+        for row in self.rows:
+            row[1] = K.split_word(row[1], {pair: 0})
+
+    def fertility(self):
+        tokens, words = Counter(), Counter()
+        for lang, w, n in self.rows:
+            tokens[lang] += n * len(w)
+            words[lang] += n
+        return {lang: tokens[lang] / words[lang] for lang in sorted(words)}
+
+
+@pytest.mark.parametrize("sample", [0, 10])
+def test_training_on_executors_makes_the_same_merges(spark, monkeypatch, sample):
+    """Whatever the sample foretells, also nothing, and with words written anew between merges."""
+    monkeypatch.setattr(K.Trainer, "SAMPLE", sample)
+    monkeypatch.setattr(K.Trainer, "REWRITE", 4)
+    r = random.Random(3)
+    rows = {(lang, "".join(r.choice(letters) for _ in range(r.randint(1, 7)))): r.randint(1, 9) for lang, letters in (("en", "aab"), ("hi", "हिन्दी😀")) for _ in range(60)}
+    rows = [(lang, w, n) for (lang, w), n in rows.items()] + [("en", "aaaaaaaaa", 40), ("en", "", 3)]
+    counts = spark.createDataFrame(rows, "lang string, word string, freq long")
+    t, want = PlainTrainer(rows), []
+    for _ in range(12):
+        want.append(t.best({"en", "hi"})[1])
+        t.merge(want[-1])
+    assert K.train_bpe(counts, 12) == want
+    t, want = PlainTrainer(rows), []
+    for i in range(8):
+        f = t.fertility()
+        lang = "hi" if i < 3 else max(f, key=f.get)
+        want.append(t.best({lang})[1])
+        t.merge(want[-1])
+    assert K.train_parity(counts, 8, ("hi", 3)) == want
+
+
+def test_training_on_no_words(spark):
+    counts = spark.createDataFrame([(None, "abab", 5), ("en", None, 5)], "lang string, word string, freq long")
+    assert K.train_bpe(counts, 5) == K.train_parity(counts, 5) == K.reclaim_words(counts, [("a", "b")], 2, 2)[1:] == []
+    assert K.water_fill(counts, 50) == {"en": 0}
+
+
 def test_vectors(spark):
     p = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)]) for i in range(40)], "id long, v array<double>")
     rows = {r["id"]: r["v"] for r in p.collect()}
