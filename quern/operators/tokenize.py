@@ -86,13 +86,44 @@ class PairTable:
         return {lang: self.tokens[lang] / max(self.total[lang], 1) for lang in sorted(self.total)}
 
 
-def _symbols(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """All symbols of many words in one array, -1 after each word, and the word that each place belongs to."""
-    lengths = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    sym = np.full(len(flat) + len(lists), -1, np.int32)
-    sym[np.arange(len(flat)) + np.repeat(np.arange(len(lists)), lengths)] = flat
-    return sym, np.repeat(np.arange(len(lists)), lengths + 1)
+def _pack(langs: list[str], size: int = 400_000):
+    """lang, word, freq as blocks of so many symbols: code points with -1 after each word, and a language and a weight a word."""
+    code = {x: i for i, x in enumerate(langs)}
+
+    def block(words, lang, freq):
+        flat = np.frombuffer("\n".join(words).encode("utf-32-le"), np.int32).copy() if words else np.zeros(0, np.int32)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        sym = np.append(flat, -1).astype(np.int32)
+        sym[ends] = -1
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sym, np.array(lang, np.int32), np.array(freq, np.int64))], ["sym", "lang", "freq"])
+
+    def run(batches):
+        words, lang, freq, n = [], [], [], 0
+        for b in batches:
+            new = b.column("word").to_pylist()
+            words += new
+            lang += [code[x] for x in b.column("lang").to_pylist()]
+            freq += b.column("freq").to_pylist()
+            n += sum(map(len, new))
+            if n >= size:
+                yield block(words, lang, freq)
+                words, lang, freq, n = [], [], [], 0
+        if words:
+            yield block(words, lang, freq)
+
+    return run
+
+
+def _blocks(batches):
+    """sym, the word that each place belongs to, and lang and freq of each word."""
+    for b in batches:
+        for sym, lang, freq in zip(*(b.column(n).to_pylist() for n in ("sym", "lang", "freq"))):
+            sym = np.frombuffer(sym, np.int32)
+            yield sym, _owners(sym), np.frombuffer(lang, np.int32).astype(np.int64), np.frombuffer(freq, np.int64)
+
+
+def _owners(sym: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sym == -1)[:-1]]).astype(np.int32)
 
 
 def _merge(sym: np.ndarray, word: np.ndarray, a: int, b: int, c: int):
@@ -142,48 +173,39 @@ def _trace(sym, word, lang, freq, merges: list[Triple], pairs: bool = True):
         yield sym, word, k, n, *_summed(lang[hit], -freq[hit])
 
 
-def _blocks(batches, size: int = 400_000):
-    """Arrow batches joined until they hold so many symbols."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += len(b.column("syms").flatten())
-        if n >= size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+def _advance(merges: list[Triple]):
+    def run(batches):
+        for sym, word, lang, freq in _blocks(batches):
+            for x in merges:
+                sym, word, *_ = _merge(sym, word, *x)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sym, lang.astype(np.int32), freq)], ["sym", "lang", "freq"])
 
+    return run
 
-def _spell(batches):
-    """Words as arrays of code points."""
-    for b in batches:
-        syms = pa.array([[ord(x) for x in w] for w in b.column("word").to_pylist()], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([b.column(n) for n in ("lang", "word", "freq")] + [syms], ["lang", "word", "freq", "syms"])
 
+def _open(merges: list[Triple], names: dict[int, str], which: int, most: int):
+    """The most frequent words of a language in each block that are still several tokens."""
 
-def _advance(merges: list[Triple]):
     def run(batches):
-        for b in _blocks(batches):
-            sym, word = _symbols(b.column("syms"))
-            for a, c, d in merges:
-                sym, word, *_ = _merge(sym, word, a, c, d)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(word[sym >= 0], minlength=len(b)))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sym[sym >= 0]))
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in ("lang", "word", "freq")] + [lists], ["lang", "word", "freq", "syms"])
+        for sym, word, lang, freq in _blocks(batches):
+            for x in merges:
+                sym, word, *_ = _merge(sym, word, *x)
+            ends = np.flatnonzero(sym == -1)
+            starts = np.append(0, ends[:-1] + 1)
+            at = np.flatnonzero((lang == which) & (ends - starts > 1))
+            if len(at) > most:  # all that tie with the last
+                at = at[freq[at] >= np.partition(freq[at], len(at) - most)[len(at) - most]]
+            tokens = [[names[i] if i >= 0x110000 else chr(i) for i in sym[starts[w] : ends[w]].tolist()] for w in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(freq[at]), pa.array(["".join(t) for t in tokens], pa.string()), pa.array(tokens, pa.list_(pa.string()))], ["freq", "word", "tokens"])
 
     return run
 
 
-def _measure(langs: list[str], done: list[Triple], merges: list[Triple], pairs: bool, first: bool):
-    """step, lang (as a place in langs), pair (left and right as one integer, or -1 for tokens, -2 for words), n."""
-    code = {x: i for i, x in enumerate(langs)}
+def _measure(done: list[Triple], merges: list[Triple], pairs: bool, first: bool):
+    """step, lang (its number), pair (left and right as one integer, or -1 for tokens, -2 for words), n."""
 
     def run(batches):
-        for b in _blocks(batches):
-            lang = np.array([code[x] for x in b.column("lang").to_pylist()], np.int64)
-            freq = b.column("freq").to_numpy()
-            sym, word = _symbols(b.column("syms"))
+        for sym, word, lang, freq in _blocks(batches):
             for x in done:
                 sym, word, *_ = _merge(sym, word, *x)
             rows = []
@@ -192,10 +214,12 @@ def _measure(langs: list[str], done: list[Triple], merges: list[Triple], pairs:
                 rows += [(-1, *_summed(*_keys(sym, word, np.arange(len(sym)), lang, freq)), 0), (-1, *_summed(lang[real], freq[real]), -1), (-1, *_summed(lang, freq), -2)]
             for i, (_, _, k, n, tk, tn) in enumerate(_trace(sym, word, lang, freq, merges, pairs)):
                 rows += [(i, k, n, 0), (i, tk, tn, -1)]
-            for step, k, n, kind in rows:
-                if len(k):
-                    which, pair = (k, np.full(len(k), kind)) if kind else (k >> 42, k & ((1 << 42) - 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), step, np.int32)), pa.array(which.astype(np.int32)), pa.array(pair.astype(np.int64)), pa.array(n)], ["step", "lang", "pair", "n"])
+            if rows:
+                which = np.concatenate([k if kind else k >> 42 for _, k, _, kind in rows])
+                pair = np.concatenate([np.full(len(k), kind) if kind else k & ((1 << 42) - 1) for _, k, _, kind in rows])
+                step = np.repeat(np.array([x[0] for x in rows], np.int32), [len(x[1]) for x in rows])
+                n = np.concatenate([x[2] for x in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(which.astype(np.int32)), pa.array(pair.astype(np.int64)), pa.array(n)], ["step", "lang", "pair", "n"])
 
     return run
 
@@ -216,9 +240,9 @@ class Trainer:
         for lang, n in (weights or {}).items():
             weight = F.when(F.col("lang") == lang, n).otherwise(weight)
         words = counts.where("lang is not null and word is not null").select("lang", "word", (F.col("freq") * weight).cast("long").alias("freq"))
-        self.schema = "lang string, word string, freq long, syms array<int>"
-        self.words = materialise(words.mapInArrow(_spell, self.schema), "words")
-        self.langs = sorted(r["lang"] for r in self.words.select("lang").distinct().collect())
+        self.langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+        self.schema = "sym binary, lang binary, freq binary"
+        self.words = materialise(words.mapInArrow(_pack(self.langs), self.schema), "words")
         self.ids: dict[str, int] = {}
         self.pending: list[Triple] = []  # made since the words were written
         self.ahead: deque[tuple[Pair, Changes]] = deque()
@@ -229,14 +253,15 @@ class Trainer:
         for lang, pair, n in start:
             if pair == ():
                 self.table.total[lang] += n
-        self._sample()
+        self._sample(words)
 
-    def _sample(self) -> None:
-        top = self.words.where(F.size("syms") <= 64).orderBy(F.desc("freq"), "lang", "word").limit(self.SAMPLE).collect()
+    def _sample(self, words: DataFrame) -> None:
+        top = words.where(F.length("word") <= 64).orderBy(F.desc("freq"), "lang", "word").limit(self.SAMPLE).collect()
         code = {x: i for i, x in enumerate(self.langs)}
         self.lang = np.array([code[r["lang"]] for r in top], np.int64)
         self.freq = np.array([r["freq"] for r in top], np.int64)
-        self.sym, self.word = _symbols(pa.array([r["syms"] for r in top], pa.list_(pa.int32())))
+        self.sym = np.array([x for r in top for x in [*map(ord, r["word"]), -1]], np.int32)
+        self.word = _owners(self.sym) if top else self.sym
         seen = Counter()
         for r in top:
             seen[r["lang"]] += r["freq"]
@@ -261,7 +286,7 @@ class Trainer:
             old, self.words = self.words, materialise(self.words.mapInArrow(_advance(self.pending), self.schema), "words")
             discard(old)
             self.pending = []
-        found = self.words.mapInArrow(_measure(self.langs, list(self.pending), triples, pairs, first), "step int, lang int, pair long, n long")
+        found = self.words.mapInArrow(_measure(list(self.pending), triples, pairs, first), "step int, lang int, pair long, n long")
         out: dict[int, Changes] = defaultdict(list)
         for r in found.groupBy("step", "lang", "pair").agg(F.sum("n").alias("n")).where("n <> 0").collect():
             if r["pair"] < 0:
@@ -314,9 +339,8 @@ class Trainer:
     def open_words(self, lang: str, most: int) -> list[list[str]]:
         """The most frequent words of a language that are still several tokens, as their tokens."""
         names = {i: t for t, i in self.ids.items()}
-        now = self.words.where(F.col("lang") == lang).mapInArrow(_advance(list(self.pending)), self.schema)
-        top = now.where(F.size("syms") > 1).orderBy(F.desc("freq"), "word").limit(most).collect()
-        return [[names[i] if i >= 0x110000 else chr(i) for i in r["syms"]] for r in top]
+        found = self.words.mapInArrow(_open(list(self.pending), names, self.langs.index(lang), most), "freq long, word string, tokens array<string>")
+        return [r["tokens"] for r in found.orderBy(F.desc("freq"), "word").limit(most).collect()]
 
     def close(self) -> None:
         discard(self.words)
@@ -449,9 +473,35 @@ def train_bytes(counts: DataFrame, n_merges: int) -> Merges:
 
 
 def fertility(counts: DataFrame, merges: Merges) -> DataFrame:
-    """lang, tokens, words, fertility from distinct words."""
-    enc = counts.withColumn("n", F.size(encoder(merges)("word")))
-    return enc.groupBy("lang").agg(F.sum(F.col("n") * F.col("freq")).alias("tokens"), F.sum("freq").alias("words")).withColumn("fertility", F.col("tokens") / F.col("words"))
+    """lang, tokens, words, fertility from distinct words. Where each merge joins characters or tokens of earlier merges and no
+    two make the same token, making the merges in order is the same as lowest rank first (a pair can't come back after its
+    turn), and whole blocks of words are merged at once."""
+    place = {a + b: i for i, (a, b) in enumerate(merges)}
+    if len(place) < len(merges) or any(len(t) > 1 and place.get(t, i) >= i for i, pair in enumerate(merges) for t in pair):
+        enc = counts.withColumn("n", F.size(encoder(merges)("word")))
+        sums = enc.groupBy("lang").agg(F.sum(F.col("n") * F.col("freq")).alias("tokens"), F.sum("freq").alias("words"))
+    else:
+        sums = counts.mapInArrow(_token_sums(merges), "lang string, tokens long, words long").groupBy("lang").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
+    return sums.withColumn("fertility", F.col("tokens") / F.col("words"))
+
+
+def _token_sums(merges: Merges):
+    made = {a + b: 0x110000 + i for i, (a, b) in enumerate(merges)}
+    triples = [tuple(made[t] if len(t) > 1 else ord(t) for t in (a, b, a + b)) for a, b in merges]
+
+    def run(batches):
+        for b in batches:
+            langs = sorted(set(b.column("lang").to_pylist()), key=lambda x: (x is not None, x))
+            words = pa.RecordBatch.from_arrays([b.column("lang"), b.column("word").fill_null(""), b.column("freq")], ["lang", "word", "freq"])
+            for sym, word, lang, freq in _blocks(_pack(langs)([words])):
+                total, tokens = np.zeros(len(langs), np.int64), np.zeros(len(langs), np.int64)
+                for x in triples:
+                    sym, word, *_ = _merge(sym, word, *x)
+                np.add.at(total, lang, freq)
+                np.add.at(tokens, lang[word[sym >= 0]], freq[word[sym >= 0]])
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(tokens), pa.array(total)], ["lang", "tokens", "words"])
+
+    return run
 
 
 def parity(f: DataFrame, reference: str = "en") -> DataFrame:

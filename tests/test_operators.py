@@ -233,6 +233,14 @@ def test_training_on_executors_makes_the_same_merges(spark, monkeypatch, sample)
     assert K.train_parity(counts, 8, ("hi", 3)) == want
 
 
+@pytest.mark.parametrize("merges", [[("a", "b"), ("ab", "c"), ("c", "c")], [("ab", "c"), ("b", "c"), ("a", "b"), ("a", "bc")]])
+def test_fertility_of_any_merges(spark, merges):
+    words = ["abcabc", "aabcc", "ccccc", "", "xyz", "b\nabc"]
+    counts = spark.createDataFrame([("en", w, i + 1) for i, w in enumerate(words)], "lang string, word string, freq long")
+    ranks = {p: i for i, p in enumerate(merges)}
+    assert K.fertility(counts, merges).first()["tokens"] == sum((i + 1) * len(K.split_word(w, ranks)) for i, w in enumerate(words))
+
+
 def test_training_on_no_words(spark):
     counts = spark.createDataFrame([(None, "abab", 5), ("en", None, 5)], "lang string, word string, freq long")
     assert K.train_bpe(counts, 5) == K.train_parity(counts, 5) == K.reclaim_words(counts, [("a", "b")], 2, 2)[1:] == []
