@@ -115,32 +115,48 @@ def _pack(langs: list[str], size: int = 400_000):
 
 
 def _blocks(batches):
-    """sym, the word that each place belongs to, and lang and freq of each word."""
+    """sym, and lang and freq of each word."""
     for b in batches:
         for sym, lang, freq in zip(*(b.column(n).to_pylist() for n in ("sym", "lang", "freq"))):
-            sym = np.frombuffer(sym, np.int32)
-            yield sym, _owners(sym), np.frombuffer(lang, np.int32).astype(np.int64), np.frombuffer(freq, np.int64)
+            yield np.frombuffer(sym, np.int32), np.frombuffer(lang, np.int32).astype(np.int64), np.frombuffer(freq, np.int64)
 
 
 def _owners(sym: np.ndarray) -> np.ndarray:
+    """The word that each place belongs to."""
     return np.concatenate([[0], np.cumsum(sym == -1)[:-1]]).astype(np.int32)
 
 
-def _merge(sym: np.ndarray, word: np.ndarray, a: int, b: int, c: int):
-    """Replace a b by c from left to right: the new arrays, the words merged in (once per place), and the changed pairs as
-    places of the old and of the new array."""
+def _replace(sym: np.ndarray, a: int, b: int, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """a b becomes c from left to right: the new array, the places merged at, and which places stay (None: all)."""
     p = np.flatnonzero(sym[1:] == b)
     p = p[sym[p] == a]
     if a == b and len(p) > 1:  # within a run of one symbol every other place
         starts = np.flatnonzero(np.concatenate([[True], np.diff(p) != 1]))
         p = p[(np.arange(len(p)) - np.repeat(starts, np.diff(np.append(starts, len(p))))) % 2 == 0]
     if not len(p):
+        return sym, p, None
+    keep = np.ones(len(sym), bool)
+    keep[p + 1] = False
+    out = sym[keep]
+    out[p - np.arange(len(p))] = c
+    return out, p, keep
+
+
+def _replaced(sym: np.ndarray, merges: list[Triple]) -> np.ndarray:
+    for x in merges:
+        sym = _replace(sym, *x)[0]
+    return sym
+
+
+def _merge(sym: np.ndarray, word: np.ndarray, a: int, b: int, c: int):
+    """_replace with the words that places belong to: the new arrays, the words merged in (once per place), and the changed
+    pairs as places of the old and of the new array."""
+    out, p, keep = _replace(sym, a, b, c)
+    if keep is None:
         return sym, word, p, p, p
-    out, keep = sym.copy(), np.ones(len(sym), bool)
-    out[p], keep[p + 1] = c, False
     q = p - np.arange(len(p))
     old, new = np.unique(np.concatenate([p - 1, p, p + 1])), np.unique(np.concatenate([q - 1, q]))
-    return out[keep], word[keep], word[p], old[old >= 0], new[new >= 0]
+    return out, word[keep], word[p], old[old >= 0], new[new >= 0]
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,9 +191,8 @@ def _trace(sym, word, lang, freq, merges: list[Triple], pairs: bool = True):
 
 def _advance(merges: list[Triple]):
     def run(batches):
-        for sym, word, lang, freq in _blocks(batches):
-            for x in merges:
-                sym, word, *_ = _merge(sym, word, *x)
+        for sym, lang, freq in _blocks(batches):
+            sym = _replaced(sym, merges)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sym, lang.astype(np.int32), freq)], ["sym", "lang", "freq"])
 
     return run
@@ -187,9 +202,8 @@ def _open(merges: list[Triple], names: dict[int, str], which: int, most: int):
     """The most frequent words of a language in each block that are still several tokens."""
 
     def run(batches):
-        for sym, word, lang, freq in _blocks(batches):
-            for x in merges:
-                sym, word, *_ = _merge(sym, word, *x)
+        for sym, lang, freq in _blocks(batches):
+            sym = _replaced(sym, merges)
             ends = np.flatnonzero(sym == -1)
             starts = np.append(0, ends[:-1] + 1)
             at = np.flatnonzero((lang == which) & (ends - starts > 1))
@@ -205,9 +219,9 @@ def _measure(done: list[Triple], merges: list[Triple], pairs: bool, first: bool)
     """step, lang (its number), pair (left and right as one integer, or -1 for tokens, -2 for words), n."""
 
     def run(batches):
-        for sym, word, lang, freq in _blocks(batches):
-            for x in done:
-                sym, word, *_ = _merge(sym, word, *x)
+        for sym, lang, freq in _blocks(batches):
+            sym = _replaced(sym, done)
+            word = _owners(sym)
             rows = []
             if first:
                 real = word[sym >= 0]
@@ -232,7 +246,7 @@ class Trainer:
     the choice that the exact table gives. At the first that is not, the rest is foretold anew, from exact counts. So the
     sample decides how many passes there are, never which merges are made. Word states are written out every REWRITE merges."""
 
-    SAMPLE, REWRITE, AHEAD = 20_000, 64, 64
+    SAMPLE, REWRITE, AHEAD = 20_000, 16, 64
 
     def __init__(self, counts: DataFrame, weights: dict[str, int] | None = None):
         prepare(counts.sparkSession, 10_000)
@@ -493,10 +507,10 @@ def _token_sums(merges: Merges):
         for b in batches:
             langs = sorted(set(b.column("lang").to_pylist()), key=lambda x: (x is not None, x))
             words = pa.RecordBatch.from_arrays([b.column("lang"), b.column("word").fill_null(""), b.column("freq")], ["lang", "word", "freq"])
-            for sym, word, lang, freq in _blocks(_pack(langs)([words])):
+            for sym, lang, freq in _blocks(_pack(langs)([words])):
                 total, tokens = np.zeros(len(langs), np.int64), np.zeros(len(langs), np.int64)
-                for x in triples:
-                    sym, word, *_ = _merge(sym, word, *x)
+                sym = _replaced(sym, triples)
+                word = _owners(sym)
                 np.add.at(total, lang, freq)
                 np.add.at(tokens, lang[word[sym >= 0]], freq[word[sym >= 0]])
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(tokens), pa.array(total)], ["lang", "tokens", "words"])
