@@ -537,16 +537,16 @@ def round_trip(docs: DataFrame, merges: Merges) -> DataFrame:
     return got.select("doc_id", (F.col("want") == T.visible(F.replace(F.coalesce("back", F.lit("")), F.lit("▁"), F.lit(" ")))).alias("ok"))
 
 
-def sweep(counts: DataFrame, sizes: list[int], reference: str = "en", done: DataFrame | None = None) -> DataFrame:
-    """Fertility at several vocabulary sizes: one training to the largest, prefixes of its merges for the others. Sizes that
-    `done` already has are skipped."""
+def sweep(counts: DataFrame, sizes: list[int], reference: str = "en", done: DataFrame | None = None, held_out: DataFrame | None = None) -> DataFrame:
+    """Fertility at several vocabulary sizes, on held-out words where given: one training to the largest, prefixes of its
+    merges for the others. Sizes that `done` already has are skipped."""
     skip = {r["size"] for r in done.select("size").distinct().collect()} if done is not None else set()
     merges = train_bpe(counts, max(sizes))
     out = None
     for n in sizes:
         if n in skip:
             continue
-        one = parity(fertility(counts, merges[:n]), reference).select(F.lit(n).alias("size"), "lang", "fertility", "premium", "mean_others")
+        one = parity(fertility(counts if held_out is None else held_out, merges[:n]), reference).select(F.lit(n).alias("size"), "lang", "fertility", "premium", "mean_others")
         out = one if out is None else out.unionByName(one)
     return out if out is not None else done.limit(0)
 

@@ -241,6 +241,14 @@ def test_fertility_of_any_merges(spark, merges):
     assert K.fertility(counts, merges).first()["tokens"] == sum((i + 1) * len(K.split_word(w, ranks)) for i, w in enumerate(words))
 
 
+def test_sweep_measures_held_out_words(spark):
+    schema = "lang string, word string, freq long"
+    learnt, held = spark.createDataFrame([("en", "abab", 9)], schema), spark.createDataFrame([("en", "abc", 2), ("en", "xyz", 1)], schema)
+    got = {r["size"]: r["fertility"] for r in K.sweep(learnt, [1, 2], held_out=held).collect()}
+    assert got == {1: (2 * 2 + 3) / 3, 2: (2 * 2 + 3) / 3}
+    assert {r["size"]: r["fertility"] for r in K.sweep(learnt, [1, 2]).collect()} == {1: 2.0, 2: 1.0}
+
+
 def test_training_on_no_words(spark):
     counts = spark.createDataFrame([(None, "abab", 5), ("en", None, 5)], "lang string, word string, freq long")
     assert K.train_bpe(counts, 5) == K.train_parity(counts, 5) == K.reclaim_words(counts, [("a", "b")], 2, 2)[1:] == []
