@@ -35,11 +35,13 @@ def nearest(queries: DataFrame, points: DataFrame, block: int = 512) -> DataFram
 
 
 def covariance(points: DataFrame, dims: int) -> DataFrame:
-    """i, j, cov (population) of all pairs of coordinates, one pass of partial sums."""
-    x = lambda i: F.col("v")[i].cast("double")
-    sums = points.agg(*(F.covar_pop(x(i), x(j)).alias(f"c_{i}_{j}") for i in range(dims) for j in range(i, dims)))
-    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c_{min(i, j)}_{max(i, j)}").alias("cov")) for i in range(dims) for j in range(dims)))
-    return sums.select(F.explode(cells).alias("x")).select("x.i", "x.j", "x.cov")
+    """i, j, cov (population) of all pairs of coordinates: pairs with i <= j are summed before the shuffle, then mirrored."""
+    left = points.select("v", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("i"))
+    pairs = left.select("i", F.explode(F.sequence("i", F.lit(dims - 1))).alias("j"), "v")
+    x = lambda i: F.get("v", F.col(i)).cast("double")
+    half = pairs.select("i", "j", x("i").alias("x"), x("j").alias("y")).groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"))
+    cells = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return half.select(F.explode(cells).alias("c"), "cov").select("c.i", "c.j", "cov")
 
 
 def principal_axes(cov: DataFrame, dims: int, axes: int = 2, rounds: int = 100) -> list[list[float]]:

@@ -11,6 +11,7 @@ from quern.plans.dialect import both
 from quern.session import materialise, prepare, spread, table
 
 MERGES = 300
+DIMS = 64  # coordinates of an embedding
 
 
 def _counts(spark, sf):
@@ -151,12 +152,12 @@ def cosine_to_first(spark, sf):
 
 
 def covariance(spark, sf):
-    return V.covariance(_points(spark, sf), 4).select("i", "j", F.round("cov", 9).alias("cov"))
+    return V.covariance(_points(spark, sf), DIMS).select("i", "j", F.round("cov", 9).alias("cov"))
 
 
 def principal_axes(spark, sf):
     p = _points(spark, sf)
-    return V.project(p, V.principal_axes(V.covariance(p, 8), 8)).agg(F.round(F.var_pop("pc0"), 6).alias("v0"), F.round(F.var_pop("pc1"), 6).alias("v1"), F.round(F.abs(F.corr("pc0", "pc1")), 4).alias("r"))
+    return V.project(p, V.principal_axes(V.covariance(p, DIMS), DIMS)).agg(F.round(F.var_pop("pc0"), 6).alias("v0"), F.round(F.var_pop("pc1"), 6).alias("v1"), F.round(F.abs(F.corr("pc0", "pc1")), 4).alias("r"))
 
 
 def id_hashes(spark, sf):
@@ -211,6 +212,6 @@ r as (select *, row_number() over (partition by lang order by freq desc, word) a
     "nearest_neighbour": _NN.format(100) + " select id, neighbour, round(d, 5) as distance from n",
     "neighbour_accuracy": _NN.format(100) + " select count(*) as n, round(avg(cast(x.label = y.label as int)), 9) as accuracy from n join embeddings x on x.vec_id = n.id join embeddings y on y.vec_id = n.neighbour",
     "cosine_to_first": "select a.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine from embeddings a, embeddings b where b.vec_id = 0",
-    "covariance": "select cast(i as int) as i, cast(j as int) as j, round(covar_pop(embedding[i + 1]::double, embedding[j + 1]::double), 9) as cov from embeddings, range(4) a(i), range(4) b(j) group by i, j",
+    "covariance": "select cast(i as int) as i, cast(j as int) as j, round(covar_pop(embedding[i + 1]::double, embedding[j + 1]::double), 9) as cov from embeddings, range(64) a(i), range(64) b(j) group by i, j",
     "corpus_hash": "select sha256(string_agg(text, chr(10) order by doc_id)) as sha256, count(*) as n from documents",
 }
