@@ -60,3 +60,18 @@ def test_redacted_documents_of_every_kind(spark, tmp_path):
     texts = ["mail a.b@example.org", "host 10.1.2.3 up", "call 212 555 1234", "ask @somebody_x now", "nothing here"]
     spark.createDataFrame([(1000 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["doc_id"] for r in cleaning.pii_redacted(spark, str(tmp_path)).collect() if r["doc_id"] >= 1000) == [1000, 1001, 1002, 1003]
+
+
+def test_entities_without_a_semicolon_stay(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from quern.functions import text as T
+
+    texts = ["a &amp</title> &am", "&amp;amp &amp;amp; &quot;&copy;&middot; &ampx; &&amp", "e\u0301 &amp;copy; &copy &notit;", "", None]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(catalog.oracles()["html_entities"]).fetchall()
+    assert sorted(map(tuple, catalog.queries()["html_entities"](spark, str(tmp_path)).collect())) == sorted(want)
+    more = spark.createDataFrame([("&lt;b&gt; &#233;&#xE9; &CounterClockwiseContourIntegral; &nosuch; &lt",)], "t string")
+    assert more.select(T.unescape_closed_html("t"), T.unescape_html("t")).first()[:] == ("<b> éé ∳ &nosuch; &lt", "<b> éé ∳ &nosuch; <")
