@@ -75,3 +75,40 @@ def test_entities_without_a_semicolon_stay(spark, tmp_path):
     assert sorted(map(tuple, catalog.queries()["html_entities"](spark, str(tmp_path)).collect())) == sorted(want)
     more = spark.createDataFrame([("&lt;b&gt; &#233;&#xE9; &CounterClockwiseContourIntegral; &nosuch; &lt",)], "t string")
     assert more.select(T.unescape_closed_html("t"), T.unescape_html("t")).first()[:] == ("<b> éé ∳ &nosuch; &lt", "<b> éé ∳ &nosuch; <")
+
+
+ODD = [
+    "  a \t b  \n\n\n\n c \n \n \n d  ", "क‍ष a‍b x​y\r\nz ‌", "- a\n- b\n* c\nd &bull; e", "one...\ntwo... \nthree", "{}[]{}[] <> || ##", "same\nsame\nsame\nother", "",
+    "á &lt;b&gt; &amp", "\x1c x \x85 y  \n 　...", "\n".join(["long line of many words here"] * 9), None, "• " + "w " * 30, "w " * 25 + "212 555 1234 @some_name a@b.org", "Привет мир " * 20,
+]
+
+
+def test_full_cleaning_equals_its_stages_and_reads_no_text_again(spark, sf, tmp_path, monkeypatch):
+    from quern.operators import cleaning as C
+
+    own = spark.createDataFrame([(i - 100, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    table(spark, sf, "documents").select("doc_id", "text").unionByName(own).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, sf, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = cleaning.full_cleaning(spark, str(tmp_path))
+    assert "text:string" not in got._jdf.queryExecution().executedPlan().toString()
+    docs = cleaning.documents(spark, str(tmp_path)).withColumn("text", cleaning.T.normalise(F.col("text"))).cache()
+    good = C.keep_quality(C.keep_languages(docs)).drop("language").cache()
+    unique = C.deduplicate(good).cache()
+    safe = C.redact(unique).select(*unique.columns)
+    clean = safe.join(C.contaminated(unique, C.benchmark_grams(table(spark, sf, "benchmark"), F.lit("b"))).select("doc_id"), "doc_id", "left_anti")
+    want = C.timeline([("normalise", docs), ("quality", good), ("dedup", unique), ("pii", safe), ("decontam", clean)])
+    assert got.orderBy("stage_ord").collect() == want.orderBy("stage_ord").collect()
+    monkeypatch.setattr(C, "HELD_GRAMS", 3)
+    assert cleaning.full_cleaning(spark, str(tmp_path)).orderBy("stage_ord").collect() == want.orderBy("stage_ord").collect()
+
+
+def test_measures_equal_the_column_functions(spark):
+    from quern.functions import text as T
+
+    every = ["a".join(chr(c) for c in range(i, i + 4096) if not 0xD800 <= c < 0xE000 and chr(c) not in T.JOINERS) for i in range(0, 0x110000, 4096)]
+    df = spark.createDataFrame([(t,) for t in ODD + every], "t string").withColumn("t", T.keep_joiners(F.col("t"))).withColumn("m", T.normal_measures("t"))
+    plain = T.normalise_builtin(F.col("t"))
+    df = df.select("t", "m.*", plain.alias("plain")).withColumns({"n": T.word_count(F.col("plain")), "s": T.symbol_count(F.col("plain")), "ln": F.size(T.lines(F.col("plain")))})
+    rows = [r for r in df.collect() if r["t"] is not None]
+    for r in rows:
+        assert (r["text"], r["words"], r["symbols"], r["lines"]) == (r["plain"], r["n"], r["s"], r["ln"]), ascii([x for x in zip(r["text"], r["plain"]) if x[0] != x[1]][:1])
