@@ -4,9 +4,10 @@ Documents are range-partitioned by doc_id, encoded with the tokenizers library,
 shards of about SHARD_IDS ids (whole documents). In each shard frequent pairs of ids become nonterminals, again and
 again: a round counts all pairs and replaces, the most frequent first, those that are at least a SCHEDULE-th as frequent as
 the most frequent one and share no symbol in a way that could overlap. (One pair a round is the same with SCHEDULE 1 and
-far slower; the grammars differ by under a percent.) A pair of equal ids counts at alternate places of its run. Pairs never
-contain the end id, so no rule crosses a document. It ends when no pair occurs LEAST_COUNT times, which is when a rule
-takes as much room as it saves: both symbols and the expansion length of a rule take about three symbols.
+far slower; the grammars differ by under a percent.) Only places whose pair may still be frequent are looked at. A pair of
+equal ids counts at alternate places of its run. Pairs never contain the end id, so no rule crosses a document. It ends when
+no pair occurs LEAST_COUNT times, which is when a rule takes as much room as it saves: both symbols and the expansion length
+of a rule take about three symbols.
 
 A shard file is: the magic `QRNG`, version, then counts (documents, ids, rules, symbols, base) and the arrays doc_id, null
 flags, ids per document, first symbol per document, rules (left, right), expansion length per rule, symbols. Symbols are
@@ -21,6 +22,7 @@ read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -31,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import worker
-from quern.llm.pieces import PieceCoder
+from quern.llm.pieces import _PLAIN
+from quern.llm.pretokens import PretokenCoder, spans
 from quern.session import new_path, prepare, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -43,12 +46,15 @@ REMEMBERED = 600_000
 TOGETHER = 2000
 LEAST_COUNT = 4
 SCHEDULE = 64
+#: Size of the tables by which pairs are found again (a power of two); bounds memory, not results.
+SLOT_BITS = 20
 MAGIC, VERSION = b"QRNG", 2
 _HEAD = struct.Struct("<4sIQQQQQ")
+_LED = re.compile(f" ?{_PLAIN}")
 
 
 class Encoder:
-    """The tokenizers library, each distinct piece of a batch encoded once."""
+    """The tokenizers library, each distinct piece that isn't remembered encoded once."""
 
     def __init__(self, path: str):
         import os
@@ -57,34 +63,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if self.tokenizer.normalizer is not None or any(a.single_word or a.lstrip or a.rstrip for a in added.values()):
+            raise ValueError("texts can't be cut for a tokenizer that changes them or looks beyond its added tokens")
         self.base = self.tokenizer.get_vocab_size()
         # A byte-level token has a character for each byte; an added one stands for its own text.
         self.size = np.zeros(self.base, dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.size[i] = len(token)
-        for i, added in self.tokenizer.get_added_tokens_decoder().items():
-            self.size[i] = len(added.content.encode())
-        self.encode_all = PieceCoder(self._learn, REMEMBERED).encode_all
-
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of new pieces. Texts may be cut where these pieces begin, so those that begin with a space are encoded as
-        one text, a few thousand at a time, and their ids told apart by the bytes they stand for."""
+        for i, a in added.items():
+            self.size[i] = len(a.content.encode())
+        self.added = [a.content for a in added.values()]
+        self.encode = PretokenCoder(self._learn, REMEMBERED, self.added).encode
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each whole text."""
+        return self.encode(pa.array(texts, pa.large_string()))
+
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of new pieces. Texts may be cut where a piece begins with a space and a character that isn't white space, and
+        before and after a line end that such a character follows. So pieces are encoded as one text, a few thousand at a
+        time, after a line end if they have no space, and their ids told apart by the bytes they stand for."""
         out: list[bytes] = [b""] * len(pieces)
-        alone = [k for k, p in enumerate(pieces) if p[:1] != " "]
-        for k, e in zip(alone, self.tokenizer.encode_batch_fast([pieces[k] for k in alone], add_special_tokens=False)):
-            out[k] = np.array(e.ids, dtype="<u4").tobytes()
-        joined = [k for k, p in enumerate(pieces) if p[:1] == " "]
-        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
-        for ks, e in zip(groups, self.tokenizer.encode_batch_fast(["".join([pieces[k] for k in ks]) for ks in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in map(pieces.__getitem__, ks)])
-            reach = np.cumsum(self.size[ids])
-            cuts = np.searchsorted(reach, ends) + 1
-            if not np.array_equal(reach[cuts - 1], ends):
+        texts = [p.decode() for p in pieces]
+        joined, alone = [], []
+        for k, t in enumerate(texts):
+            (joined if _LED.match(t) else alone).append(k)
+        for i in range(0, len(joined), TOGETHER):
+            ks = joined[i : i + TOGETHER]
+            text = "".join([texts[k] if texts[k][0] == " " else "\n" + texts[k] for k in ks])
+            if any(a in text for a in self.added):
+                alone += ks
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            sizes = np.array([len(pieces[k]) for k in ks])
+            ends = np.cumsum(sizes + [pieces[k][0] != 0x20 for k in ks])
+            reach = np.concatenate([[0], np.cumsum(self.size[ids])])
+            first, last = np.searchsorted(reach, ends - sizes), np.searchsorted(reach, ends)
+            if not (np.array_equal(reach[first], ends - sizes) and np.array_equal(reach[last], ends)):
                 raise ValueError("a token spans two pieces")
-            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-            for k, lo, hi in zip(ks, [0, *cuts], cuts):
+            raw = ids.tobytes()
+            for k, lo, hi in zip(ks, (4 * first).tolist(), (4 * last).tolist()):
                 out[k] = raw[lo:hi]
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)):
+            out[k] = np.array(e.ids, dtype="<u4").tobytes()
         return out
 
 
@@ -96,14 +118,19 @@ def encoder(path: str) -> Encoder:
 worker.remembers(__name__, encoder.cache_clear)
 
 
+def odd_ones(places: np.ndarray) -> np.ndarray:
+    """Every second one of each run of neighbouring places: where an equal pair would overlap the one before."""
+    first = np.ones(len(places), dtype=bool)
+    first[1:] = np.diff(places) != 1
+    starts = np.flatnonzero(first)
+    offset = np.arange(len(places)) - np.repeat(starts, np.diff(np.append(starts, len(places))))
+    return np.flatnonzero(offset % 2 == 1)
+
+
 def overlapping(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Every second place of each run of equal neighbours, where the pair would overlap the one before."""
     same = np.flatnonzero(a == b)
-    first = np.ones(len(same), dtype=bool)
-    first[1:] = np.diff(same) != 1
-    starts = np.flatnonzero(first)
-    offset = np.arange(len(same)) - np.repeat(starts, np.diff(np.append(starts, len(same))))
-    return same[offset % 2 == 1]
+    return same[odd_ones(same)]
 
 
 def apart(lefts: list[int], rights: list[int]) -> list[int]:
@@ -119,55 +146,95 @@ def apart(lefts: list[int], rights: list[int]) -> list[int]:
     return out
 
 
+def slots(codes: np.ndarray) -> np.ndarray:
+    """Places of pairs in tables of 1 << SLOT_BITS."""
+    odd = 0x9E3779B1 if codes.dtype == np.uint32 else 0x9E3779B97F4A7C15
+    return codes * codes.dtype.type(odd) >> codes.dtype.type(8 * codes.itemsize - SLOT_BITS)
+
+
 def compress(ids: np.ndarray, base: int, end_id: int = END_ID, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (left, right) and expansion lengths of one shard's ids."""
-    seq = ids.astype(np.uint32)
-    rules = np.empty((0, 2), dtype="<u4")
-    sizes = np.ones(base, dtype=np.int64)
-    while len(seq) > 1:
-        top = base + len(rules)
+    """Symbols, rules (left, right) and expansion lengths of one shard's ids.
+
+    Symbols are numbered without gaps meanwhile. A pair gets no new place once its symbols exist, so what occurs less than
+    `least` times stays so: only places that may still count are looked at (live). Two pairs of a round that share a slot
+    would be taken for each other, so the rarer one waits."""
+    present = np.zeros(base, dtype=bool)
+    present[ids] = True
+    used = np.flatnonzero(present)
+    number = np.cumsum(present, dtype=np.int64) - 1
+    seq = number.astype(np.uint32)[ids]
+    end = int(number[end_id]) if end_id < base and present[end_id] else -1
+    rules: list[np.ndarray] = []
+    top = len(used)
+    live = np.ones(len(seq), dtype=bool)
+    live[len(seq) - 1 :] = False
+    stops = np.flatnonzero(seq == end)
+    live[stops] = False
+    live[stops[stops > 0] - 1] = False
+    slot, kept = np.zeros(1 << SLOT_BITS, dtype=np.int64), np.empty(1 << SLOT_BITS, dtype=bool)
+    while True:
         half, kind = (16, np.uint32) if top < 1 << 16 else (32, np.uint64)
-        a, b = seq[:-1], seq[1:]
-        pairs_at = a.astype(kind)
+        at = np.flatnonzero(live)
+        pairs_at = seq[at].astype(kind)
+        second = seq[at + 1]
+        equal = np.flatnonzero(pairs_at == second)
         pairs_at <<= kind(half)
-        pairs_at |= b
-        stops = np.flatnonzero(seq == end_id)
-        none = kind((1 << 2 * half) - 1)  # no pair's code, as all symbols are less than (1 << half) - 1
-        pairs_at[overlapping(a, b)] = none
-        pairs_at[stops[stops < len(a)]] = none
-        pairs_at[stops[stops > 0] - 1] = none
-        codes = np.sort(pairs_at)
-        codes = codes[: np.searchsorted(codes, none)]
+        pairs_at |= second
+        if len(equal):  # every second place of a run of equal symbols doesn't count
+            again = np.zeros(len(at), dtype=bool)
+            again[equal[odd_ones(at[equal])]] = True
+            codes = np.sort(pairs_at[~again])
+        else:
+            again = None
+            codes = np.sort(pairs_at)
         if not len(codes):
             break
-        edge = np.flatnonzero(codes[1:] != codes[:-1]) + 1
-        edge = np.concatenate([[0], edge])
+        edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         counts = np.diff(edge, append=len(codes))
         most = counts.max()
         if most < least:
             break
-        often = np.flatnonzero(counts >= max(least, most // SCHEDULE))
-        pairs = codes[edge[often]][np.argsort(-counts[often], kind="stable")]
+        often = np.flatnonzero(counts >= least)
+        pairs, counts = codes[edge[often]], counts[often]
+        kept[:] = False
+        kept[slots(pairs)] = True
+        often = np.flatnonzero(counts >= most // SCHEDULE)
+        pairs = pairs[often][np.argsort(-counts[often], kind="stable")]
+        pairs = pairs[np.sort(np.unique(slots(pairs), return_index=True)[1])]
         lefts, rights = (pairs >> kind(half)).astype(np.int64), (pairs & kind((1 << half) - 1)).astype(np.int64)
         chosen = apart(lefts.tolist(), rights.tolist())
-        pairs, lefts, rights = pairs[chosen], lefts[chosen], rights[chosen]
-        begins, ends = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
-        begins[lefts] = True
-        ends[rights] = True
-        near = np.flatnonzero(begins[a] & ends[b])
-        order = np.argsort(pairs)
-        code, name = pairs[order], (top + order).astype(np.uint32)
-        wanted = pairs_at[near]
-        at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
-        hit = code[at] == wanted
-        near, at = near[hit], at[hit]
+        pairs = pairs[chosen]
+        rules.append(np.stack([lefts[chosen], rights[chosen]], axis=1))
+        slot[slots(pairs)] = np.arange(len(pairs))
+        slots_at = slots(pairs_at)
+        alive = kept[slots_at]
+        alive[equal] = True
+        live[at[~alive]] = False
+        if again is not None:
+            alive[again] = False
+        near = np.flatnonzero(alive)
+        name = np.minimum(slot[slots_at[near]], len(pairs) - 1)
+        hit = np.flatnonzero(pairs[name] == pairs_at[near])
+        near, name = at[near[hit]], name[hit]
+        seq[near] = (top + name).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[near + 1] = False
-        seq[near] = name[at]
-        seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([lefts, rights], axis=1).astype("<u4")])
-        sizes = np.concatenate([sizes, sizes[lefts] + sizes[rights]])
-    return seq, rules, sizes[base:].astype("<u4")
+        seq, live = seq[keep], live[keep]
+        new = near - np.arange(len(near))
+        before = new[new > 0] - 1
+        live[new] = True
+        live[before] = seq[before] != end
+        live[new] &= seq[np.minimum(new + 1, len(seq) - 1)] != end
+        live[-1] = False
+        top += len(pairs)
+    back = np.concatenate([used, base + np.arange(top - len(used))]).astype("<u4")
+    made = back[np.concatenate([np.empty((0, 2), dtype=np.int64), *rules])]
+    sizes = np.ones(base + len(made), dtype=np.int64)
+    done = base
+    for r in rules:  # both symbols of a rule are older than its round
+        sizes[done : done + len(r)] = sizes[made[done - base : done - base + len(r)]].sum(axis=1)
+        done += len(r)
+    return back[seq] if top else seq, made, sizes[base:].astype("<u4")
 
 
 def planes(symbols: np.ndarray, top: int) -> bytes:
@@ -191,12 +258,6 @@ def pack(doc_ids: list[int | None], encoded: list[np.ndarray], base: int) -> byt
     return b"".join([head, *(x.tobytes() for x in (ids, nulls, counts, starts)), planes(rules.ravel(), top), lengths.tobytes(), planes(symbols, top)])
 
 
-def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... (sizes[0] of them), then starts[1], ..."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Shard:
     """A shard file read again."""
 
@@ -267,7 +328,7 @@ def _written(path):
             return row
 
         for b in batches:
-            for d, e in zip(b.column("doc_id").to_pylist(), enc.encode_all(b.column("text").to_pylist())):
+            for d, e in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 names.append(d)
                 done.append(np.concatenate([e, end]))
                 held += len(e) + 1

@@ -312,6 +312,60 @@ def test_shards_equal_the_library(spark, sf_of, odd, none, docs):
     assert op5_repair_shards(spark, sf_of(documents=none)).count() == 0
 
 
+def test_grammar_of_many_symbols_and_crowded_tables(monkeypatch):
+    """Codes of 64 bits; pairs that share a slot; runs, and ends beside what is replaced."""
+    from quern.llm import grammar
+
+    rng = np.random.default_rng(4)
+    wide = np.tile(np.concatenate([np.arange(3, 70_003), [grammar.END_ID]]), 5)
+    for bits, ids, base in [(20, wide, 70_010), *[(bits, np.where(x == 1, grammar.END_ID, x + 3), 40) for bits in (3, 20) for n in (2, 4, 30) for x in [rng.integers(0, n, 3000)]]]:
+        monkeypatch.setattr(grammar, "SLOT_BITS", bits)
+        symbols, rules, _ = grammar.compress(ids.astype(np.uint32), base)
+        assert grammar.Shard(grammar.pack([7], [ids.astype(np.uint32)], base)).ids(0).tolist() == ids.tolist()
+        flat = symbols.tolist()
+        counts = {}
+        for p in zip(flat, flat[1:]):
+            counts[p] = counts.get(p, 0) + (grammar.END_ID not in p and p[0] != p[1])
+        assert max(counts.values()) < grammar.LEAST_COUNT and grammar.END_ID not in rules
+    assert len(rules)
+
+
+def test_pretokens_equal_the_library(monkeypatch):
+    """Odd neighbours, added tokens and windows that end anywhere."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quern.llm import grammar, pretokens
+
+    path = public_tokenizers.path(grammar.VOCABULARY)
+    tok, enc, rng = Tokenizer.from_file(path), grammar.Encoder(path), random.Random(3)
+    parts = ["a", "Zq", "the", "word", "\u00e9", "\u00d7", "\u00f7", "\u00d1", "\u0153", "e\u0301", "7", "42", "'", "'s", "'ll", "don't", "\u2019", "...", "$", "<|", "|>", "<|endoftext|>", " ", "  ", "\n", "\n\n", "\t", "\r\n"]
+    parts += ["\x0b", "\x0c", "\x1c", "\x1f", "\x7f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u205f", "\u3000", "\ufeff", "\u200b", "\u4e2d", "\u0441\u043b\u043e\u0432\u043e", "\u0939\u093f", "\U0001f600", "\u0663", "\u00bd", "\u00aa", "\x00"]
+    for window, together in ((8, 3), (16, 20), (50, 2000), (1 << 22, 2000)):
+        monkeypatch.setattr(pretokens, "WINDOW", window)
+        monkeypatch.setattr(grammar, "TOGETHER", together)
+        for _ in range(12):
+            some = rng.sample(parts, rng.randint(3, len(parts)))
+            texts = [None, "", *["".join(rng.choices(some, k=rng.randint(0, 30))) for _ in range(40)]]
+            assert [x.tolist() for x in enc.encode_all(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_encoded_once_whatever_stands_beside_them():
+    import public_tokenizers
+
+    from quern.llm import grammar
+
+    learnt = []
+
+    class Noted(grammar.Encoder):
+        def _learn(self, pieces):
+            learnt.extend(pieces)
+            return super()._learn(pieces)
+
+    Noted(public_tokenizers.path(grammar.VOCABULARY)).encode_all([f"x {word}{mark}" for word in ["one", "two", "three", "four"] for mark in [".", ",", "$$$", ":", "\nx"]])
+    assert len(learnt) == len(set(learnt)) <= 4 + 6  # words; x, marks and the line end
+
+
 # -- 6 near-duplicates -----------------------------------------------------------------------------------------------
 
 
